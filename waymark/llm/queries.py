@@ -6,8 +6,10 @@ from waymark.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from waymark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from waymark.llm.packing import op3_packing
 from waymark.llm.sharding import op10_sharding
+from waymark.llm.simhash import op1_simhash
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op8_exact_dedup": op8_exact_dedup,
