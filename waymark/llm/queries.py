@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from waymark.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from waymark.llm.language_id import op7_language_id
 from waymark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from waymark.llm.packing import op3_packing
 from waymark.llm.sharding import op10_sharding
 from waymark.llm.simhash import op1_simhash
+from waymark.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
+    "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sharding": op10_sharding,
 }
