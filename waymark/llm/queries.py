@@ -11,6 +11,7 @@ from waymark.llm.packing import op3_packing
 from waymark.llm.sharding import op10_sharding
 from waymark.llm.simhash import op1_simhash
 from waymark.llm.toxicity import op6_toxicity
+from waymark.llm.url_filter import op9_url_filter
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
 
