@@ -48,8 +48,10 @@ class DigestIndex:
         ``doc_id, keep_id, group_size, kept, text_sha256``."""
         scratch = Scratch(self.spark, "exact-dedup")
         batch = uuid.uuid4().hex
+        # Ranked here, on both columns: a window above the final join would hold a digest's rows together.
+        nth = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.lit(0)))
         digests = scratch.keep(
-            docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest")),
+            docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest")).withColumn("nth", nth),
             "digests",
         )
         arrived = scratch.keep(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "arrived")
@@ -57,10 +59,8 @@ class DigestIndex:
         fresh.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
         known = self.rows().select("digest", F.col("keep_id").alias("index_id"), (F.col("batch") == batch).alias("is_new")).hint("merge")
         groups = scratch.keep(arrived.join(known, "digest").select("digest", F.col("index_id").alias("keep_id"), "group_size", "is_new"), "groups")
-        nth = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.lit(0)))
         return (
             digests.join(groups, "digest")
-            .withColumn("nth", nth)
             .select(
                 "doc_id",
                 "keep_id",
