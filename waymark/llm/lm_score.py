@@ -15,13 +15,19 @@ mean of the natural logarithms.
 
 Defined results: words are split at ASCII blanks and A-Z lower-cased. A text
 without words (null included) has 0 words and score 0. Every row is a document of
-its own, repeated rows and null ids too. N-grams are told apart by 64 bits of
-hash. Other columns are ignored. An empty table gives an empty table.
+its own, repeated rows and null ids too. Other columns are ignored. An empty table
+gives an empty table. A task that is repeated must get its rows in the same order,
+as it does from a table.
+
+Within a part n-grams are told apart by KEY_BITS bits of hash, and a part holds
+n-grams of about PART_BYTES of input, so one in some 10^8 meets another's count at
+any size of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +36,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waymark.llm._arrow import columns
-from waymark.scratch import Scratch
 
 BACKOFF = 0.4
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 1_500_000
 #: Bytes of input for each part of the count table.
 PART_BYTES = 8 << 20
 MAX_PARTS = 1 << 16
 
+KEY_BITS = 48
+
 #: kind 0: a chunk's documents; kind 1: a chunk's n-grams for a part; kind 2: a part's answer.
-ROWS = "kind int, part int, chunk string, a binary, b binary, c binary, words long"
-_NAMES = ["kind", "part", "chunk", "a", "b", "c", "words"]
-_KINDS = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+ROWS = "kind int, part int, chunk string, a binary, b binary, c binary"
+_NAMES = ["kind", "part", "chunk", "a", "b", "c"]
+_KINDS = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _row(*values) -> pa.RecordBatch:
     return pa.record_batch([pa.array([v], kind) for v, kind in zip(values, _KINDS)], _NAMES)
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^64, compressed byte by byte of their places."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 8 * n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel() if n else np.zeros(0, np.uint64)
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    """Keys in rising order, by their differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed), dtype=np.uint64)
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -61,6 +89,12 @@ def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(32))
 
 
+def _place(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An n-gram's part and its key there."""
+    mixed = _pair_hash(hashes, ~hashes)
+    return (mixed >> np.uint64(32)) % np.uint64(parts), hashes >> np.uint64(64 - KEY_BITS)
+
+
 def _pairs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct neighbours within documents (as first << 32 | second), their counts, for each
     place that has a word before it the number of its pair, and those places."""
@@ -73,6 +107,12 @@ def _pairs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return distinct, counts, number, places
 
 
+def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = sum(len((t or "").encode().split()) for (texts,) in columns(batch, "text") for t in texts)
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+
 def _chunks(parts: int, chunk_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held = TaskContext.get().partitionId(), 0, 0
@@ -85,22 +125,21 @@ def _chunks(parts: int, chunk_words: int):
             name = f"{task}-{made}"
             ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
             vocabulary = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-            known = pa.array(doc_ids, pa.int64())
-            head = pa.record_batch([known, pa.array(lengths, pa.int64())], ["doc_id", "n"])
+            head = pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(lengths, pa.int64())], ["doc_id", "n"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
-            yield _row(0, None, name, sink.getvalue().to_pybytes(), ids.tobytes(), vocabulary.tobytes(), len(ids))
+            yield _row(0, crc32(name.encode()) % parts, name, sink.getvalue().to_pybytes(), _pack(ids), _pack(vocabulary))
             distinct, counts, _, _ = _pairs(ids, np.array(lengths, np.int64))
             hashes = np.concatenate([vocabulary, _pair_hash(vocabulary[distinct >> 32], vocabulary[distinct & 0xFFFFFFFF])])
-            counts = np.concatenate([np.bincount(ids, minlength=len(vocabulary)), counts]).astype("<u4")
-            part = (hashes >> np.uint64(40)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
+            counts = np.concatenate([np.bincount(ids, minlength=len(vocabulary)), counts])
+            part, keys = _place(hashes, parts)
+            order = np.lexsort((keys, part))
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
                 own = order[cuts[p] : cuts[p + 1]]
                 if len(own):
-                    yield _row(1, p, name, hashes[own].tobytes(), counts[own].tobytes(), None, 0)
+                    yield _row(1, p, name, _pack_sorted(keys[own]), _pack(counts[own]), None)
 
         for batch in batches:
             for ids, texts in columns(batch, "doc_id", "text"):
@@ -134,11 +173,18 @@ def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of n-grams that more than one chunk has, to each such chunk."""
-    for rows in _by("part", batches):
-        hashes = [np.frombuffer(r["a"], np.uint64) for r in rows]
-        owner = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
-        flat, counts = np.concatenate(hashes), np.concatenate([np.frombuffer(r["b"], "<u4") for r in rows]).astype(np.int64)
+    """Totals of n-grams that more than one chunk has, to each such chunk; chunks' documents pass through."""
+    for everything in _by("part", batches):
+        rows = [r for r in everything if r["kind"] == 1]
+        for r in everything:
+            if r["kind"] == 0:
+                yield _row(*(r[n] for n in _NAMES))
+        if not rows:
+            continue
+        part = rows[0]["part"]
+        keys = [_unpack_sorted(r["a"]) for r in rows]
+        owner = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
+        flat, counts = np.concatenate(keys), np.concatenate([_unpack(r["b"]) for r in rows]).astype(np.int64)
         order = np.argsort(flat, kind="stable")
         flat, counts, owner = flat[order], counts[order], owner[order]
         starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
@@ -151,7 +197,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, row in enumerate(rows):
             own = order[cuts[n] : cuts[n + 1]]
             if len(own):
-                yield _row(2, None, row["chunk"], flat[own].tobytes(), totals[own].astype("<i8").tobytes(), None, 0)
+                yield _row(2, part, row["chunk"], _pack_sorted(flat[own]), _pack(totals[own]), None)
 
 
 def _minus_own(total: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -160,24 +206,33 @@ def _minus_own(total: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.nda
     return total[number] - own[group]
 
 
-def _score(all_words: int):
+def _score(all_words: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by("chunk", batches):
             payload = next(r for r in rows if r["kind"] == 0)
             head = pa.ipc.open_stream(payload["a"]).read_all()
             lengths = head.column("n").to_numpy()
-            ids, vocabulary = np.frombuffer(payload["b"], np.int32), np.frombuffer(payload["c"], np.uint64)
-            answers = [r for r in rows if r["kind"] == 2]
-            heard = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["a"], np.uint64) for r in answers)])
-            totals = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["b"], "<i8") for r in answers)])
-            order = np.argsort(heard)
-            heard, totals = heard[order], totals[order]
+            ids, vocabulary = _unpack(payload["b"]).astype(np.int32), _unpack(payload["c"])
+            # By part, then by key: one order in which every n-gram is found.
+            answers = sorted((r for r in rows if r["kind"] == 2), key=lambda r: r["part"])
+            keys = [_unpack_sorted(r["a"]) for r in answers]
+            heard = np.concatenate([np.zeros(0, np.uint64), *keys])
+            heard_part = np.repeat(np.array([r["part"] for r in answers], np.uint64), [len(k) for k in keys])
+            begin = np.searchsorted(heard_part, np.arange(parts + 1, dtype=np.uint64))
+            totals = np.concatenate([np.zeros(0, np.int64), *(_unpack(r["b"]).astype(np.int64) for r in answers)])
 
             def total(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
-                if not len(heard) or not len(hashes):
-                    return own.astype(np.int64)
-                at = np.minimum(np.searchsorted(heard, hashes), len(heard) - 1)
-                return np.where(heard[at] == hashes, totals[at], own)
+                out = own.astype(np.int64)
+                part, wanted = _place(hashes, parts)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+                for p in range(parts):
+                    mine, lo, hi = order[cuts[p] : cuts[p + 1]], begin[p], begin[p + 1]
+                    if len(mine) and hi > lo:
+                        at = lo + np.minimum(np.searchsorted(heard[lo:hi], wanted[mine]), hi - lo - 1)
+                        hit = heard[at] == wanted[mine]
+                        out[mine[hit]] = totals[at[hit]]
+                return out
 
             distinct, counts, number, places = _pairs(ids, lengths)
             doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -197,16 +252,14 @@ def _score(all_words: int):
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, score`` for each row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm-score")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = min(MAX_PARTS, max(16, size // PART_BYTES))
-    rows = scratch.keep(texts.mapInArrow(_chunks(parts, CHUNK_WORDS), ROWS), "chunks")
-    all_words = rows.filter("kind = 0").agg(F.sum("words")).first()[0] or 0
-    answers = rows.filter("kind = 1").repartition("part").sortWithinPartitions("part").mapInArrow(_answer, ROWS)
-    met = rows.filter("kind = 0").unionByName(answers).repartition("chunk").sortWithinPartitions("chunk")
-    return met.mapInArrow(_score(all_words), "doc_id long, n_words long, score double")
+    all_words = texts.select("text").mapInArrow(_word_totals, "n long").agg(F.sum("n")).first()[0] or 0
+    # Both kinds of rows of a chunk go through the exchange by part, so texts are read and split once for them.
+    answered = texts.mapInArrow(_chunks(parts, CHUNK_WORDS), ROWS).repartition("part").sortWithinPartitions("part").mapInArrow(_answer, ROWS)
+    met = answered.repartition("chunk").sortWithinPartitions("chunk")
+    return met.mapInArrow(_score(all_words, parts), "doc_id long, n_words long, score double")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
