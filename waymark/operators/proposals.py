@@ -106,8 +106,9 @@ def retry_after_ms(header: Column, now: Column, cap: int = 30_000) -> Column:
     """Seconds or an HTTP date, capped; null where it is neither."""
     seconds = header.try_cast("double")
     date = F.try_to_timestamp(F.regexp_replace(header, r"^\w+, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    wait = F.greatest(F.lit(0), F.unix_millis(date) - F.unix_millis(now)).cast("double")
-    return F.least(F.when(seconds >= 0, seconds * 1000).otherwise(wait), F.lit(float(cap)))
+    wait = F.when(date.isNotNull(), F.greatest(F.lit(0), F.unix_millis(date) - F.unix_millis(now)).cast("double"))
+    found = F.when(seconds >= 0, seconds * 1000).otherwise(wait)
+    return F.when(found.isNotNull(), F.least(found, F.lit(float(cap))))
 
 
 def backoff_ceiling_ms(attempt: Column, base: int = 400) -> Column:
