@@ -28,7 +28,6 @@ windows as it needs.
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -46,7 +45,6 @@ SEQ_LEN = 2048
 #: Sequences in a window: the span over which the mixture holds.
 WINDOW_SEQS = 32
 END_ID = 1
-CACHE_WORDS = 400_000
 #: Queues a mixture may have; the table of queues is held by every task.
 MAX_SOURCES = 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -55,13 +53,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 # -- tokens ------------------------------------------------------------------
 
 
-class WordEncoder:
-    """Byte-level BPE with a bounded cache of words.
-
-    The split pattern always begins a token at a space that comes before a
-    visible character, so text cut there gives the same ids. Words that the cache
-    lacks are encoded together and divided again by the byte lengths of tokens.
-    """
+class Encoder:
+    """Byte-level BPE: the vocabulary's own tokenizer for texts that hold a special token's string,
+    and for the rest a faster one with the same ranks and split pattern."""
 
     def __init__(self, vocabulary: str) -> None:
         import tiktoken
@@ -71,71 +65,23 @@ class WordEncoder:
         self.specials = [t.content for t in self.exact.get_added_tokens_decoder().values() if t.special]
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in word): i for word, i in self.exact.get_vocab(with_added_tokens=False).items() if all(c in alphabet for c in word) and word not in self.specials}
-        self.fast = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for word, i in ranks.items():
-            self.lengths[i] = len(word)
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids of each text."""
-        out: list[bytes | None] = []
-        todo: list[tuple[int, list[str]]] = []
-        for n, text in enumerate(texts):
-            out.append(None)
-            if any(s in text for s in self.specials):
-                out[n] = np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-            else:
-                todo.append((n, _words(text)))
-        missing = list(set().union(*(w for _, w in todo)).difference(self.cache)) if todo else []
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = list(set().union(*(w for _, w in todo)))
-        self._learn(missing)
-        get = self.cache.__getitem__
-        for n, words in todo:
-            out[n] = b"".join(map(get, words))
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        for part in (words[i : i + 20_000] for i in range(0, len(words), 20_000)):
-            # A first piece of a text has no space before it; it is learnt by itself.
-            joined = [w for w in part if w[:1] == " " and w[1:2].strip()]
-            for w in part:
-                if not (w[:1] == " " and w[1:2].strip()):
-                    self.cache[w] = np.array(self.fast.encode_ordinary(w), "<u2").tobytes()
-            if not joined:
-                continue
-            ids = np.array(self.fast.encode_ordinary("".join(joined)), "<u2")
-            ends = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in joined])) + 1
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(joined, cuts.tolist()):
-                self.cache[w] = raw[2 * at : 2 * cut]
-                at = cut
+        self.fast = tiktoken.Encoding("same ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("ids of this vocabulary need more than two bytes")
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 16-bit ids."""
+        if any(s in text for s in self.specials):
+            ids = self.exact.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, "<u2").tobytes()
 
 
 #: Fixed value: the split pattern of the vocabulary's published tokenizer.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-_NO_CUT = re.compile(r" (?!\S)")
-
-
-def _words(text: str) -> list[str]:
-    """``text`` cut before each space that a visible character follows."""
-    first, *rest = text.split(" ")
-    if not _NO_CUT.search(text):
-        return [first, *(" " + r for r in rest)] if first else [" " + r for r in rest]
-    words = [first]
-    for r in rest:
-        if r and not r[0].isspace():
-            words.append(" " + r)
-        else:
-            words[-1] += " " + r
-    return [w for w in words if w]
-
-
 def _byte_alphabet() -> dict[str, int]:
     """The printable stand-ins that byte-level vocabularies use for the 256 bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -144,8 +90,8 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 @lru_cache(maxsize=1)
-def _encoder(vocabulary: str) -> WordEncoder:
-    return WordEncoder(vocabulary)
+def _encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def _tokenise(vocabulary: str):
@@ -155,7 +101,7 @@ def _tokenise(vocabulary: str):
         task, encoder, served = TaskContext.get().partitionId(), _encoder(vocabulary), {}
         for batch in batches:
             for ids, queues, texts in columns(batch, "doc_id", "queue", "text"):
-                codes = encoder.encode([t or "" for t in texts])
+                codes = [encoder.encode(t or "") for t in texts]
                 counts = [len(c) // 2 + 1 for c in codes]
                 starts = []
                 for q, n in zip(queues, counts):

@@ -70,7 +70,7 @@ def _spread(h: np.ndarray, word: int) -> np.ndarray:
     """Independent 64 bits for each further word of a wide fingerprint."""
     if not word:
         return h
-    z = h + np.uint64(word) * np.uint64(0x9E3779B97F4A7C15)
+    z = h + np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
