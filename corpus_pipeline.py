@@ -1,8 +1,12 @@
-"""From raw documents to packed sequences: five stages, each written and read again."""
+"""From raw documents to packed sequences: five stages, each written and read again.
+
+Decisions are carried by ``doc_id``. A row without one is not judged by toxicity, near copies and
+benchmark, and stays; the exact stage judges it by its text. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from waymark.llm.decontaminate import contaminated
 from waymark.llm.exact_dedup import exact_dedup
@@ -21,15 +25,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of equal texts the row with the largest doc_id stays; of rows that are repeated with their id, one."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    marked = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    once = marked.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0)))).filter("_nth = 1")
+    return once.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left_semi").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    kept = simhash_groups(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    gone = simhash_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,7 +64,8 @@ _WORD = re.compile(r"[^\W\d_]{1,40}")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters; marks such as raised figures that the pattern lets by make no word alone."""
+    return [w for w in _WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def script_of(word: str) -> str:
