@@ -307,6 +307,18 @@ def _links(words: int, radius: int):
     return run
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    """Links with the same components: a member keeps its least root, and its roots are linked to that one.
+
+    A member has a root for each mask at most. Members of a dense group have the same few roots, so
+    most of what links them becomes one row.
+    """
+    roots = links.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("b"))
+    least = F.col("b")[0]
+    others = F.transform(F.slice("b", 2, F.greatest(F.size("b") - 1, F.lit(0))), lambda r: F.struct(least.alias("a"), r.alias("b")))
+    return roots.select(F.explode(F.concat(F.array(F.struct("a", least.alias("b"))), others)).alias("x")).select("x.a", "x.b").distinct()
+
+
 def radius_for(similarity: float, bits: int) -> int:
     """Expected differing bits at a Jaccard similarity of shingles: the angle between sets of one size."""
     return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
@@ -346,12 +358,13 @@ def simhash_groups(
             large = scratch.keep(sizes.filter(F.col("n") > BLOCK_ROWS).select("block"), f"large-{level}")
             crowded = large.limit(1).count() > 0
         here = dealt.join(large, "block", "left_anti") if crowded else dealt
-        found = here.select("block", "print").repartition("block").sortWithinPartitions("block").mapInArrow(_links(words, radius), "a binary, b binary")
+        # In order of fingerprints, so that a tree's root is its least one and blocks name the same roots.
+        found = here.select("block", "print").repartition("block").sortWithinPartitions("block", "print").mapInArrow(_links(words, radius), "a binary, b binary")
         links = found if links is None else links.unionByName(found)
         if not crowded:
             break
         dealt = scratch.keep(dealt.join(large, "block", "left_semi").select("path", "print").mapInArrow(_deal(masks, words), dealt_schema), f"dealt-{level + 1}")
-    labels = components(links.distinct(), scratch)
+    labels = components(_thinned(links), scratch)
     grouped = prints.join(labels, prints["print"] == labels["node"], "left").select("print", "least_id", F.coalesce("label", "print").alias("label"))
     least = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_print = scratch.keep(grouped.join(least, "label").select("print", "component_id"), "components")
