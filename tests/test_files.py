@@ -116,6 +116,15 @@ def test_renames_in_order_and_notes(spark):
     assert [(r.accepted, r.rejected) for r in P.note_report(links, notes).collect()] == [(2, 2)]
 
 
+def test_enhance_falls_back_where_nothing_is_let_through(spark):
+    heads = spark.createDataFrame([("s", "https://s/", "Site", "old", None, False), ("t", "https://t/", "T", "kept", None, False)], "site string, home_url string, site_name string, summary string, prose array<string>, client_rendered boolean")
+    links = spark.createDataFrame([("s", "A", 0, 0, "u", "T", None), ("t", "B", 0, 0, "v", "V", None)], "site string, section string, section_ord int, link_ord int, url string, title string, note string")
+    reply = json.dumps({"summary": "A site that explains things at length.", "sections": {"A": "guides"}, "notes": {"u": "Explains how keys rotate", "x": "Explains how keys rotate"}})
+    new_heads, new_links = P.enhance(heads, links, spark.createDataFrame([("s", 0, f"Here: {reply}"), ("t", 0, "no idea")], "site string, chunk int, reply string"))
+    assert {r.site: r.summary for r in new_heads.collect()} == {"s": "A site that explains things at length.", "t": "kept"}
+    assert {r.site: (r.section, r.note) for r in new_links.collect()} == {"s": ("Guides", "Explains how keys rotate"), "t": ("B", None)}
+
+
 def test_failures(spark):
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     df = spark.createDataFrame([("5",), ("99",), ("Mon, 01 Jan 2024 00:00:10 GMT",), ("Sun, 31 Dec 2023 00:00:10 GMT",), ("soon",), (None,)], "h string")

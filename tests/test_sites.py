@@ -21,8 +21,8 @@ ROBOTS = {
     "bare": "User-agent: *\nDisallow:",
     "longest": "User-agent: *\nDisallow: /a/\nAllow: /a/b\nDisallow: /a/b/c",
     "tie": "User-agent: *\nDisallow: /a\nAllow: /a",
-    "named": "User-agent: *\nDisallow: /\n\nUser-agent: LLMS-txt-generator\nDisallow: /x",
-    "shared": "User-agent: foo\nUser-agent: llms\nDisallow: /a # why\n\nUser-agent: *\nDisallow: /",
+    "named": "User-agent: *\nDisallow: /\n\nUser-agent: Waymark\nDisallow: /x",
+    "shared": "User-agent: foo\nUser-agent: way\nDisallow: /a # why\n\nUser-agent: *\nDisallow: /",
     "wild": "User-agent: *\nDisallow: /*.pdf$\nDisallow: /p*x\nCrawl-delay: 2.5",
     "repeat": "User-agent: *\nDisallow: /a\nUser-agent: z\nDisallow: /b\nUser-agent: *\nDisallow: /c\nCrawl-delay: 99",
     "sitemaps": "Sitemap: https://s/1.xml\nUser-agent: *\nSitemap: https://s/2.xml\nDisallow: /a",

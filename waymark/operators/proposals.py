@@ -80,6 +80,22 @@ def keep_valid(old: DataFrame, new: DataFrame, n_issues: DataFrame) -> DataFrame
     return rows.select("site", F.when(good, F.col("new")).otherwise(F.col("old")).alias("llms_txt"), good.alias("enhanced"))
 
 
+def enhance(heads: DataFrame, links: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Heads and links (see ``markdown.render``) with what is let through of the replies (site, chunk, reply):
+    a summary and section names of the last reply that has them, and notes by address."""
+    read = replies.select("site", "chunk", parse_reply(F.col("reply")).alias("p")).filter("p IS NOT NULL")
+    notes = read.select("site", "chunk", F.explode("p.notes").alias("url", "note"))
+    names = read.select("site", "chunk", F.explode("p.sections").alias("section", "name")).groupBy("site", "section").agg(F.max_by("name", "chunk").alias("name"))
+    said = read.filter("p.summary IS NOT NULL").groupBy("site").agg(F.max_by("p.summary", "chunk").alias("offer"))
+    noted = apply_notes(links, notes)
+    sections = links.filter("section_ord >= 0").select("site", "section", "section_ord").distinct()
+    renamed = rename_sections(sections, names).select("site", "section_ord", "new_name")
+    out = noted.join(renamed, ["site", "section_ord"], "left").withColumn("section", F.coalesce("new_name", "section")).select(*links.columns)
+    summed = heads.join(said, "site", "left")
+    summary = F.coalesce(accept_summary(F.col("offer"), F.col("site_name")), F.col("summary"))
+    return summed.withColumn("summary", summary).select(*heads.columns), out
+
+
 def propose(skeletons: DataFrame, proposer: Callable[[Iterator], Iterator]) -> DataFrame:
     """``site, reply`` from a pluggable callable over batches; there is none by default."""
     return skeletons.mapInPandas(proposer, "site string, reply string")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from waymark.config import LIMITS
 from waymark.functions import responses as R, text as X, urls as U
-from waymark.operators import curate as C, extract as E, markdown as M, merge as G, monitor as N, proposals as P
+from waymark.operators import curate as C, evaluation as V, extract as E, markdown as M, merge as G, monitor as N, proposals as P
 from waymark.plans import crawl as K
 from waymark.scratch import Scratch
 from waymark.sources import html as H, robots as B, sitemaps as S, store as T
@@ -289,6 +289,24 @@ def progress_labels(spark, d):
     return rows.select("id", R.describe_progress(F.col("stage"), F.col("done"), F.col("total")).alias("p")).select("id", "p.percent", "p.label")
 
 
+@query("SELECT o_custkey, list_sort(list(o_orderkey))[count(*) // 2 + 1] AS middle, count(*) AS n FROM orders GROUP BY o_custkey")
+def upper_medians(spark, d):
+    """The middle order of each customer, as the median of a few runs is taken."""
+    return _table(spark, d, "orders").groupBy("o_custkey").agg(V.upper_median("o_orderkey").alias("middle"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT round(avg(quality), 9) AS quality, round(avg(toxic), 9) AS toxic, round(avg(quality + toxic), 9) AS total,
+    (SELECT round(avg(abs(quality - doc_id % 2) + abs(toxic - doc_id % 3)), 9) FROM labels) AS noise FROM labels"""
+)
+def judgement_means(spark, d):
+    """Labels as two axes of a judgement; a second judgement is made up from ids."""
+    rows = _table(spark, d, "labels").withColumn("q2", F.col("doc_id") % 2).withColumn("t2", F.col("doc_id") % 3)
+    noise = rows.agg(F.round(V.judge_noise(["quality", "toxic"], ["q2", "t2"]), 9).alias("noise"))
+    means = V.axis_means(rows, ["quality", "toxic"])
+    return means.select(*[F.round(c, 9).alias(c) for c in means.columns]).join(noise)
+
+
 # -- responses ---------------------------------------------------------------------------------
 
 MARK = " OR ".join(f"contains(s, '{m}')" for m in X.W.CHALLENGE_MARKERS)
@@ -395,7 +413,7 @@ def crawl_waves(spark, d):
     return K.crawl(pages, seeds, listed).select("site", "wave", "plan_pos", "page_id", "url", "title", F.size("links").alias("n_links"))
 
 
-ROBOTS = "User-agent: *\nDisallow: /\n\nUser-agent: llms-txt-generator\nUser-agent: other\nDisallow: /en/\nAllow: /en/1\nDisallow: /*.html$\nAllow: /fr/ # comment\nDisallow: /fr/\nCrawl-delay: 30\nSitemap: https://x.example/sitemap.xml\n"
+ROBOTS = "User-agent: *\nDisallow: /\n\nUser-agent: waymark\nUser-agent: other\nDisallow: /en/\nAllow: /en/1\nDisallow: /*.html$\nAllow: /fr/ # comment\nDisallow: /fr/\nCrawl-delay: 30\nSitemap: https://x.example/sitemap.xml\n"
 
 
 @query(

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from waymark.config import LIMITS
 from waymark.functions.text import trim
 
-#: Fixed value: the agent that rules are read for.
-AGENT = "llms-txt-generator/0.1 (+https://llmstxt.org)"
+#: The agent that rules are read for, unless a caller names another.
+AGENT = "waymark/0.1"
 
 
 def lines(texts: DataFrame) -> DataFrame:
