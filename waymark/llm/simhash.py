@@ -366,7 +366,8 @@ def simhash_groups(
         dealt = scratch.keep(dealt.join(large, "block", "left_semi").select("path", "print").mapInArrow(_deal(masks, words), dealt_schema), f"dealt-{level + 1}")
     labels = components(_thinned(links), scratch)
     grouped = prints.join(labels, prints["print"] == labels["node"], "left").select("print", "least_id", F.coalesce("label", "print").alias("label"))
-    least = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    # Written, so that the join below has a plain exchange on either side and a large group can be split.
+    least = scratch.keep(grouped.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
     of_print = scratch.keep(grouped.join(least, "label").select("print", "component_id"), "components")
     return rows.join(of_print, "print").select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
