@@ -14,11 +14,17 @@ blocks that agree in the bits of a mask. With exact masks the bits are divided i
 ``radius + 2`` bands and a mask holds all but ``radius`` of them, so no link is lost.
 A block with more than BLOCK_ROWS fingerprints is dealt again by finer masks that
 are exact as well: the free bits are divided into ``radius + 1`` parts, at least one of
-which a link leaves alone. With sampled masks, for wide radii, a link is found
-with a stated probability instead.
-
-Copies collapse to one fingerprint first. A block yields a spanning forest of its
-links, not its pairs: at most a row for each of its fingerprints.
+which a link leaves alone. Copies collapse to one fingerprint first. A block yields a
+spanning forest of its links, not its pairs: at most a row for each of its fingerprints.
+
+Near copies by similarity (``exact=False``) link where the Jaccard similarity of their
+shingles, computed from the texts, is ``similarity`` or more. A radius wide enough for that
+is too wide for masks: at 56 of 256 bits a mask of 16 bits finds a pair with probability
+0.018. So these texts meet in blocks of equal min-hashes, BANDS times BAND_ROWS of them: a
+pair at 0.8 misses all blocks with probability 0.00006. Fingerprints, here of distinct
+shingles, collapse copies and rule out what met by chance, and the texts of the rest are
+compared. A large block first offers its rows against hubs only; rows that are still in
+different groups then are compared each with each.
 
 Defined results: words are split at ASCII blanks and A-Z lower-cased; a text
 with fewer words than a shingle is one shingle; null, empty and blank texts have
@@ -31,6 +37,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -50,7 +57,13 @@ BLOCK_ROWS = 4096
 LEVELS = 3
 #: Up to this many rows a block compares all its pairs at once.
 SMALL = 48
-SAMPLED_MASKS, SAMPLED_BITS = 48, 22
+#: Blocks of near copies agree in BAND_ROWS min-hashes; a text is in BANDS blocks.
+BANDS, BAND_ROWS = 32, 6
+#: Standard deviations that the radius adds to the expected distance: fingerprints of few
+#: shingles differ more (48 bits at 0.8 for four shingles, not 38), and survivors are compared anyway.
+MARGIN = 5
+#: A text that many others are compared with is dealt to this many tasks.
+SALTS = 32
 
 
 # -- fingerprints ------------------------------------------------------------
@@ -78,7 +91,10 @@ def _spread(h: np.ndarray, word: int) -> np.ndarray:
 
 def fingerprint(text: str | None, ngram: int, words: int) -> bytes:
     """``words`` times 64 bits, big-endian; a bit is set if it is set in over half of the hashes."""
-    h = shingle_hashes(text, ngram)
+    return _print_of(shingle_hashes(text, ngram), words)
+
+
+def _print_of(h: np.ndarray, words: int) -> bytes:
     if not len(h):
         return bytes(8 * words)
     out = []
@@ -115,11 +131,6 @@ def exact_masks(width: int, radius: int) -> list[bytes]:
     return [_mask(np.concatenate(pair), width) for pair in combinations(bands, 2)]
 
 
-def sampled_masks(width: int, number: int = SAMPLED_MASKS, bits: int = SAMPLED_BITS) -> list[bytes]:
-    rng = random.Random(SEED)
-    return [_mask(rng.sample(range(width), bits), width) for _ in range(number)]
-
-
 def finer_masks(mask: bytes, radius: int, exact: bool) -> list[bytes]:
     """Masks that hold ``mask`` and one part of the free bits each."""
     taken = np.unpackbits(np.frombuffer(mask, np.uint8))
@@ -307,6 +318,182 @@ def _links(words: int, radius: int):
     return run
 
 
+# -- near copies by similarity ---------------------------------------------------
+
+
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    rng = random.Random(SEED + 2)
+    made = [(rng.getrandbits(64), rng.getrandbits(64) | 1) for _ in range(BANDS * BAND_ROWS)]
+    return np.array([[x] for x, _ in made], np.uint64), np.array([[f] for _, f in made], np.uint64)
+
+
+def band_blocks(h: np.ndarray, salts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A number for the min-hashes of each band; none for a text without shingles."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(len(salts), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        np.minimum(least, ((h[at : at + 4096] ^ salts) * factors).min(axis=1), out=least)
+    bands = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), n) for n, b in enumerate(bands)], np.uint64).view(np.int64)
+
+
+def _near_rows(ngram: int, words: int):
+    """Fingerprints and blocks of the distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts, factors = _permutations()
+        for batch in batches:
+            for ids, keys, texts in columns(batch, "doc_id", "key", "text"):
+                sets = [np.unique(shingle_hashes(t, ngram)) for t in texts]
+                prints = pa.array([_print_of(h, words) for h in sets], pa.binary())
+                blocks = pa.array([band_blocks(h, salts, factors) for h in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), prints, blocks], ["doc_id", "key", "print", "blocks"])
+
+    return run
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that arrive sorted by block, in tables that end where a block ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks = batch.column("block").to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(blocks, blocks[-1]))
+        if not cut and held and held[-1].column("block")[-1].as_py() == blocks[0]:
+            held.append(batch)
+            continue
+        if held or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _bounds(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+    return starts, np.append(starts[1:], len(blocks))
+
+
+def _within(prints: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int16) <= radius
+
+
+def _hub_pairs(prints: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each row against the first row within the radius that has no such row itself."""
+    a_all, b_all, left = [], [], np.arange(len(prints))
+    while len(left) > 1:
+        hub, left = left[0], left[1:]
+        near = _within(prints, left, np.full(len(left), hub), radius)
+        a_all.append(left[near])
+        b_all.append(np.full(int(near.sum()), hub))
+        left = left[~near]
+    return a_all, b_all
+
+
+def _offers(words: int, radius: int):
+    """Pairs to compare (a, b): all near ones of a small block, each row and its hub in a large one.
+
+    The rows of a large block follow with their block and without b.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_blocks(batches):
+            blocks = table.column("block").to_numpy()
+            same = blocks[1:] == blocks[:-1]
+            shared = np.append(same, False) | np.append(False, same)
+            if not shared.any():
+                continue
+            blocks, raw = blocks[shared], table.column("print").filter(pa.array(shared)).combine_chunks()
+            prints = _wide(raw, words)
+            starts, ends = _bounds(blocks)
+            small = ends - starts <= SMALL
+            end_of = np.zeros(len(prints), np.int64)
+            for s, e in zip(starts[small], ends[small]):
+                end_of[s:e] = e
+            a_all, b_all, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for step in range(1, int((ends - starts)[small].max(initial=0))):
+                b = np.flatnonzero(np.arange(len(prints)) + step < end_of)
+                near = _within(prints, b + step, b, radius)
+                a_all.append(b[near] + step)
+                b_all.append(b[near])
+            for s, e in zip(starts[~small], ends[~small]):
+                a, b = _hub_pairs(prints[s:e], radius)
+                a_all += [x + s for x in a]
+                b_all += [x + s for x in b]
+                members.append(np.arange(s, e))
+            a, b, m = np.concatenate(a_all), np.concatenate(b_all), np.concatenate(members)
+            yield pa.record_batch([raw.take(pa.array(a)), raw.take(pa.array(b)), pa.nulls(len(a), pa.int64())], ["a", "b", "block"])
+            yield pa.record_batch([raw.take(pa.array(m)), pa.nulls(len(m), pa.binary()), pa.array(blocks[m])], ["a", "b", "block"])
+
+    return run
+
+
+def _across(words: int, radius: int):
+    """All near pairs (a, b) of a block whose labels differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_blocks(batches):
+            raw = table.column("print").combine_chunks()
+            prints = _wide(raw, words)
+            codes = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            for s, e in zip(*_bounds(table.column("block").to_numpy())):
+                for x in range(s + 1, e):
+                    b = s + np.flatnonzero(codes[s:x] != codes[x])
+                    b = b[_within(prints, np.full(len(b), x), b, radius)]
+                    if len(b):
+                        yield pa.record_batch([raw.take(pa.array(np.full(len(b), x))), raw.take(pa.array(b))], ["a", "b"])
+
+    return run
+
+
+def _similar(ngram: int, similarity: float):
+    """The pairs whose shingles have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = lru_cache(maxsize=64)(lambda text: np.unique(shingle_hashes(text, ngram)))
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column("text_a"), batch.column("text_b")):
+                x, y = shingles(a.as_py()), shingles(b.as_py())
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(0 < common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            mask = pa.array(kept, pa.bool_())
+            yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    return run
+
+
+def _near_links(prints: DataFrame, texts: DataFrame, words: int, radius: int, ngram: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of the fingerprints that have the similarity; ``texts`` has key and text."""
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct().join(prints.select("print", "key"), "print")
+        own = scratch.keep(texts.join(wanted, "key").select("print", "text").dropDuplicates(["print"]), f"texts-{name}")
+        hubs = pairs.select("b", "salt").distinct().join(own.select(F.col("print").alias("b"), F.col("text").alias("text_b")), "b")
+        both = pairs.join(own.select(F.col("print").alias("a"), F.col("text").alias("text_a")), "a").join(hubs, ["b", "salt"])
+        return scratch.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(ngram, similarity), "a binary, b binary"), f"links-{name}")
+
+    dealt = prints.select(F.explode("blocks").alias("block"), "print")
+    offers = scratch.keep(dealt.repartition("block").sortWithinPartitions("block", "print").mapInArrow(_offers(words, radius), "a binary, b binary, block long"), "offers")
+    first = scratch.keep(offers.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs-1")
+    links = compared(first, "1")
+    members = offers.filter("b IS NULL").select("block", F.col("a").alias("print"))
+    if not members.limit(1).count():
+        return links
+    labels = components(_thinned(links), scratch)
+    labelled = scratch.keep(members.join(labels, F.col("print") == F.col("node"), "left").select("block", "print", F.coalesce("label", "print").alias("label")), "labelled")
+    open_ = labelled.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("block")
+    rest = labelled.join(open_, "block", "left_semi").repartition("block").sortWithinPartitions("block", "print")
+    second = rest.mapInArrow(_across(words, radius), "a binary, b binary").distinct().join(first, ["a", "b"], "left_anti")
+    return links.unionByName(compared(scratch.keep(second, "pairs-2"), "2"))
+
+
+# -- groups ----------------------------------------------------------------------
+
+
 def _thinned(links: DataFrame) -> DataFrame:
     """Links with the same components: a member keeps its least root, and its roots are linked to that one.
 
@@ -320,8 +507,32 @@ def _thinned(links: DataFrame) -> DataFrame:
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Expected differing bits at a Jaccard similarity of shingles: the angle between sets of one size."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Expected differing bits at a Jaccard similarity of shingles, the angle between sets of one size, and MARGIN deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + MARGIN * math.sqrt(bits * share * (1 - share)))
+
+
+def _exact_links(prints: DataFrame, bits: int, radius: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of the fingerprints at the radius or less."""
+    words = bits // 64
+    masks = Masks(exact_masks(bits, radius), radius, True)
+    dealt_schema = "block long, path binary, print binary"
+    dealt = prints.select("print").mapInArrow(_deal(masks, words), dealt_schema)
+    links: DataFrame | None = None
+    for level in range(LEVELS + 1):
+        crowded = False
+        if level < LEVELS:
+            sizes = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+            large = scratch.keep(sizes.filter(F.col("n") > BLOCK_ROWS).select("block"), f"large-{level}")
+            crowded = large.limit(1).count() > 0
+        here = dealt.join(large, "block", "left_anti") if crowded else dealt
+        # In order of fingerprints, so that a tree's root is its least one and blocks name the same roots.
+        found = here.select("block", "print").repartition("block").sortWithinPartitions("block", "print").mapInArrow(_links(words, radius), "a binary, b binary")
+        links = found if links is None else links.unionByName(found)
+        if not crowded:
+            break
+        dealt = scratch.keep(dealt.join(large, "block", "left_semi").select("path", "print").mapInArrow(_deal(masks, words), dealt_schema), f"dealt-{level + 1}")
+    return links
 
 
 def simhash_groups(
@@ -336,34 +547,24 @@ def simhash_groups(
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``.
 
-    ``radius`` defaults to the one for ``similarity``. ``exact`` masks lose no link and suit
-    small radii; sampled ones find a link at the default similarity with probability 0.7 and
-    at 0.9 with 0.98 in each pair, and a group needs only one link of each member.
+    ``exact``: fingerprints link at ``radius`` bits or fewer, and no link is lost. Otherwise texts
+    link at a Jaccard similarity of ``similarity`` or more; ``radius`` defaults to one that rules none of those out.
     """
     words = bits // 64
     radius = radius_for(similarity, bits) if radius is None else radius
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = scratch.keep(texts.mapInArrow(_fingerprints(ngram, words), "doc_id long, print binary"), "prints")
-    prints = scratch.keep(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")), "distinct")
-    masks = Masks(exact_masks(bits, radius) if exact else sampled_masks(bits), radius, exact)
-    dealt_schema = "block long, path binary, print binary"
-    dealt = prints.select("print").mapInArrow(_deal(masks, words), dealt_schema)
-    links: DataFrame | None = None
-    for level in range(LEVELS + 1):
-        crowded = False
-        if level < LEVELS:
-            sizes = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-            large = scratch.keep(sizes.filter(F.col("n") > BLOCK_ROWS).select("block"), f"large-{level}")
-            crowded = large.limit(1).count() > 0
-        here = dealt.join(large, "block", "left_anti") if crowded else dealt
-        # In order of fingerprints, so that a tree's root is its least one and blocks name the same roots.
-        found = here.select("block", "print").repartition("block").sortWithinPartitions("block", "print").mapInArrow(_links(words, radius), "a binary, b binary")
-        links = found if links is None else links.unionByName(found)
-        if not crowded:
-            break
-        dealt = scratch.keep(dealt.join(large, "block", "left_semi").select("path", "print").mapInArrow(_deal(masks, words), dealt_schema), f"dealt-{level + 1}")
+    if exact:
+        rows = scratch.keep(texts.mapInArrow(_fingerprints(ngram, words), "doc_id long, print binary"), "prints")
+        prints = scratch.keep(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")), "distinct")
+        links = _exact_links(prints, bits, radius, scratch)
+    else:
+        texts = texts.withColumn("key", F.xxhash64("text"))
+        rows = scratch.keep(texts.mapInArrow(_near_rows(ngram, words), "doc_id long, key long, print binary, blocks array<long>"), "prints")
+        least = rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "blocks")).alias("x"))
+        prints = scratch.keep(least.select("print", "least_id", "x.key", "x.blocks"), "distinct")
+        links = _near_links(prints, texts.select("key", "text"), words, radius, ngram, similarity, scratch)
     labels = components(_thinned(links), scratch)
     grouped = prints.join(labels, prints["print"] == labels["node"], "left").select("print", "least_id", F.coalesce("label", "print").alias("label"))
     # Written, so that the join below has a plain exchange on either side and a large group can be split.
