@@ -84,3 +84,34 @@ def test_large_group_whose_members_are_not_all_near(spark, monkeypatch):
             words = edited(rng, words, 0.78)
         docs[n] = " ".join(edited(rng, words, rng.choice([0.8, 0.9, 0.97])))
     assert groups(spark, docs) == slow_groups(docs)
+
+
+@pytest.mark.parametrize("block_rows", [4096, 8])
+def test_crowded_blocks_lose_no_pair(spark, monkeypatch, block_rows):
+    """Groups whose blocks are split into chunks are joined as in whole blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(simhash, "SMALL", 5)
+    rng, docs = random.Random(14), {}
+    for _ in range(3):
+        words = made(rng, 120)
+        for n in range(70):
+            if n % 35 == 0:
+                words = edited(rng, words, 0.78)
+            docs[len(docs)] = " ".join(edited(rng, words, rng.choice([0.8, 0.85, 0.97])))
+    assert groups(spark, docs) == slow_groups(docs)
+
+
+def test_chunks_are_small_and_all_pairs_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 50)
+    prints = [bytes([n // 256, n % 256]) for n in range(1000)]
+    rows = spark.createDataFrame([(7, p, p) for p in prints], "block long, print binary, label binary")
+    sizes = spark.createDataFrame([(7, 1000, prints[0])], "block long, n long, least binary")
+    parts = {}
+    for r in simhash._split(rows.select("block", "print"), sizes).collect():
+        parts.setdefault(r.block, set()).add(bytes(r.print))
+    assert set().union(*parts.values()) == set(prints) and all(prints[0] in p and len(p) <= 100 for p in parts.values())
+    met = {}
+    for r in simhash._meetings(rows, sizes.select("block", "n")).collect():
+        met.setdefault(r.block, set()).add(bytes(r.print))
+    assert all(len(p) <= 200 for p in met.values())
+    assert len({frozenset((a, b)) for p in met.values() for a in p for b in p if a < b}) == 1000 * 999 // 2

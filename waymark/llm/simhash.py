@@ -24,7 +24,9 @@ is too wide for masks: at 56 of 256 bits a mask of 16 bits finds a pair with pro
 pair at 0.8 misses all blocks with probability 0.00006. Fingerprints, here of distinct
 shingles, collapse copies and rule out what met by chance, and the texts of the rest are
 compared. A large block first offers its rows against hubs only; rows that are still in
-different groups then are compared each with each.
+different groups then are compared each with each. A block with more than BLOCK_ROWS rows is
+split into chunks, which first share the block's least row as a hub and then meet each
+other, chunk against chunk, so a pair's chance does not depend on the size of its block.
 
 Defined results: words are split at ASCII blanks and A-Z lower-cased; a text
 with fewer words than a shingle is one shingle; null, empty and blank texts have
@@ -132,14 +134,12 @@ def exact_masks(width: int, radius: int) -> list[bytes]:
 
 
 def finer_masks(mask: bytes, radius: int, exact: bool) -> list[bytes]:
-    """Masks that hold ``mask`` and one part of the free bits each."""
+    """Masks that hold ``mask`` and one part of the free bits each; a link leaves one part alone at least."""
+    if not exact:
+        raise ValueError("masks that are not exact would lose links where a block is dealt again")
     taken = np.unpackbits(np.frombuffer(mask, np.uint8))
     free = np.flatnonzero(taken == 0)
-    if exact:
-        parts = np.array_split(free, radius + 1)
-    else:
-        rng = random.Random(mask)
-        parts = [np.array(rng.sample(free.tolist(), min(8, len(free)))) for _ in range(4)]
+    parts = np.array_split(free, radius + 1)
     return [_mask(np.concatenate([np.flatnonzero(taken), p]).astype(int), len(taken)) for p in parts]
 
 
@@ -392,8 +392,8 @@ def _hub_pairs(prints: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[
     return a_all, b_all
 
 
-def _offers(words: int, radius: int):
-    """Pairs to compare (a, b): all near ones of a small block, each row and its hub in a large one.
+def _offers(words: int, radius: int, most: int):
+    """Pairs to compare (a, b): all near ones in a block of up to ``most`` rows, each row and its hub in a large one.
 
     The rows of a large block follow with their block and without b.
     """
@@ -408,7 +408,7 @@ def _offers(words: int, radius: int):
             blocks, raw = blocks[shared], table.column("print").filter(pa.array(shared)).combine_chunks()
             prints = _wide(raw, words)
             starts, ends = _bounds(blocks)
-            small = ends - starts <= SMALL
+            small = ends - starts <= most
             end_of = np.zeros(len(prints), np.int64)
             for s, e in zip(starts[small], ends[small]):
                 end_of[s:e] = e
@@ -431,23 +431,53 @@ def _offers(words: int, radius: int):
 
 
 def _across(words: int, radius: int):
-    """All near pairs (a, b) of a block whose labels differ."""
+    """All near pairs (a, b) of a block whose labels differ; where two chunks meet, those of one row from each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_blocks(batches):
             raw = table.column("print").combine_chunks()
             prints = _wide(raw, words)
             codes = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            chunk = table.column("chunk").to_numpy()
+            a_all, b_all, held = [], [], 0
             for s, e in zip(*_bounds(table.column("block").to_numpy())):
+                two = (chunk[s:e] != chunk[s]).any()
                 for x in range(s + 1, e):
-                    b = s + np.flatnonzero(codes[s:x] != codes[x])
+                    apart = codes[s:x] != codes[x]
+                    b = s + np.flatnonzero(apart & (chunk[s:x] != chunk[x]) if two else apart)
                     b = b[_within(prints, np.full(len(b), x), b, radius)]
-                    if len(b):
-                        yield pa.record_batch([raw.take(pa.array(np.full(len(b), x))), raw.take(pa.array(b))], ["a", "b"])
+                    a_all.append(np.full(len(b), x))
+                    b_all.append(b)
+                    held += len(b)
+                    if held > 65536:
+                        yield pa.record_batch([raw.take(pa.array(np.concatenate(a_all))), raw.take(pa.array(np.concatenate(b_all)))], ["a", "b"])
+                        a_all, b_all, held = [], [], 0
+            if held:
+                yield pa.record_batch([raw.take(pa.array(np.concatenate(a_all))), raw.take(pa.array(np.concatenate(b_all)))], ["a", "b"])
 
     return run
 
 
+def _chunk(n: str):
+    """A row's chunk in a block of n rows: about BLOCK_ROWS share one."""
+    return F.pmod(F.xxhash64("print"), F.ceil(F.col(n) / F.lit(BLOCK_ROWS)))
+
+
+def _split(dealt: DataFrame, large: DataFrame) -> DataFrame:
+    """Crowded blocks as chunks, each with the block's least row; ``large`` has block, n and least."""
+    crowded = dealt.join(large, "block").withColumn("chunk", _chunk("n"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(BLOCK_ROWS)) - 1))
+    hubs = large.select("block", F.col("least").alias("print"), every.alias("chunk"))
+    return crowded.select("block", "print", "chunk").union(hubs).distinct().select(F.xxhash64("block", "chunk").alias("block"), "print")
+
+
+def _meetings(labelled: DataFrame, open_: DataFrame) -> DataFrame:
+    """Rows of blocks with several labels, once for each chunk that theirs meets; ``open_`` has block and n."""
+    rows = labelled.join(open_, "block").withColumn("chunk", _chunk("n"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(BLOCK_ROWS)) - 1)))
+    return met.select(F.xxhash64("block", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"), "chunk", "print", "label")
+
+
 def _similar(ngram: int, similarity: float):
     """The pairs whose shingles have the similarity."""
 
@@ -477,16 +507,23 @@ def _near_links(prints: DataFrame, texts: DataFrame, words: int, radius: int, ng
         return scratch.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(ngram, similarity), "a binary, b binary"), f"links-{name}")
 
     dealt = prints.select(F.explode("blocks").alias("block"), "print")
-    offers = scratch.keep(dealt.repartition("block").sortWithinPartitions("block", "print").mapInArrow(_offers(words, radius), "a binary, b binary, block long"), "offers")
+    sizes = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("least"))
+    large = scratch.keep(sizes.filter(F.col("n") > BLOCK_ROWS), "crowded")
+    is_crowded = large.limit(1).count() > 0
+    whole = dealt.join(large, "block", "left_anti").unionByName(_split(dealt, large)) if is_crowded else dealt
+    offers = scratch.keep(whole.repartition("block").sortWithinPartitions("block", "print").mapInArrow(_offers(words, radius, SMALL), "a binary, b binary, block long"), "offers")
     first = scratch.keep(offers.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs-1")
     links = compared(first, "1")
     members = offers.filter("b IS NULL").select("block", F.col("a").alias("print"))
+    if is_crowded:
+        members = members.unionByName(dealt.join(large, "block", "left_semi"))
     if not members.limit(1).count():
         return links
     labels = components(_thinned(links), scratch)
     labelled = scratch.keep(members.join(labels, F.col("print") == F.col("node"), "left").select("block", "print", F.coalesce("label", "print").alias("label")), "labelled")
-    open_ = labelled.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("block")
-    rest = labelled.join(open_, "block", "left_semi").repartition("block").sortWithinPartitions("block", "print")
+    several = labelled.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
+    open_ = scratch.keep(several.select("block", "n"), "open")
+    rest = _meetings(labelled, open_).repartition("block").sortWithinPartitions("block", "print")
     second = rest.mapInArrow(_across(words, radius), "a binary, b binary").distinct().join(first, ["a", "b"], "left_anti")
     return links.unionByName(compared(scratch.keep(second, "pairs-2"), "2"))
 
