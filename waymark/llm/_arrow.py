@@ -16,6 +16,17 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` does not have, whatever the case of its letters."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem = f"_{stem}"
+        taken.add(stem.lower())
+        names.append(stem)
+    return names
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[list, ...]]:
     """The named columns as Python lists, in slices of about SLICE_CHARS code points of the last one."""
     last = batch.column(names[-1])

@@ -8,7 +8,7 @@ from waymark.llm.language_id import op7_language_id
 from waymark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from waymark.llm.lm_score import OP5_SQL, op5_lm_score
 from waymark.llm.packing import op3_packing
-from waymark.llm.sharding import op10_sharding
+from waymark.llm.sharding import OP10_SQL, op10_sharding
 from waymark.llm.simhash import op1_simhash
 from waymark.llm.toxicity import op6_toxicity
 from waymark.llm.url_filter import op9_url_filter
@@ -30,4 +30,5 @@ ORACLE_SQL = {
     "op2_line_dedup": OP2_SQL,
     "op5_lm_score": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op10_sharding": OP10_SQL,
 }

@@ -12,7 +12,10 @@ rename leaves files that no manifest names.
 The driver handles metadata only, one line a shard. Rows never pass through it.
 
 Defined results: nulls, empty texts, repeated rows and columns of any name are
-stored as they are. An empty arrival commits a version without new shards.
+stored as they are, and names clash with nothing: where a column is called ``_metadata``
+the files' metadata are still found. An empty arrival commits a version without new shards.
+Reading a store whose versions are all empty gives an empty table. A writer that finds its
+version taken appends again on the newest one; a compaction then plans anew.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from waymark.llm._arrow import unused
 from waymark.scratch import Scratch, delete_path
 
 TARGET_BYTES = 128 << 20
@@ -32,6 +36,10 @@ FLOOR_BYTES = 1 << 20
 FANOUT = 4
 #: Shards rewritten in one round; further ones wait for the next round.
 ROUND_SHARDS = 10_000
+#: Times that a writer starts again on the newest version when another has committed first.
+ATTEMPTS = 8
+#: Arrivals of ``op10_sharding``: the table comes in this many appends.
+ARRIVALS = 4
 
 
 class Conflict(RuntimeError):
@@ -139,32 +147,40 @@ class ShardStore:
         """Write ``df``, a shard per task that has rows, and list what was written."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(folder)
-        meta = F.col("_metadata")
-        found = (
-            self.spark.read.schema(StructType.fromJson(df.schema.jsonValue()))
-            .parquet(folder)
-            .groupBy(meta["file_path"].alias("path"))
-            .agg(F.count(F.lit(1)).alias("rows"), F.max(meta["file_size"]).alias("bytes"))
-        )
+        rows = self.spark.read.schema(StructType.fromJson(df.schema.jsonValue())).parquet(folder)
+        meta = rows.metadataColumn("_metadata")
+        found = rows.groupBy(meta["file_path"].alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.max(meta["file_size"]).alias("bytes"))
         return tuple(Shard(x.path, x.rows, x.bytes) for x in sorted(found.collect()))
 
     def append(self, docs: DataFrame) -> Manifest:
         """Write the arrivals as small shards and commit them."""
-        base = self.manifest()
         written = self._write(docs)
-        return self._commit(base, docs.schema.json(), base.shards + written)
+        for _ in range(ATTEMPTS):
+            base = self.manifest()
+            try:
+                return self._commit(base, docs.schema.json(), base.shards + written)
+            except Conflict:
+                continue
+        raise Conflict(f"{ATTEMPTS} writers came first")
 
     def compact(self) -> Manifest:
         """Merge runs, round by round, until no tier has a run; each round commits a version."""
-        base = self.manifest()
+        conflicts, base = 0, self.manifest()
         while runs := plan_runs(base.shards, self.target, self.floor, self.fanout):
             where = {s.path: i for i, run in enumerate(runs) for s in run}
             # At most ROUND_SHARDS rows, so this side is small whatever the store holds.
             groups = F.broadcast(self.spark.createDataFrame(list(where.items()), "path string, run int"))
-            rows = self._rows(base.schema, list(where)).withColumn("_shard_path", F.col("_metadata.file_path"))
-            merged = rows.join(groups, F.col("_shard_path") == groups["path"]).repartitionById(len(runs), groups["run"]).drop(groups["run"], groups["path"]).drop("_shard_path")
+            rows = self._rows(base.schema, list(where))
+            (path,) = unused(rows, "shard_path")
+            located = rows.withColumn(path, rows.metadataColumn("_metadata")["file_path"])
+            merged = located.join(groups, located[path] == groups["path"]).repartitionById(len(runs), groups["run"]).drop(groups["run"], groups["path"]).drop(path)
             written = self._write(merged)
-            base = self._commit(base, base.schema, tuple(s for s in base.shards if s.path not in where) + written)
+            try:
+                base = self._commit(base, base.schema, tuple(s for s in base.shards if s.path not in where) + written)
+            except Conflict:
+                conflicts, base = conflicts + 1, self.manifest()
+                if conflicts == ATTEMPTS:
+                    raise
         return base
 
     def _rows(self, schema: str, paths: list[str]) -> DataFrame:
@@ -194,10 +210,15 @@ class ShardStore:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store all documents, compact, and read the committed version back: a row per document
-    with the shard that holds it."""
+    """All documents, stored in ARRIVALS appends and compacted, as the committed version gives them back."""
     store = ShardStore(spark, f"{Scratch(spark, 'shards').path}/store")
-    store.append(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
+    for n in range(ARRIVALS):
+        store.append(docs.filter(arrival == n))
     store.compact()
     store.vacuum()
-    return store.read().select("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP10_SQL = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
