@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from waymark.llm.exact_dedup import DigestIndex, exact_dedup
+from waymark.llm.exact_dedup import Claimed, DigestIndex, buckets_for, exact_dedup
 from waymark.llm.line_dedup import line_dedup
 from waymark.llm.sharding import Conflict, Shard, ShardStore, plan_runs, tier
 
@@ -74,6 +74,39 @@ def test_index_persists_over_batches(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan
 
 
+def test_a_repeated_batch_gets_the_same_answer(spark, tmp_path):
+    """The first try dies between the append and its answer; the job is run again under its batch's name."""
+    index = DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    frame = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    index.add(frame.filter("doc_id = 3"), batch="old").count()
+    append = DigestIndex._release
+    try:
+        DigestIndex._release = lambda self: 1 / 0
+        with pytest.raises(ZeroDivisionError):
+            index.add(frame, batch="new")
+    finally:
+        DigestIndex._release = append
+    assert index.rows().count() == 2
+    with pytest.raises(Claimed):
+        index.add(frame, batch="other")
+    again = {r.doc_id: (r.kept, r.keep_id) for r in index.add(frame, batch="new").collect()}
+    assert again == {1: (False, 2), 2: (True, 2), 3: (False, 3)} and index.rows().count() == 2
+    assert {r.doc_id: r.kept for r in index.add(frame, batch="later").collect()} == {1: False, 2: False, 3: False}
+
+
+def test_buckets_grow_and_tables_go(spark, tmp_path):
+    assert [buckets_for(n) for n in (0, 1, 16_000_000, 16_000_001, 10**12)] == [16, 16, 16, 32, 1 << 16]
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")}
+    before = tables()
+    index = DigestIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    index.add(spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string")).count()
+    wide = index.rebucket(f"file://{tmp_path}/wide", 8)
+    assert wide.buckets == 8 and index.buckets == 2 and sorted(wide.rows().collect()) == sorted(index.rows().collect())
+    index.drop(), wide.drop()
+    exact_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+    assert tables() == before
+
+
 # -- shards -----------------------------------------------------------------------
 
 
@@ -113,3 +146,36 @@ def test_a_version_is_committed_once(spark, tmp_path):
     with pytest.raises(Conflict):
         store._commit(base, base.schema, ())
     assert store.manifest().shards == base.shards and math.isclose(len(store.versions()), 2)
+
+
+def test_query_over_odd_tables(spark, tmp_path):
+    """Empty, null and repeated rows, and columns with the names that the store might use itself."""
+    from waymark.llm.sharding import op10_sharding
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a", "en", "x", 1), (1, "a", "en", "x", 1), (None, None, None, None, None), (2, "", "de", "y", 0), (3, "long " * 100_000, "fr", "z", 500_000)]
+    for name, some in (("full", rows), ("empty", [])):
+        spark.createDataFrame(some, schema).repartition(2).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        got = op10_sharding(spark, f"file://{tmp_path}/{name}").collect()
+        want = [(i, la, so, n, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, la, so, n in some]
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_columns_of_any_name_are_stored(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"p{i}", i, "m") for i in range(40)], "run int, shard_path string, path int, _metadata string").repartition(8)
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, floor_bytes=64)
+    before = store.append(frame)
+    after = store.compact()
+    assert len(after.shards) < len(before.shards) and sorted(store.read().collect()) == sorted(frame.collect())
+    assert store.read().columns == frame.columns
+
+
+def test_a_writer_that_was_late_appends_again(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    first = store.append(spark.createDataFrame([(1,)], "a int"))
+    stale = [first]
+    newest = store.manifest
+    store._commit(first, first.schema, first.shards)
+    store.manifest = lambda version=None: stale.pop() if stale else newest(version)
+    assert store.append(spark.createDataFrame([(2,)], "a int")).version == 3
+    assert sorted(r.a for r in store.read().collect()) == [1, 2]
