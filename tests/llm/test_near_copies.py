@@ -1,11 +1,12 @@
 """Near copies by similarity against the Jaccard similarity of all pairs."""
 
+import math
 import random
 
 import pytest
 
 from waymark.llm import simhash
-from waymark.llm.simhash import simhash_groups
+from waymark.llm.simhash import first_of_groups, simhash_groups
 
 
 def shingles(text, ngram=5):
@@ -115,3 +116,53 @@ def test_chunks_are_small_and_all_pairs_meet(spark, monkeypatch):
         met.setdefault(r.block, set()).add(bytes(r.print))
     assert all(len(p) <= 200 for p in met.values())
     assert len({frozenset((a, b)) for p in met.values() for a in p for b in p if a < b}) == 1000 * 999 // 2
+
+
+def near_pairs(texts, similarity=0.8):
+    """All pairs of texts at the similarity, by an inverted index of the rarest shingles: two sets at
+    0.8 share one of the rarest n - ceil(0.8 n) + 1 of either."""
+    from collections import Counter, defaultdict
+
+    sets = [shingles(t) for t in texts]
+    seen = Counter(x for s in sets for x in s)
+    index, pairs = defaultdict(list), set()
+    for n, s in enumerate(sets):
+        rarest = sorted(s, key=lambda x: (seen[x], x))[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+        for other in {o for x in rarest for o in index[x]}:
+            if jaccard(s, sets[other]) >= similarity - 1e-12:
+                pairs.add((other, n))
+        for x in rarest:
+            index[x].append(n)
+    return pairs
+
+
+@pytest.mark.parametrize("block_rows", [4096, 50])
+def test_recall_on_given_documents(spark, monkeypatch, block_rows):
+    """Of all pairs of different texts at 0.8 or more in the documents, whatever the size of a block."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block_rows)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.text: r.doc_id for r in docs.collect() if r.text and r.text.split()}
+    pairs = near_pairs(list(texts))
+    ids = list(texts.values())
+    group = {r.doc_id: r.component_id for r in simhash_groups(docs).collect()}
+    together = sum(group[ids[a]] == group[ids[b]] for a, b in pairs)
+    assert len(pairs) > 40 and together >= 0.99 * len(pairs)
+    # No component holds more than the pairs explain.
+    label = {i: i for i in ids}
+    for _ in range(20):
+        for a, b in pairs:
+            label[ids[a]] = label[ids[b]] = min(label[ids[a]], label[ids[b]])
+    assert len({group[i] for i in ids}) >= len(set(label.values()))
+
+
+def test_rows_of_a_group_but_the_first_go(spark):
+    """Ids that are shared or missing, repeated rows and columns named like those within."""
+    rng = random.Random(15)
+    a, b, c = (made(rng, 80) for _ in range(3))
+    text = " ".join
+    near = edited(rng, a, 0.9)
+    rows = [(5, text(a), 1), (4, text(near), 2), (7, text(b), 3), (7, text(c), 4), (None, text(edited(rng, b, 0.9)), 5), (None, text(made(rng, 30)), 6), (9, None, 7), (8, "", 8), (4, text(near), 9)]
+    frame = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key int, text_key string")
+    left = first_of_groups(frame)
+    assert left.columns == frame.columns and sorted(r.key for r in left.collect()) == [2, 3, 4, 6, 8, 9]
+    assert first_of_groups(frame.limit(0)).collect() == []

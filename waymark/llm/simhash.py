@@ -14,7 +14,7 @@ blocks that agree in the bits of a mask. With exact masks the bits are divided i
 ``radius + 2`` bands and a mask holds all but ``radius`` of them, so no link is lost.
 A block with more than BLOCK_ROWS fingerprints is dealt again by finer masks that
 are exact as well: the free bits are divided into ``radius + 1`` parts, at least one of
-which a link leaves alone. Copies collapse to one fingerprint first. A block yields a
+which a link leaves alone, until no block can hold more. Copies collapse to one fingerprint first. A block yields a
 spanning forest of its links, not its pairs: at most a row for each of its fingerprints.
 
 Near copies by similarity (``exact=False``) link where the Jaccard similarity of their
@@ -22,9 +22,11 @@ shingles, computed from the texts, is ``similarity`` or more. A radius wide enou
 is too wide for masks: at 56 of 256 bits a mask of 16 bits finds a pair with probability
 0.018. So these texts meet in blocks of equal min-hashes, BANDS times BAND_ROWS of them: a
 pair at 0.8 misses all blocks with probability 0.00006. Fingerprints, here of distinct
-shingles, collapse copies and rule out what met by chance, and the texts of the rest are
-compared. A large block first offers its rows against hubs only; rows that are still in
-different groups then are compared each with each. A block with more than BLOCK_ROWS rows is
+shingles, collapse copies. A block's pivots are rows of its own: their table rules out most
+of what met by chance, the distance of the two fingerprints the rest of it, and the texts
+of the pairs that survive both are compared. A large block first offers its rows against hubs only. Of those blocks the ones
+whose rows are still in different groups get the rows' shingles, and count common ones of all
+rows in the task: it sends out a link for each two groups that it joins, not pairs. A block with more than BLOCK_ROWS rows is
 split into chunks, which first share the block's least row as a hub and then meet each
 other, chunk against chunk, so a pair's chance does not depend on the size of its block.
 
@@ -47,16 +49,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.llm._arrow import columns
+from waymark.llm._arrow import columns, unused
 from waymark.llm._links import components
 from waymark.scratch import Scratch
 
 SEED = 42
 #: Reference fingerprints in the pivot table.
 PIVOTS = 16
-#: A block with more fingerprints is dealt again by finer masks, LEVELS times at most.
+#: A block with more fingerprints is dealt again by finer masks, LEVELS times at most. For 64 bits
+#: and a radius of 3 that leaves 11 free bits, so no block has more than 2048 fingerprints in the end.
 BLOCK_ROWS = 4096
-LEVELS = 3
+LEVELS = 5
+#: Rows of a block of near copies that are its reference fingerprints.
+OWN_PIVOTS = 4
 #: Up to this many rows a block compares all its pairs at once.
 SMALL = 48
 #: Blocks of near copies agree in BAND_ROWS min-hashes; a text is in BANDS blocks.
@@ -64,6 +69,8 @@ BANDS, BAND_ROWS = 32, 6
 #: Standard deviations that the radius adds to the expected distance: fingerprints of few
 #: shingles differ more (48 bits at 0.8 for four shingles, not 38), and survivors are compared anyway.
 MARGIN = 5
+#: Shingles that count as one row where a block's texts are dealt to chunks.
+CHUNK_SHINGLES = 500
 #: A text that many others are compared with is dealt to this many tasks.
 SALTS = 32
 
@@ -376,6 +383,14 @@ def _bounds(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(blocks))
 
 
+def own_pivot_table(prints: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hamming distances of each row to OWN_PIVOTS rows of its block. Against references that are near some rows
+    the coordinates of copies and strangers differ by more than the radius; against fixed ones all are about half the bits."""
+    sizes = ends - starts
+    refs = [np.repeat(starts + k * sizes // OWN_PIVOTS, sizes) for k in range(OWN_PIVOTS)]
+    return np.stack([np.bitwise_count(prints ^ prints[r]).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
+
+
 def _within(prints: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int16) <= radius
 
@@ -413,11 +428,12 @@ def _offers(words: int, radius: int, most: int):
             for s, e in zip(starts[small], ends[small]):
                 end_of[s:e] = e
             a_all, b_all, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            pivots_of = own_pivot_table(prints, starts, ends)
             for step in range(1, int((ends - starts)[small].max(initial=0))):
                 b = np.flatnonzero(np.arange(len(prints)) + step < end_of)
-                near = _within(prints, b + step, b, radius)
-                a_all.append(b[near] + step)
-                b_all.append(b[near])
+                a, b = _verified(prints, pivots_of, b + step, b, radius)
+                a_all.append(a)
+                b_all.append(b)
             for s, e in zip(starts[~small], ends[~small]):
                 a, b = _hub_pairs(prints[s:e], radius)
                 a_all += [x + s for x in a]
@@ -430,30 +446,63 @@ def _offers(words: int, radius: int, most: int):
     return run
 
 
-def _across(words: int, radius: int):
-    """All near pairs (a, b) of a block whose labels differ; where two chunks meet, those of one row from each."""
+def _shingle_sets(ngram: int):
+    """The distinct shingles of each text, sorted, as 64-bit hashes in a row of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for prints, texts in columns(batch, "print", "text"):
+                sets = [np.unique(shingle_hashes(t, ngram)) for t in texts]
+                yield pa.record_batch([pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["print", "shingles", "size"])
+
+    return run
+
+
+def block_links(sets: list[np.ndarray], labels: np.ndarray, chunk: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of one block that join its labels: for each row, one to each label it is similar to.
+
+    Common shingles of a row with all rows before it are counted at once, from lists of the rows that have
+    each shingle. Where two chunks meet, rows of the same one have met elsewhere. ``labels`` are joined in place.
+    """
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(number, kind="stable")]
+    counts = np.bincount(number)
+    begins = np.cumsum(counts) - counts
+    two, links = (chunk != chunk[0]).any(), []
+    for x in range(1, len(sets)):
+        apart = labels[:x] != labels[x]
+        if two:
+            apart &= chunk[:x] != chunk[x]
+        if not apart.any():
+            continue
+        own = number[ends[x] - sizes[x] : ends[x]]
+        n = counts[own]
+        at = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owners[at], minlength=len(sets))[:x]
+        near = np.flatnonzero(apart & (common > 0) & (common >= similarity * (sizes[:x] + sizes[x] - common) - 1e-9))
+        for y in near:
+            if labels[y] != labels[x]:
+                links.append((x, int(y)))
+                labels[labels == labels[y]] = labels[x]
+    return links
+
+
+def _across(similarity: float):
+    """Links (a, b) that join the labels of a block's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_blocks(batches):
             raw = table.column("print").combine_chunks()
-            prints = _wide(raw, words)
-            codes = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-            chunk = table.column("chunk").to_numpy()
-            a_all, b_all, held = [], [], 0
+            labels = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+            chunk, a, b = table.column("chunk").to_numpy(), [], []
             for s, e in zip(*_bounds(table.column("block").to_numpy())):
-                two = (chunk[s:e] != chunk[s]).any()
-                for x in range(s + 1, e):
-                    apart = codes[s:x] != codes[x]
-                    b = s + np.flatnonzero(apart & (chunk[s:x] != chunk[x]) if two else apart)
-                    b = b[_within(prints, np.full(len(b), x), b, radius)]
-                    a_all.append(np.full(len(b), x))
-                    b_all.append(b)
-                    held += len(b)
-                    if held > 65536:
-                        yield pa.record_batch([raw.take(pa.array(np.concatenate(a_all))), raw.take(pa.array(np.concatenate(b_all)))], ["a", "b"])
-                        a_all, b_all, held = [], [], 0
-            if held:
-                yield pa.record_batch([raw.take(pa.array(np.concatenate(a_all))), raw.take(pa.array(np.concatenate(b_all)))], ["a", "b"])
+                sets = [np.frombuffer(x, "<u8") for x in table.column("shingles").slice(s, e - s).to_pylist()]
+                for x, y in block_links(sets, labels[s:e], chunk[s:e], similarity):
+                    a.append(s + x)
+                    b.append(s + y)
+            yield pa.record_batch([raw.take(pa.array(a, pa.int64())), raw.take(pa.array(b, pa.int64()))], ["a", "b"])
 
     return run
 
@@ -475,7 +524,7 @@ def _meetings(labelled: DataFrame, open_: DataFrame) -> DataFrame:
     """Rows of blocks with several labels, once for each chunk that theirs meets; ``open_`` has block and n."""
     rows = labelled.join(open_, "block").withColumn("chunk", _chunk("n"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(BLOCK_ROWS)) - 1)))
-    return met.select(F.xxhash64("block", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"), "chunk", "print", "label")
+    return met.select(F.xxhash64("block", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"), "chunk", "print", "label", *[c for c in labelled.columns if c == "shingles"])
 
 
 def _similar(ngram: int, similarity: float):
@@ -521,11 +570,18 @@ def _near_links(prints: DataFrame, texts: DataFrame, words: int, radius: int, ng
         return links
     labels = components(_thinned(links), scratch)
     labelled = scratch.keep(members.join(labels, F.col("print") == F.col("node"), "left").select("block", "print", F.coalesce("label", "print").alias("label")), "labelled")
-    several = labelled.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
-    open_ = scratch.keep(several.select("block", "n"), "open")
-    rest = _meetings(labelled, open_).repartition("block").sortWithinPartitions("block", "print")
-    second = rest.mapInArrow(_across(words, radius), "a binary, b binary").distinct().join(first, ["a", "b"], "left_anti")
-    return links.unionByName(compared(scratch.keep(second, "pairs-2"), "2"))
+    several = labelled.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("block")
+    several = scratch.keep(several, "several")
+    if not several.limit(1).count():
+        return links
+    rest = scratch.keep(labelled.join(several, "block", "left_semi"), "rest")
+    keys = rest.select("print").distinct().join(prints.select("print", "key"), "print")
+    sets = texts.join(keys, "key").select("print", "text").dropDuplicates(["print"]).mapInArrow(_shingle_sets(ngram), "print binary, shingles binary, size long")
+    rest = scratch.keep(rest.join(scratch.keep(sets, "sets"), "print"), "rest-sets")
+    # A chunk is of BLOCK_ROWS texts of usual length, or of fewer long ones.
+    open_ = scratch.keep(rest.groupBy("block").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("size") / F.lit(CHUNK_SHINGLES))).alias("n")), "open")
+    met = _meetings(rest, open_).repartition("block").sortWithinPartitions("block", "print")
+    return links.unionByName(scratch.keep(met.mapInArrow(_across(similarity), "a binary, b binary"), "links-2"))
 
 
 # -- groups ----------------------------------------------------------------------
@@ -572,6 +628,31 @@ def _exact_links(prints: DataFrame, bits: int, radius: int, scratch: Scratch) ->
     return links
 
 
+def _grouped(texts: DataFrame, ngram: int, bits: int, radius: int | None, similarity: float, exact: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints, and of each fingerprint its least rows and the least fingerprint of its group."""
+    words = bits // 64
+    radius = radius_for(similarity, bits) if radius is None else radius
+    if exact:
+        rows = scratch.keep(texts.mapInArrow(_fingerprints(ngram, words), "doc_id long, print binary"), "prints")
+        prints = scratch.keep(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")), "distinct")
+        links = _exact_links(prints, bits, radius, scratch)
+    else:
+        texts = texts.withColumn("key", F.xxhash64("text"))
+        rows = scratch.keep(texts.mapInArrow(_near_rows(ngram, words), "doc_id long, key long, print binary, blocks array<long>"), "prints")
+        least = rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "blocks")).alias("x"), F.min(_row_order()).alias("first"))
+        prints = scratch.keep(least.select("print", "least_id", "first", "x.key", "x.blocks"), "distinct")
+        links = _near_links(prints, texts.select("key", "text"), words, radius, ngram, similarity, scratch)
+    labels = components(_thinned(links), scratch)
+    labelled = prints.join(labels, prints["print"] == labels["node"], "left").withColumn("label", F.coalesce("label", "print")).drop("node", "key", "blocks")
+    # Written, so that the joins that follow have a plain exchange on either side and a large group can be split.
+    return rows, scratch.keep(labelled, "labelled-prints")
+
+
+def _row_order():
+    """The order in which rows stand for their group: least id, then least hash of the text; rows without an id last."""
+    return F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col("key").alias("of_text"))
+
+
 def simhash_groups(
     docs: DataFrame,
     ngram: int = 5,
@@ -587,28 +668,32 @@ def simhash_groups(
     ``exact``: fingerprints link at ``radius`` bits or fewer, and no link is lost. Otherwise texts
     link at a Jaccard similarity of ``similarity`` or more; ``radius`` defaults to one that rules none of those out.
     """
-    words = bits // 64
-    radius = radius_for(similarity, bits) if radius is None else radius
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if exact:
-        rows = scratch.keep(texts.mapInArrow(_fingerprints(ngram, words), "doc_id long, print binary"), "prints")
-        prints = scratch.keep(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")), "distinct")
-        links = _exact_links(prints, bits, radius, scratch)
-    else:
-        texts = texts.withColumn("key", F.xxhash64("text"))
-        rows = scratch.keep(texts.mapInArrow(_near_rows(ngram, words), "doc_id long, key long, print binary, blocks array<long>"), "prints")
-        least = rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "blocks")).alias("x"))
-        prints = scratch.keep(least.select("print", "least_id", "x.key", "x.blocks"), "distinct")
-        links = _near_links(prints, texts.select("key", "text"), words, radius, ngram, similarity, scratch)
-    labels = components(_thinned(links), scratch)
-    grouped = prints.join(labels, prints["print"] == labels["node"], "left").select("print", "least_id", F.coalesce("label", "print").alias("label"))
-    # Written, so that the join below has a plain exchange on either side and a large group can be split.
-    least = scratch.keep(grouped.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
-    of_print = scratch.keep(grouped.join(least, "label").select("print", "component_id"), "components")
+    rows, labelled = _grouped(texts, ngram, bits, radius, similarity, exact, scratch)
+    least = scratch.keep(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
+    of_print = scratch.keep(labelled.join(least, "label").select("print", "component_id"), "components")
     return rows.join(of_print, "print").select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
+def first_of_groups(docs: DataFrame, ngram: int = 5, bits: int = 256, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose group of near copies has an earlier one: of each group the least id stays.
+
+    A row is told by its id and its text, so rows that share an id, or have none, are judged each;
+    a row that is repeated with id and text stays or goes as one.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash-first")
+    (key,) = unused(docs, "text_key")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, labelled = _grouped(texts, ngram, bits, None, similarity, False, scratch)
+    first = scratch.keep(labelled.groupBy("label").agg(F.min("first").alias("winner")), "winners")
+    of_print = scratch.keep(labelled.join(first, "label").select("print", "winner"), "winner-of-print")
+    gone = rows.join(of_print, "print").filter(_row_order() != F.col("winner")).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    gone = scratch.keep(gone, "gone")
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    same = (keyed[key] == gone["gone_key"]) & F.col(id_col).cast("long").eqNullSafe(gone["gone_id"])
+    return keyed.join(gone, same, "left_anti").drop(key)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), ngram=3, bits=64, radius=3, exact=True)
