@@ -79,3 +79,51 @@ def test_entry_registers_the_pipeline():
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and {f"op{n}_" for n in range(1, 11)} == {m[0] for q in __spark_entry__.queries() if (m := re.match(r"op\d+_", q))}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_pass_each_stage(spark, name):
+    """Null, repeated, empty and very long rows, columns with the names that the stages might use, empty tables."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, "one text", "x"), (1, "one text", "x"), (1, "another", "x"), (None, "one text", "y"), (None, None, None), (2, "", "x"), (None, long, "x"), (3, "\x00퟿ 𝔘 é", "x")]
+    names = ["_id", "_sha", "_nth", "_digest", "text_key", "kept_id", "score", "path", "_"]
+    schema = "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    frame = spark.createDataFrame([(*r, "en", None, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)], schema)
+    got = stage(spark, frame, SF)
+    assert stage(spark, frame.limit(0), SF).collect() == []
+    if name == "packing":
+        assert sorted(str(r.doc_id) for r in got.filter("start = 0").collect()) == sorted(str(r[0]) for r in rows)
+        return
+    assert got.columns == frame.columns
+    left = sorted(r["_id"] for r in got.collect())
+    keeps = {"toxicity": range(8), "decontaminate": range(8), "exact_dedup": [0, 2, 5, 6, 7], "simhash": [0, 1, 2, 5, 6, 7]}
+    assert left == [f"_id{i}" for i in keeps[name]] and left == sorted(r["_id"] for r in got.collect())
+
+
+def test_rows_without_an_id_are_judged(spark):
+    """A toxic row, a contaminated one and a near copy without ids go; their clean neighbours stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = ids(stages["toxicity"](spark, docs, SF))
+    toxic = docs.filter(~docs.doc_id.isin(sorted(kept))).limit(1).first()
+    nameless = spark.createDataFrame([(None, toxic.text, "en", "s", 1)], docs.schema)
+    assert stages["toxicity"](spark, docs.unionByName(nameless), SF).filter("doc_id IS NULL").count() == 0
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    held = spark.createDataFrame([(None, f"before {item} after", "en", "s", 1), (None, "clean", "en", "s", 1)], docs.schema)
+    assert [r.text for r in stages["decontaminate"](spark, held, SF).collect()] == ["clean"]
+
+
+def test_near_stage_equals_all_pairs(spark, stages):
+    """Rows that the near-copy stage keeps on the given tables, against the similarity of all pairs."""
+    from tests.llm.test_near_copies import near_pairs
+
+    rows = sorted((r.doc_id, r.text) for r in stages[2].collect() if r.text and r.text.split())
+    label = {i: i for i, _ in rows}
+    pairs = near_pairs([t for _, t in rows])
+    for _ in range(len(pairs)):
+        for a, b in pairs:
+            label[rows[a][0]] = label[rows[b][0]] = min(label[rows[a][0]], label[rows[b][0]])
+    blank = sorted(r.doc_id for r in stages[2].collect() if not (r.text and r.text.split()))[:1]
+    assert ids(stages[3]) == set(label.values()) | set(blank)

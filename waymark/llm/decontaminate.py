@@ -14,8 +14,8 @@ block is a pass over the documents, so what is broadcast stays bounded whatever
 the size of the benchmark. Documents are never shuffled.
 
 Defined results: tokens are runs of letters and digits, lower-cased. An item of
-fewer than MIN_MATCH tokens, or with a null text or id, is never found; an item
-longer than a block is a block by itself. Repeated items are found each. Null
+fewer than MIN_MATCH tokens, or with a null text or id, is never found: so short a
+phrase stands in clean texts as well. An item longer than a block is a block by itself. Repeated items are found each. Null
 and empty documents hold nothing; repeated documents are reported each. Other
 columns are ignored. Empty tables give an empty table.
 """
@@ -160,6 +160,29 @@ def _find(items: list[tuple[int, str]], min_match: int, coverage: float):
     return run
 
 
+def _free(items: list[tuple[int, str]], min_match: int, coverage: float, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, min_match)
+        for batch in batches:
+            free = [not matcher.find(t, coverage) for (texts,) in columns(batch, column) for t in texts]
+            yield batch.filter(pa.array(free, pa.bool_()))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of BLOCK_TOKENS tokens, one after the other."""
+    scratch = Scratch(benchmark.sparkSession, "decontaminate")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    # An upper bound on tokens: every second code point.
+    size = (F.length("text") / 2 + 1).cast("long")
+    running = F.sum(size).over(Window.partitionBy("lane").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lanes = max(1, int((items.agg(F.sum(size)).first()[0] or 0) // BLOCK_TOKENS))
+    dealt = scratch.keep(items.withColumn("lane", F.pmod(F.xxhash64("item_id"), F.lit(lanes))).withColumn("block", (running / BLOCK_TOKENS).cast("long")), "items")
+    for b in sorted((r.lane, r.block) for r in dealt.select("lane", "block").distinct().collect()):
+        yield [(r.item_id, r.text) for r in dealt.filter((F.col("lane") == b[0]) & (F.col("block") == b[1])).collect()]
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -171,21 +194,27 @@ def contaminated(
     item_text_col: str = "text",
 ) -> DataFrame:
     """A row for each document and item that it holds, see ``FOUND``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    # An upper bound on tokens: every second code point.
-    size = (F.length("text") / 2 + 1).cast("long")
-    running = F.sum(size).over(Window.partitionBy("lane").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    lanes = max(1, int((items.agg(F.sum(size)).first()[0] or 0) // BLOCK_TOKENS))
-    dealt = scratch.keep(items.withColumn("lane", F.pmod(F.xxhash64("item_id"), F.lit(lanes))).withColumn("block", (running / BLOCK_TOKENS).cast("long")), "items")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out: DataFrame | None = None
-    for b in sorted((r.lane, r.block) for r in dealt.select("lane", "block").distinct().collect()):
-        block = [(r.item_id, r.text) for r in dealt.filter((F.col("lane") == b[0]) & (F.col("block") == b[1])).collect()]
+    for block in _blocks(benchmark, item_col, item_text_col):
         found = texts.mapInArrow(_find(block, min_match, coverage), FOUND)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], FOUND)
+    return out if out is not None else docs.sparkSession.createDataFrame([], FOUND)
+
+
+def uncontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    min_match: int = MIN_MATCH,
+    coverage: float = COVERAGE,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item, whole; each is decided where it is, so nothing is shuffled."""
+    for block in _blocks(benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(_free(block, min_match, coverage, text_col), docs.schema)
+    return docs
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

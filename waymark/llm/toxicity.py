@@ -210,6 +210,17 @@ def _score(model: bytes, curve: list[float] | None):
     return run
 
 
+def _keep(model: bytes, curve: list[float], column: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = Evidence(*pickle.loads(model))
+        for batch in batches:
+            found = np.array([evidence(t) for (texts,) in columns(batch, column) for t in texts], float).reshape(-1, 2)
+            z = np.clip(features(found) @ np.array(curve), -30, 30)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-z)) < threshold))
+
+    return run
+
+
 class ToxicityModel:
     """A fitted model: a table of log-ratios and a curve, both of bounded size."""
 
@@ -252,6 +263,12 @@ class ToxicityModel:
             return rows.select("doc_id", F.lit(0.5).alias("score"))
         return rows.mapInArrow(_score(self.model, self.curve), "doc_id long, score double")
 
+    def keep(self, docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+        """The rows that score less than ``threshold``, whole; each is decided where it is, so nothing is shuffled."""
+        if self.model is None:
+            return docs if 0.5 < threshold else docs.limit(0)
+        return docs.mapInArrow(_keep(self.model, self.curve, text_col, threshold), docs.schema)
+
 
 def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
