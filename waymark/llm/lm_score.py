@@ -1,265 +1,278 @@
 """Stupid-backoff scores of all documents under the counts of all other documents.
 
-Documents are gathered into chunks. A chunk lists its n-grams' hashes and counts,
-dealt out by hash to the parts of the count table; a part sums the counts of each
-n-gram over all chunks and answers every chunk that asked for an n-gram which
-other chunks have as well (the rest a chunk knows by itself). Each chunk then
-joins totals to its n-grams, takes each document's own counts off, and sums the
-scores of each document. An n-gram of a third of all documents is one entry a
-chunk, so no part is hot; parts and chunks are of bounded size.
-
 For a word w after v, with counts c' over the other documents and N' their words:
 S(w|v) = c'(vw)/c'(v) if c'(vw) > 0, else BACKOFF * S(w); S(w) = c'(w)/N' if
 c'(w) > 0, else 1/(N' + 1). A document's first word scores S(w). The score is the
 mean of the natural logarithms.
 
+All of it is relational. A table of word counts is summed over the corpus. Documents are
+exploded into rows of (bigram, document), with the bigram's count in the document; the
+table of bigram counts is the sum of these rows, partitioned by the bigram's hash like the
+rows themselves, which join it. A row then needs the count of one word more: that of v
+if other documents have the bigram, else that of w. Rows that lack it are summed by word and
+document and join the table of word counts. At last all is summed by document.
+
+No key is hot. Words with FREQUENT_WORD of all words, and bigrams with FREQUENT_PAIR of
+them, are at most 1 / FREQUENT_WORD and 2 / FREQUENT_PAIR many whatever the corpus; their
+counts, summed where the words are, go to the tasks, which settle what needs no other. So a
+bigram or word that moves has less than 1.5 times that share of the words. The bigrams are
+taken in PASSES parts by hash, one after the other, so that shuffled rows of one part only
+are on disk at a time.
+
 Defined results: words are split at ASCII blanks and A-Z lower-cased. A text
 without words (null included) has 0 words and score 0. Every row is a document of
-its own, repeated rows and null ids too. Other columns are ignored. An empty table
-gives an empty table. A task that is repeated must get its rows in the same order,
-as it does from a table.
-
-Within a part n-grams are told apart by KEY_BITS bits of hash, and a part holds
-n-grams of about PART_BYTES of input, so one in some 10^8 meets another's count at
-any size of the corpus.
+its own, repeated rows and null ids too; rows of equal text have equal scores and are summed
+together, so nothing depends on the order of rows and a task may be repeated. Other columns
+are ignored. An empty table gives an empty table. Words, bigrams and texts are told apart by
+64 bits of hash: of 10^13 bigrams one in two million meets another's count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymark.llm._arrow import columns
+from waymark.scratch import Scratch
 
 BACKOFF = 0.4
-CHUNK_WORDS = 1_500_000
-#: Bytes of input for each part of the count table.
-PART_BYTES = 8 << 20
-MAX_PARTS = 1 << 16
+#: Shares of all words from which the counts of a word and of a bigram are known to all tasks.
+FREQUENT_WORD, FREQUENT_PAIR = 4e-6, 2e-5
+PASSES = 4
+#: Different words that a task numbers before it starts anew.
+VOCABULARY = 1_000_000
+#: In place of v for a document's first word, and of w in a row that holds a document's settled sum.
+START, SETTLED = 1, 2
 
-KEY_BITS = 48
+ROWS = "v long, w long, uid long, n long, xv long, xw long, n_words long, s double"
 
-#: kind 0: a chunk's documents; kind 1: a chunk's n-grams for a part; kind 2: a part's answer.
-ROWS = "kind int, part int, chunk string, a binary, b binary, c binary"
-_NAMES = ["kind", "part", "chunk", "a", "b", "c"]
-_KINDS = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
 
-
-def _row(*values) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([v], kind) for v, kind in zip(values, _KINDS)], _NAMES)
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    z = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(0x632BE59BD9B4E019))
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return z ^ (z >> np.uint64(32))
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2^64, compressed byte by byte of their places."""
-    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    n = int.from_bytes(packed[:8], "little")
-    planes = np.frombuffer(pa.decompress(packed[8:], 8 * n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel() if n else np.zeros(0, np.uint64)
+class Counts:
+    """Counts by hash, of which all tasks have the same few."""
 
+    def __init__(self, rows: pa.Table) -> None:
+        keys = rows.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.n = keys[order], rows.column("n").to_numpy()[order]
 
-def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Keys in rising order, by their differences."""
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The count of each hash, -1 where it is not known."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.n[at], -1)
 
 
-def _unpack_sorted(packed: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(packed), dtype=np.uint64)
+class Texts:
+    """Words of a slice of texts as numbers, with the hash of each number's word."""
 
+    def __init__(self, most: int) -> None:
+        self.most, self.epoch, self.numbers, self.hashes = most, 0, _Numbers(), np.zeros(0, np.uint64)
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+    def read(self, texts: list[str | None]) -> None:
+        if len(self.numbers) > self.most:
+            self.epoch, self.numbers, self.hashes = self.epoch + 1, _Numbers(), self.hashes[:0]
+        numbers = self.numbers
+        split = [(t or "").encode().lower().split() for t in texts]
+        self.lengths = np.array([len(w) for w in split], np.int64)
+        self.ids = np.fromiter((numbers[w] for ws in split for w in ws), np.int64, int(self.lengths.sum()))
+        if len(numbers) > len(self.hashes):
+            words = list(numbers)[len(self.hashes) :]
+            self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))])
+        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
+        inner = np.ones(len(self.ids), bool)
+        inner[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = False
+        #: Places of words that have one before them, and of those that have none.
+        self.inner, self.first = np.flatnonzero(inner), np.flatnonzero(~inner)
 
+    def pairs(self) -> np.ndarray:
+        return _pair_hash(self.hashes[self.ids[self.inner - 1]], self.hashes[self.ids[self.inner]])
 
-def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    z = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(0x632BE59BD9B4E019))
-    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return z ^ (z >> np.uint64(32))
 
+def _counted(kind: int, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "h", "n"])
 
-def _place(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """An n-gram's part and its key there."""
-    mixed = _pair_hash(hashes, ~hashes)
-    return (mixed >> np.uint64(32)) % np.uint64(parts), hashes >> np.uint64(64 - KEY_BITS)
 
+def _survey(pair_share: float, most: int):
+    """kind 0: words and their counts; kind 1: bigrams that have the share of a slice of the task, and their counts there."""
 
-def _pairs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct neighbours within documents (as first << 32 | second), their counts, for each
-    place that has a word before it the number of its pair, and those places."""
-    starts = np.cumsum(lengths) - lengths
-    inner = np.ones(len(ids), bool)
-    inner[starts[lengths > 0]] = False
-    places = np.flatnonzero(inner)
-    keys = (ids[places - 1].astype(np.int64) << 32) | ids[places]
-    distinct, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return distinct, counts, number, places
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, total = Texts(most), np.zeros(0, np.int64)
+        for batch in batches:
+            for (some,) in columns(batch, "text"):
+                if len(texts.numbers) > most:
+                    yield _counted(0, texts.hashes, total)
+                    total = np.zeros(0, np.int64)
+                texts.read(some)
+                here = np.bincount(texts.ids, minlength=len(texts.numbers))
+                here[: len(total)] += total
+                total = here
+                pairs, n = np.unique(texts.pairs(), return_counts=True)
+                often = n >= max(2, pair_share * len(texts.ids))
+                yield _counted(1, pairs[often], n[often])
+        yield _counted(0, texts.hashes, total)
 
+    return run
 
-def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = sum(len((t or "").encode().split()) for (texts,) in columns(batch, "text") for t in texts)
-        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
 
+def _count_known(known, most: int):
+    """Counts of the bigrams in ``known``, a broadcast sorted array."""
 
-def _chunks(parts: int, chunk_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, held = TaskContext.get().partitionId(), 0, 0
-        doc_ids: list[int | None] = []
-        lengths: list[int] = []
-        flat: list[np.ndarray] = []
-        numbers = _Numbers()
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            name = f"{task}-{made}"
-            ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            vocabulary = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-            head = pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(lengths, pa.int64())], ["doc_id", "n"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, head.schema) as out:
-                out.write_batch(head)
-            yield _row(0, crc32(name.encode()) % parts, name, sink.getvalue().to_pybytes(), _pack(ids), _pack(vocabulary))
-            distinct, counts, _, _ = _pairs(ids, np.array(lengths, np.int64))
-            hashes = np.concatenate([vocabulary, _pair_hash(vocabulary[distinct >> 32], vocabulary[distinct & 0xFFFFFFFF])])
-            counts = np.concatenate([np.bincount(ids, minlength=len(vocabulary)), counts])
-            part, keys = _place(hashes, parts)
-            order = np.lexsort((keys, part))
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                own = order[cuts[p] : cuts[p + 1]]
-                if len(own):
-                    yield _row(1, p, name, _pack_sorted(keys[own]), _pack(counts[own]), None)
-
+        texts, wanted = Texts(most), known.value
+        total = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for ids, texts in columns(batch, "doc_id", "text"):
-                for i, text in zip(ids, texts):
-                    words = (text or "").encode().lower().split()
-                    doc_ids.append(i)
-                    lengths.append(len(words))
-                    flat.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                    held += len(words)
-                    if held >= chunk_words:
-                        yield from emit()
-                        made += 1
-                        doc_ids, lengths, flat, numbers, held = [], [], [], _Numbers(), 0
-        if doc_ids:
-            yield from emit()
+            for (some,) in columns(batch, "text"):
+                texts.read(some)
+                pairs = texts.pairs()
+                at = np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)
+                total += np.bincount(at[wanted[at] == pairs], minlength=len(wanted))
+        yield _counted(1, wanted[total > 0], total[total > 0])
 
     return run
 
 
-def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of one value of ``column`` at a time; batches come sorted by it."""
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[-1][column] != row[column]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of n-grams that more than one chunk has, to each such chunk; chunks' documents pass through."""
-    for everything in _by("part", batches):
-        rows = [r for r in everything if r["kind"] == 1]
-        for r in everything:
-            if r["kind"] == 0:
-                yield _row(*(r[n] for n in _NAMES))
-        if not rows:
-            continue
-        part = rows[0]["part"]
-        keys = [_unpack_sorted(r["a"]) for r in rows]
-        owner = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-        flat, counts = np.concatenate(keys), np.concatenate([_unpack(r["b"]) for r in rows]).astype(np.int64)
-        order = np.argsort(flat, kind="stable")
-        flat, counts, owner = flat[order], counts[order], owner[order]
-        starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        sizes = np.diff(np.append(starts, len(flat)))
-        totals = np.repeat(np.add.reduceat(counts, starts), sizes)
-        asked = np.repeat(sizes > 1, sizes)
-        flat, totals, owner = flat[asked], totals[asked], owner[asked]
-        order = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[order], np.arange(len(rows) + 1))
-        for n, row in enumerate(rows):
-            own = order[cuts[n] : cuts[n + 1]]
-            if len(own):
-                yield _row(2, part, row["chunk"], _pack_sorted(flat[own]), _pack(totals[own]), None)
-
-
-def _minus_own(total: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """For each place, the total of its n-gram less the count in its own document."""
-    _, group, own = np.unique(doc * (number.max(initial=0) + 1) + number, return_inverse=True, return_counts=True)
-    return total[number] - own[group]
-
-
-def _score(all_words: int, parts: int):
+def _explode(part: int, parts: int, all_words: int, words, pairs, most: int):
+    """Rows of bigrams and documents of one part, see ROWS. xv and xw are the words' counts in other
+    documents where those are known, else the negative counts in this one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by("chunk", batches):
-            payload = next(r for r in rows if r["kind"] == 0)
-            head = pa.ipc.open_stream(payload["a"]).read_all()
-            lengths = head.column("n").to_numpy()
-            ids, vocabulary = _unpack(payload["b"]).astype(np.int32), _unpack(payload["c"])
-            # By part, then by key: one order in which every n-gram is found.
-            answers = sorted((r for r in rows if r["kind"] == 2), key=lambda r: r["part"])
-            keys = [_unpack_sorted(r["a"]) for r in answers]
-            heard = np.concatenate([np.zeros(0, np.uint64), *keys])
-            heard_part = np.repeat(np.array([r["part"] for r in answers], np.uint64), [len(k) for k in keys])
-            begin = np.searchsorted(heard_part, np.arange(parts + 1, dtype=np.uint64))
-            totals = np.concatenate([np.zeros(0, np.int64), *(_unpack(r["b"]).astype(np.int64) for r in answers)])
-
-            def total(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
-                out = own.astype(np.int64)
-                part, wanted = _place(hashes, parts)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-                for p in range(parts):
-                    mine, lo, hi = order[cuts[p] : cuts[p + 1]], begin[p], begin[p + 1]
-                    if len(mine) and hi > lo:
-                        at = lo + np.minimum(np.searchsorted(heard[lo:hi], wanted[mine]), hi - lo - 1)
-                        hit = heard[at] == wanted[mine]
-                        out[mine[hit]] = totals[at[hit]]
-                return out
-
-            distinct, counts, number, places = _pairs(ids, lengths)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            words = _minus_own(total(vocabulary, np.bincount(ids, minlength=len(vocabulary))), doc, ids.astype(np.int64)) if len(ids) else np.zeros(0, np.int64)
-            rest = (all_words - lengths)[doc]
-            score = np.where(words > 0, np.log(np.maximum(words, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
-            if len(places):
-                pairs = _minus_own(total(_pair_hash(vocabulary[distinct >> 32], vocabulary[distinct & 0xFFFFFFFF]), counts), doc[places], number)
-                # A pair that others have implies a first word that others have.
-                seen = pairs > 0
-                score[places] = np.where(seen, np.log(np.maximum(pairs, 1)) - np.log(np.maximum(words[places - 1], 1)), np.log(BACKOFF) + score[places])
-            sums = np.bincount(doc, weights=score, minlength=len(lengths)) if len(ids) else np.zeros(len(lengths))
-            yield pa.record_batch([head.column("doc_id").combine_chunks(), pa.array(lengths), pa.array(sums / np.maximum(lengths, 1))], ["doc_id", "n_words", "score"])
+        texts, known, epoch = Texts(most), np.zeros(0, np.int64), 0
+        for batch in batches:
+            for uids, some in columns(batch, "uid", "text"):
+                texts.read(some)
+                if epoch != texts.epoch:
+                    known, epoch = known[:0], texts.epoch
+                known = np.concatenate([known, words.value(texts.hashes[len(known) :])])
+                ids, doc, uids = texts.ids, texts.doc, np.array(uids, np.int64)
+                _, word, own = np.unique(doc * len(texts.numbers) + ids, return_inverse=True, return_counts=True)
+                own = own[word]
+                x = np.where(known[ids] >= 0, known[ids] - own, -own)
+                hashes = texts.pairs()
+                mine = np.flatnonzero(hashes % np.uint64(parts) == np.uint64(part))
+                at = texts.inner[mine]
+                distinct, number = np.unique(hashes[mine], return_inverse=True)
+                _, one, n = np.unique(doc[at] * len(distinct) + number, return_index=True, return_counts=True)
+                at, h = at[one], hashes[mine][one]
+                v, xv = texts.hashes[ids[at - 1]], x[at - 1]
+                if part == 0:
+                    f = texts.first
+                    v, xv, n = np.concatenate([v, np.full(len(f), START, np.uint64)]), np.concatenate([xv, np.full(len(f), -1)]), np.concatenate([n, np.ones(len(f), np.int64)])
+                    at, h = np.concatenate([at, f]), np.concatenate([h, np.zeros(len(f), np.uint64)])
+                first, xw, d = v == START, x[at], doc[at]
+                total = pairs.value(h)
+                seen = ~first & (total > n)
+                settled = (first & (xw >= 0)) | ((total >= 0) & ~first & np.where(seen, xv >= 0, xw >= 0))
+                rest = (all_words - texts.lengths)[d]
+                alone = np.where(xw > 0, np.log(np.maximum(xw, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
+                score = np.where(seen, np.log(np.maximum(total - n, 1)) - np.log(np.maximum(xv, 1)), alone + np.where(first, 0.0, math.log(BACKOFF)))
+                sums = np.bincount(d[settled], weights=(n * score)[settled], minlength=len(some))
+                whole = np.flatnonzero(np.bincount(d[settled], minlength=len(some)))
+                open_ = ~settled
+                zero = np.zeros(len(whole), np.int64)
+                made = [
+                    np.concatenate([v[open_].view(np.int64), uids[whole]]),
+                    np.concatenate([texts.hashes[ids[at[open_]]].view(np.int64), zero + SETTLED]),
+                    np.concatenate([uids[d[open_]], uids[whole]]),
+                    np.concatenate([n[open_], zero]),
+                    np.concatenate([xv[open_], zero]),
+                    np.concatenate([xw[open_], zero]),
+                    np.concatenate([texts.lengths[d[open_]], zero]),
+                    np.concatenate([np.zeros(int(open_.sum())), sums[whole]]),
+                ]
+                yield pa.record_batch([pa.array(m) for m in made], ["v", "w", "uid", "n", "xv", "xw", "n_words", "s"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, uids, texts in columns(batch, "doc_id", "uid", "text"):
+            n = [len((t or "").encode().split()) for t in texts]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(uids, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "uid", "n_words"])
+
+
+def _alone(others: Column, rest: Column) -> Column:
+    """ln S(w) from the word's count in other documents and their words."""
+    return F.when(others > 0, F.log(others) - F.log(rest)).otherwise(-F.log(rest + 1))
+
+
+def _joined(rows: DataFrame, all_words: int) -> DataFrame:
+    """``u, uid, s, own, minus, plus, n_words``: sums by document, and for each word u whose count is lacking
+    how often its logarithm is taken off and added."""
+    dealt = rows.repartition("v", "w")
+    counts = dealt.groupBy("v", "w").agg(F.sum("n").alias("c"))
+    n, xv, xw, rest = F.col("n"), F.col("xv"), F.col("xw"), F.lit(all_words) - F.col("n_words")
+    first = F.col("v") == START
+    settled = (F.col("w") == SETTLED) & (n == 0)
+    seen = ~first & (F.col("c") > n)
+    by_pair = n * (F.log(F.col("c") - n) - F.when(xv > 0, F.log(xv)).otherwise(0.0))
+    by_word = n * (F.when(first, 0.0).otherwise(math.log(BACKOFF)) + F.when(xw >= 0, _alone(xw, rest)).otherwise(0.0))
+    lacks = ~settled & F.when(seen, xv < 0).otherwise(xw < 0)
+    scored = dealt.join(counts, ["v", "w"]).select(
+        F.when(lacks, F.when(seen, F.col("v")).otherwise(F.col("w"))).alias("u"),
+        "uid",
+        (F.col("s") + F.when(settled, 0.0).when(seen, by_pair).otherwise(by_word)).alias("s"),
+        F.when(lacks, F.when(seen, -xv).otherwise(-xw)).alias("own"),
+        F.when(lacks & seen, n).otherwise(0).alias("minus"),
+        F.when(lacks & ~seen, n).otherwise(0).alias("plus"),
+        F.when(lacks, F.col("n_words")).alias("n_words"),
+    )
+    return scored.groupBy("u", "uid").agg(F.sum("s").alias("s"), F.max("own").alias("own"), F.sum("minus").alias("minus"), F.sum("plus").alias("plus"), F.max("n_words").alias("n_words"))
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent_word: float = FREQUENT_WORD, frequent_pair: float = FREQUENT_PAIR, passes: int = PASSES) -> DataFrame:
     """``doc_id, n_words, score`` for each row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = min(MAX_PARTS, max(16, size // PART_BYTES))
-    all_words = texts.select("text").mapInArrow(_word_totals, "n long").agg(F.sum("n")).first()[0] or 0
-    # Both kinds of rows of a chunk go through the exchange by part, so texts are read and split once for them.
-    answered = texts.mapInArrow(_chunks(parts, CHUNK_WORDS), ROWS).repartition("part").sortWithinPartitions("part").mapInArrow(_answer, ROWS)
-    met = answered.repartition("chunk").sortWithinPartitions("chunk")
-    return met.mapInArrow(_score(all_words, parts), "doc_id long, n_words long, score double")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm-score")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("uid", F.xxhash64("text"))
+    surveyed = texts.select("text").mapInArrow(_survey(frequent_pair, VOCABULARY), "kind int, h long, n long")
+    surveyed = scratch.keep(surveyed.groupBy("kind", "h").agg(F.sum("n").alias("n")), "survey")
+    words = surveyed.filter("kind = 0").select("h", "n")
+    all_words = words.agg(F.sum("n")).first()[0] or 0
+    # Each side is bounded by the shares, whatever the corpus.
+    known_words = Counts(words.filter(F.col("n") >= max(1.0, frequent_word * all_words)).toArrow())
+    likely = surveyed.filter((F.col("kind") == 1) & (F.col("n") >= max(2.0, frequent_pair * all_words / 2))).select("h").toArrow().column("h")
+    wanted = spark.sparkContext.broadcast(np.sort(likely.to_numpy().view(np.uint64)))
+    exact = texts.select("text").mapInArrow(_count_known(wanted, VOCABULARY), "kind int, h long, n long").groupBy("h").agg(F.sum("n").alias("n")) if len(likely) else surveyed.filter("kind = 1 AND n < 0")
+    known_pairs = Counts(exact.select("h", "n").toArrow())
+    # A bigram is settled by a task only if its words are known as well.
+    word_table, pair_table = spark.sparkContext.broadcast(known_words), spark.sparkContext.broadcast(known_pairs)
+    met: DataFrame | None = None
+    for part in range(passes):
+        rows = texts.select("uid", "text").mapInArrow(_explode(part, passes, all_words, word_table, pair_table, VOCABULARY), ROWS)
+        here = scratch.keep(_joined(rows, all_words), f"part-{part}")
+        met = here if met is None else met.unionByName(here)
+    others = F.col("c") - F.col("own")
+    taken = F.when(F.col("minus") > 0, -F.col("minus") * F.log(others)).otherwise(0.0)
+    added = F.when(F.col("plus") > 0, F.col("plus") * _alone(others, F.lit(all_words) - F.col("n_words"))).otherwise(0.0)
+    # Words that are looked up here are rare, so no key of this join is hot.
+    looked_up = met.filter("u IS NOT NULL").join(words.select(F.col("h").alias("u"), F.col("n").alias("c")), "u").select("uid", (F.col("s") + taken + added).alias("s"))
+    by_text = met.filter("u IS NULL").select("uid", "s").unionByName(looked_up).groupBy("uid").agg(F.sum("s").alias("s"))
+    lengths = scratch.keep(texts.select("doc_id", "uid", "text").mapInArrow(_lengths, "doc_id long, uid long, n_words long"), "lengths")
+    copies = lengths.groupBy("uid").agg(F.count(F.lit(1)).alias("m"))
+    # Written, so that either side of the join is a plain exchange and a text that many rows have can be split.
+    sums = scratch.keep(by_text.join(copies, "uid").select("uid", (F.col("s") / F.col("m")).alias("s")), "sums")
+    mean = F.when(F.col("n_words") > 0, F.col("s") / F.col("n_words")).otherwise(0.0)
+    return lengths.join(sums, "uid", "left").select("doc_id", "n_words", F.coalesce(mean, F.lit(0.0)).alias("score"))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
