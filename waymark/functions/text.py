@@ -39,19 +39,12 @@ def tokenize(x: Column | str) -> Column:
 
 
 def stem(x: Column | str) -> Column:
-    """Crude suffix stripping, plurals first."""
-    w = _c(x)
-    n = F.length(w)
-    cut = lambda k: w.substr(F.lit(1), n - k)
-    return (
-        F.when(n <= 3, w)
-        .when(w.endswith("ies") & (n > 4), F.when(w.endswith("ities"), F.concat(cut(5), F.lit("ity"))).otherwise(F.concat(cut(3), F.lit("y"))))
-        .when(w.rlike("(s|x|z|ch|sh)es$"), cut(2))
-        .when(w.endswith("s") & ~w.endswith("ss"), cut(1))
-        .when(w.endswith("ing") & (n >= 6), cut(3))
-        .when(w.endswith("ed") & (n >= 5), cut(2))
-        .otherwise(w)
-    )
+    """Crude suffix stripping: the first rule that fits a word of over three letters."""
+    w, out = _c(x), None
+    for ending, put in W.SUFFIXES:
+        fits, cut = w.rlike(ending), F.regexp_replace(w, ending, put)
+        out = F.when(F.length(w) <= 3, w).when(fits, cut) if out is None else out.when(fits, cut)
+    return out.otherwise(w)
 
 
 def content_tokens(x: Column | str) -> Column:
@@ -126,8 +119,8 @@ def humanize(slug: Column | str) -> Column:
 
 def tidy_label(label: Column | str, fallback: Column | str, site_name: Column | str | None = None) -> Column:
     """A noun for a section: no leading instruction, no trailing furniture, not the site's own name."""
-    lead = F.regexp_replace(_c(label), f"(?i)^(?:(?:explore|browse|view|see|discover|all|our|the){SPACE}+)+", "")
-    cleaned = trim(F.regexp_replace(lead, f"(?i){SPACE}+(pages?|links?|menu|section|navigation)$", ""))
+    lead = F.regexp_replace(_c(label), f"(?i)^(?:(?:{W.LABEL_LEAD}){SPACE}+)+", "")
+    cleaned = trim(F.regexp_replace(lead, f"(?i){SPACE}+({W.LABEL_TRAIL})$", ""))
     out = title_case(F.when(cleaned == "", _c(fallback)).otherwise(cleaned))
     if site_name is None:
         return out

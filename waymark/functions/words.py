@@ -1,36 +1,82 @@
 """Word lists and patterns that results depend on, as text."""
 
-STOPWORDS = (
-    "a an the and or but of to in on at for with from by is are was were be been our your their its it this that "
-    "these those as how what why when all you we us about into more get getting new page home learn read"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "of", "to", "in", "on", "at", "for", "with", "from", "by", "is", "are", "was",
+    "were", "be", "been", "our", "your", "their", "its", "it", "this", "that", "these", "those", "as", "how", "what",
+    "why", "when", "all", "you", "we", "us", "about", "into", "more", "get", "getting", "new", "page", "home", "learn",
+    "read",
+]
 
-MINOR_WORDS = "a an the and or but for nor of on in to with at by from as per via".split()
+MINOR_WORDS = [
+    "a", "an", "the", "and", "or", "but", "for", "nor", "of", "on", "in", "to", "with", "at", "by", "from", "as", "per",
+    "via",
+]
 
-ACRONYMS = "api faq sdk cli ui ux ai llm seo url css html json rss cdn db".split()
+ACRONYMS = [
+    "api", "faq", "sdk", "cli", "ui", "ux", "ai", "llm", "seo", "url", "css", "html", "json", "rss", "cdn", "db",
+]
 
-LOCALES = "en fr de es it ja zh ko pt ru nl pl tr vi id hi ar sv da no fi cs el he th uk".split()
+LOCALES = [
+    "en", "fr", "de", "es", "it", "ja", "zh", "ko", "pt", "ru", "nl", "pl", "tr", "vi", "id", "hi", "ar", "sv", "da",
+    "no", "fi", "cs", "el", "he", "th", "uk",
+]
 
 #: The shorter list that names of sections are held against.
-NAME_LOCALES = "en fr de es it ja zh ko pt ru nl pl tr vi id hi ar".split()
+NAME_LOCALES = [
+    "en", "fr", "de", "es", "it", "ja", "zh", "ko", "pt", "ru", "nl", "pl", "tr", "vi", "id", "hi", "ar",
+]
 
-FUNCTION_WORDS = "the a an and or to for with of in on that your you it is are from by as".split()
+FUNCTION_WORDS = [
+    "the", "a", "an", "and", "or", "to", "for", "with", "of", "in", "on", "that", "your", "you", "it", "is", "are",
+    "from", "by", "as",
+]
 
 CHROME_WORDS = (
     "nav|navbar|menu|header|footer|sidebar|side-?bar|breadcrumb|cookie|consent|banner|social|share|skip|toolbar|topbar|"
     "subscribe|newsletter|modal|popup|widget|pagination|toc|table-of-contents|on-this-page|related|advert|ads?"
 )
 
-OPTIONAL_WORDS = (
+#: Pages for the Optional section, as a page's own links are matched: without spaces.
+OPTIONAL_PAGE = (
     "privacy|terms|tos|legal|cookie|gdpr|imprint|impressum|disclaimer|accessibility|careers?|jobs|press|media-?kit|"
-    "changelog|archive|sitemap|login|{log_in}|signin|{sign_up}|register|account|cart|checkout|rss|feed"
+    "changelog|archive|sitemap|login|log-?in|signin|sign-?up|register|account|cart|checkout|rss|feed"
+)
+#: The same as crawled pages are matched: with spaces.
+OPTIONAL_CRAWL = (
+    "privacy|terms|tos|legal|cookie|gdpr|imprint|impressum|disclaimer|accessibility|careers?|jobs|press|media-?kit|"
+    "changelog|archive|sitemap|login|log[- ]?in|signin|sign[- ]?up|register|account|cart|checkout|rss|feed"
 )
-#: A page's own links are matched without spaces, crawled pages with.
-OPTIONAL_PAGE = OPTIONAL_WORDS.format(log_in="log-?in", sign_up="sign-?up")
-OPTIONAL_CRAWL = OPTIONAL_WORDS.format(log_in="log[- ]?in", sign_up="sign[- ]?up")
 
 GENERIC_LABEL = r"^(home|menu|more|links?|pages?|site|main|other|misc|navigation|explore)$"
 
+#: Tags and roles of page furniture.
+CHROME_TAGS = ["nav", "header", "footer", "aside", "form"]
+CHROME_ROLES = ["navigation", "banner"]
+#: Tags that may hold the name of a group of links, and those that may hold an article.
+HEADING_TAGS = ["h2", "h3", "h4", "h5", "h6", "summary", "strong", "legend", "button"]
+ARTICLE_TAGS = ["article", "section", "div", "body"]
+
+#: Link texts that point instead of naming.
+DEICTIC = (
+    r"^((this|that|these|those|the|our|it|here)(?![A-Za-z0-9_])|"
+    r"(read|learn|find out|see|click|get started|start|continue|view|browse)(?![A-Za-z0-9_]).{0,20}$|"
+    r".{0,12}(here|more|link)$)"
+)
+
+#: Suffixes in order, and what takes their place; the first that fits a word of over three letters is cut.
+SUFFIXES = [
+    ("ities$", "ity"),
+    ("(?<=..)ies$", "y"),
+    ("(?<=[sxz])es$|(?<=[cs]h)es$", ""),
+    ("(?<!s)s$", ""),
+    ("(?<=...)ing$", ""),
+    ("(?<=...)ed$", ""),
+]
+
+#: Instructions before a label and furniture after it.
+LABEL_LEAD = "explore|browse|view|see|discover|all|our|the"
+LABEL_TRAIL = "pages?|links?|menu|section|navigation"
+
 NON_PAGE = (
     r"\.(png|jpe?g|gif|svg|webp|avif|ico|css|js|mjs|json|xml|rss|atom|zip|gz|tgz|pdf|docx?|xlsx?|pptx?|mp[34]|webm|mov|woff2?|ttf|eot)$"
 )

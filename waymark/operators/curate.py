@@ -6,6 +6,9 @@ later link may take the place of an earlier one. All else is windows over a site
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import groupby, islice
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.config import LIMITS
@@ -131,41 +134,38 @@ def skeleton(links: DataFrame, size: int = LIMITS.skeleton_titles) -> DataFrame:
 # -- the same for one page, whose links are at hand ------------------------------------
 
 
-def _same(a: str, b: str) -> bool:
-    a, b = T.trim(a).lower(), T.trim(b).lower()
-    return a == b or T.coverage(a, b) == 1 or T.coverage(b, a) == 1
-
-
 def survivors_plain(links: list[dict]) -> list[dict]:
-    held: dict[str, list[dict]] = {}
-    for x in links:
-        kept = held.setdefault(x["url"].split("?")[0].split("#")[0], [])
-        at = next((n for n, k in enumerate(kept) if _same(k["title"], x["title"])), None)
-        if at is None:
-            kept.append(x)
-            continue
-        k = kept[at]
-        if (not k["note"] and x["note"]) or (bool(k["note"]) == bool(x["note"]) and len(x["url"]) < len(k["url"])):
-            kept[at] = x
-    stay = {id(x) for kept in held.values() for x in kept}
-    return [x for x in links if id(x) in stay]
+    """``survivors`` of links in order of appearance."""
+    slots: dict[str, list[int]] = {}
+    said = [T.trim(x["title"]).lower() for x in links]
+    worth = [(not x["note"], len(x["url"])) for x in links]
+    for n, x in enumerate(links):
+        at_path = slots.setdefault(x["url"].split("?")[0].split("#")[0], [])
+        same = [k for k, held in enumerate(at_path) if said[n] == said[held] or 1 in (T.coverage(said[n], said[held]), T.coverage(said[held], said[n]))]
+        if not same:
+            at_path.append(n)
+        elif worth[n] < worth[at_path[same[0]]]:
+            at_path[same[0]] = n
+    stay = {n for at_path in slots.values() for n in at_path}
+    return [x for n, x in enumerate(links) if n in stay]
 
 
 def curate_plain(sections: list[dict]) -> list[dict]:
-    stay = {id(x) for x in survivors_plain([x for s in sections for x in s["links"]])}
-    left = [s | {"links": [x for x in s["links"] if id(x) in stay]} for s in sections]
-    kept = [s for s in left if len(s["links"]) > 1 or (s["links"] and s["name"] == PAGES)]
-    orphans = [s["links"][0] for s in left if len(s["links"]) == 1 and s["name"] != PAGES]
-    if orphans:
-        catch_all = next((s for s in kept if s["name"] == PAGES), None)
-        if catch_all is None:
-            kept.append(catch_all := {"name": PAGES, "links": []})
-        catch_all["links"] = catch_all["links"] + orphans
+    """``curate`` of one page's sections, in their order."""
+    placed = [(at, s["name"], x) for at, s in enumerate(sections) for x in s["links"]]
+    stay = set(map(id, survivors_plain([x for _, _, x in placed])))
+    placed = [row for row in placed if id(row[2]) in stay]
+    sizes = Counter(at for at, _, _ in placed)
+    # A link alone in its section goes to the first catch-all, behind its own links, or to a new one at the end.
+    catch_all = min((at for at, name, _ in placed if name == PAGES), default=len(sections))
+    rows = []
+    for at, name, x in placed:
+        orphan = sizes[at] == 1 and name != PAGES
+        rows.append((catch_all if orphan else at, not x["note"], orphan, len(rows), PAGES if orphan else name, x))
     out, room = [], LIMITS.links_per_site
-    for s in kept[: LIMITS.sections]:
-        links = sorted(s["links"], key=lambda x: not x["note"])[: min(LIMITS.links_per_section, room)]
-        if not links:
-            break
+    for _, group in islice(groupby(sorted(rows, key=lambda r: r[:4]), key=lambda r: r[0]), LIMITS.sections):
+        links = [(name, x) for *_, name, x in islice(group, min(LIMITS.links_per_section, room))]
         room -= len(links)
-        out.append({"name": s["name"], "links": links})
+        if links:
+            out.append({"name": links[0][0], "links": [x for _, x in links]})
     return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -66,6 +67,36 @@ def tidy(text: str) -> str:
     return trim(_AFTER_OPEN.sub(r"\1", _BEFORE_SIGN.sub(r"\1", text)))
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names in lower case; of a name that is repeated the last value."""
+    found = ((name.lower(), value[1:-1] if value[:1] in ('"', "'") else value) for name, value in _ATTR.findall(text))
+    return {name: decode_entities(value) for name, value in found}
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """(kind, text or name, attributes) in order; a raw element's content is no token, and without an
+    end tag it is all that follows."""
+    html = _DOCTYPE.sub("", _COMMENT.sub("", html))
+    at = 0
+    while at < len(html):
+        tag = _TAG.search(html, at)
+        between = html[at : tag.start() if tag else len(html)]
+        if trim(between):
+            yield "text", decode_entities(between), {}
+        if tag is None:
+            return
+        at, name = tag.end(), tag["name"].lower()
+        if tag["close"]:
+            yield "close", name, {}
+        elif name in VOID or name in RAW or tag["alone"]:
+            yield "leaf", name, attributes(tag["attrs"])
+            if name in RAW and not tag["alone"]:
+                ended = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                at = ended.end() if ended else len(html)
+        else:
+            yield "open", name, attributes(tag["attrs"])
+
+
 class Page:
     """A parsed page. Node 0 is the root; elements and texts are numbered in document order."""
 
@@ -73,63 +104,31 @@ class Page:
         self.tag: list[str | None] = ["#root"]
         self.attrs: list[dict[str, str]] = [{}]
         self.text: list[str | None] = [None]
-        self.parent: list[int] = [-1]
-        self.end: list[int] = [0]
-        self.depth: list[int] = [0]
-        self.texts: list[int] = []
-        self._cleaned: dict[int, str] = {}
-        self._read(_DOCTYPE.sub("", _COMMENT.sub("", html or "")))
+        self.parent, self.depth = [-1], [0]
+        open_ = [0]
+        for kind, said, attrs in tokens(html or ""):
+            if kind == "close":
+                # The nearest open element of that name ends, with all within; a close tag without one is noise.
+                nearest = max((k for k in range(1, len(open_)) if self.tag[open_[k]] == said), default=len(open_))
+                del open_[nearest:]
+                continue
+            if kind != "text" and said in ENDED_BY.get(self.tag[open_[-1]], ()):
+                open_.pop()
+            self.parent.append(open_[-1])
+            self.depth.append(self.depth[open_[-1]] + 1)
+            self.tag.append(None if kind == "text" else said)
+            self.text.append(said if kind == "text" else None)
+            self.attrs.append(attrs)
+            if kind == "open":
+                open_.append(len(self.tag) - 1)
+        # A subtree ends with the last node of its last child.
+        self.end = list(range(len(self.tag)))
         for n in range(len(self.tag) - 1, 0, -1):
             self.end[self.parent[n]] = max(self.end[self.parent[n]], self.end[n])
+        self.texts = [n for n, t in enumerate(self.tag) if t is None]
         self.anchors = [n for n, t in enumerate(self.tag) if t == "a"]
         self.linked = [n for n in self.anchors if self.attrs[n].get("href")]
-
-    def _add(self, parent: int, tag: str | None, attrs: dict[str, str], text: str | None) -> int:
-        n = len(self.tag)
-        self.tag.append(tag)
-        self.attrs.append(attrs)
-        self.text.append(text)
-        self.parent.append(parent)
-        self.end.append(n)
-        self.depth.append(self.depth[parent] + 1)
-        if tag is None:
-            self.texts.append(n)
-        return n
-
-    def _read(self, html: str) -> None:
-        here, at = 0, 0
-
-        def words(upto: int) -> None:
-            piece = html[at:upto]
-            if trim(piece):
-                self._add(here, None, {}, decode_entities(piece))
-
-        while m := _TAG.search(html, at):
-            words(m.start())
-            at, name = m.end(), m["name"].lower()
-            if m["close"]:
-                # The nearest open element of that name ends; a close tag without one is noise.
-                open_ = here
-                while open_ > 0 and self.tag[open_] != name:
-                    open_ = self.parent[open_]
-                if open_ > 0:
-                    here = self.parent[open_]
-                continue
-            if here and name in ENDED_BY.get(self.tag[here], ()):
-                here = self.parent[here]
-            attrs = {}
-            for a in _ATTR.finditer(m["attrs"]):
-                value = a[2] or ""
-                attrs[a[1].lower()] = decode_entities(value[1:-1] if value[:1] in "\"'" else value)
-            n = self._add(here, name, attrs, None)
-            if name in VOID or m["alone"]:
-                continue
-            if name in RAW:
-                done = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = done.end() if done else len(html)
-                continue
-            here = n
-        words(len(html))
+        self._cleaned: dict[int, str] = {}
 
     # -- measures of subtrees ----------------------------------------------
 
