@@ -1,6 +1,8 @@
 """Languages of texts, span by span.
 
-A word's script narrows the candidates to languages that are written in it. Each
+A word's script narrows the candidates to languages that are written in it: those with at
+least SCRIPT_SHARE of their letters in it, or all where there is none. A word is a run of
+letters, of 40 at most; a longer run, as in scripts without spaces, is several. Each
 candidate scores the word by smoothed character trigrams. Viterbi over the words
 of a text, with a penalty for each switch of language, labels the spans; the
 text's language is the one whose spans hold most letters, and its score is the
@@ -27,17 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waymark.llm._arrow import columns
+from waymark.llm._sample import lowest
 from waymark.llm.toxicity import held_out
 from waymark.scratch import Scratch
 
 SAMPLE_DOCS = 400
 MAX_LANGUAGES = 1000
 SWITCH_PENALTY = 9.0
-#: Scores of a word lie within this of its best candidate's, so that no single word forces a switch.
+#: Scores of a word's candidates lie within this of the best one's, so that no single word forces a switch.
 CLIP = 7.0
+#: A language that the word's script rules out lies this far below: more than a switch to another and back.
+RULED_OUT = 2.5 * SWITCH_PENALTY
 SMOOTH = 2.0
 CACHE_WORDS = 300_000
 #: Words that go through Viterbi side by side.
@@ -134,8 +139,10 @@ class Labeller:
                 places.append(place)
             allowed.append(self.scripts.get(script_of(word), self.everyone))
         score = np.add.reduceat(self.table[places], starts, axis=0)
-        score[~np.array(allowed)] = -np.inf
+        ruled_out = ~np.array(allowed)
+        score[ruled_out] = -np.inf
         score = np.maximum(score - score.max(axis=1, keepdims=True), -CLIP)
+        score[ruled_out] = -RULED_OUT
         self.ids.update(zip(words, range(len(self.scores), len(self.scores) + len(words))))
         self.scores = np.concatenate([self.scores, score.astype(np.float32)])
 
@@ -231,13 +238,9 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes | None:
     scratch = Scratch(docs.sparkSession, "language-id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("doc_id IS NOT NULL AND lang IS NOT NULL")
-    # The rank is limited in each task before rows move, so a language costs a task sample_docs rows at most.
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id")))
-    chosen = scratch.keep(rows.select("doc_id", "lang").withColumn("nth", nth).filter(F.col("nth") <= sample_docs).select("doc_id", "lang"), "chosen")
-    if chosen.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    chosen = scratch.keep(lowest(rows.select("doc_id", "lang"), "lang", sample_docs, MAX_LANGUAGES), "chosen")
     # At most sample_docs rows for each of MAX_LANGUAGES.
-    sample = rows.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"])
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     made = counts.repartition(1).mapInArrow(_fit, "model binary").collect()
     return bytes(made[0].model) if made else None

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waymark.llm._arrow import columns
+from waymark.llm._sample import lowest
 from waymark.scratch import Scratch
 
 ORDER = 6
@@ -237,9 +238,8 @@ class ToxicityModel:
             .groupBy("doc_id")
             .agg(F.max("toxic").alias("toxic"))
         )
-        lot = F.xxhash64("doc_id")
         # At most 2 * sample_docs rows whatever the number of labels, so the side can be broadcast.
-        sampled = marks.filter("toxic = 0").orderBy(lot).limit(sample_docs).unionByName(marks.filter("toxic = 1").orderBy(lot).limit(sample_docs))
+        sampled = lowest(marks, "toxic", sample_docs, 2)
         sampled = scratch.keep(sampled.withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(CALIBRATE_ONE_IN))), "sampled")
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         rows = scratch.keep(texts.join(F.broadcast(sampled), "doc_id"), "rows")
