@@ -90,7 +90,7 @@ def test_large_group_whose_members_are_not_all_near(spark, monkeypatch):
 @pytest.mark.parametrize("block_rows", [4096, 8])
 def test_crowded_blocks_lose_no_pair(spark, monkeypatch, block_rows):
     """Groups whose blocks are split into chunks are joined as in whole blocks."""
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(simhash, "CHUNK_ROWS", block_rows)
     monkeypatch.setattr(simhash, "SMALL", 5)
     rng, docs = random.Random(14), {}
     for _ in range(3):
@@ -103,7 +103,7 @@ def test_crowded_blocks_lose_no_pair(spark, monkeypatch, block_rows):
 
 
 def test_chunks_are_small_and_all_pairs_meet(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(simhash, "CHUNK_ROWS", 50)
     prints = [bytes([n // 256, n % 256]) for n in range(1000)]
     rows = spark.createDataFrame([(7, p, p) for p in prints], "block long, print binary, label binary")
     sizes = spark.createDataFrame([(7, 1000, prints[0])], "block long, n long, least binary")
@@ -139,7 +139,7 @@ def near_pairs(texts, similarity=0.8):
 @pytest.mark.parametrize("block_rows", [4096, 50])
 def test_recall_on_given_documents(spark, monkeypatch, block_rows):
     """Of all pairs of different texts at 0.8 or more in the documents, whatever the size of a block."""
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(simhash, "CHUNK_ROWS", block_rows)
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     texts = {r.text: r.doc_id for r in docs.collect() if r.text and r.text.split()}
     pairs = near_pairs(list(texts))

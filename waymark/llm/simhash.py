@@ -26,7 +26,7 @@ shingles, collapse copies. A block's pivots are rows of its own: their table rul
 of what met by chance, the distance of the two fingerprints the rest of it, and the texts
 of the pairs that survive both are compared. A large block first offers its rows against hubs only. Of those blocks the ones
 whose rows are still in different groups get the rows' shingles, and count common ones of all
-rows in the task: it sends out a link for each two groups that it joins, not pairs. A block with more than BLOCK_ROWS rows is
+rows in the task: it sends out a link for each two groups that it joins, not pairs. A block with more than CHUNK_ROWS rows is
 split into chunks, which first share the block's least row as a hub and then meet each
 other, chunk against chunk, so a pair's chance does not depend on the size of its block.
 
@@ -69,6 +69,8 @@ BANDS, BAND_ROWS = 32, 6
 #: Standard deviations that the radius adds to the expected distance: fingerprints of few
 #: shingles differ more (48 bits at 0.8 for four shingles, not 38), and survivors are compared anyway.
 MARGIN = 5
+#: A block of near copies with more rows is split into chunks of about as many.
+CHUNK_ROWS = 512
 #: Shingles that count as one row where a block's texts are dealt to chunks.
 CHUNK_SHINGLES = 500
 #: A text that many others are compared with is dealt to this many tasks.
@@ -508,14 +510,14 @@ def _across(similarity: float):
 
 
 def _chunk(n: str):
-    """A row's chunk in a block of n rows: about BLOCK_ROWS share one."""
-    return F.pmod(F.xxhash64("print"), F.ceil(F.col(n) / F.lit(BLOCK_ROWS)))
+    """A row's chunk in a block of n rows: about CHUNK_ROWS share one."""
+    return F.pmod(F.xxhash64("print"), F.ceil(F.col(n) / F.lit(CHUNK_ROWS)))
 
 
 def _split(dealt: DataFrame, large: DataFrame) -> DataFrame:
     """Crowded blocks as chunks, each with the block's least row; ``large`` has block, n and least."""
     crowded = dealt.join(large, "block").withColumn("chunk", _chunk("n"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(BLOCK_ROWS)) - 1))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(CHUNK_ROWS)) - 1))
     hubs = large.select("block", F.col("least").alias("print"), every.alias("chunk"))
     return crowded.select("block", "print", "chunk").union(hubs).distinct().select(F.xxhash64("block", "chunk").alias("block"), "print")
 
@@ -523,7 +525,7 @@ def _split(dealt: DataFrame, large: DataFrame) -> DataFrame:
 def _meetings(labelled: DataFrame, open_: DataFrame) -> DataFrame:
     """Rows of blocks with several labels, once for each chunk that theirs meets; ``open_`` has block and n."""
     rows = labelled.join(open_, "block").withColumn("chunk", _chunk("n"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(BLOCK_ROWS)) - 1)))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(CHUNK_ROWS)) - 1)))
     return met.select(F.xxhash64("block", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"), "chunk", "print", "label", *[c for c in labelled.columns if c == "shingles"])
 
 
@@ -557,7 +559,7 @@ def _near_links(prints: DataFrame, texts: DataFrame, words: int, radius: int, ng
 
     dealt = prints.select(F.explode("blocks").alias("block"), "print")
     sizes = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("least"))
-    large = scratch.keep(sizes.filter(F.col("n") > BLOCK_ROWS), "crowded")
+    large = scratch.keep(sizes.filter(F.col("n") > CHUNK_ROWS), "crowded")
     is_crowded = large.limit(1).count() > 0
     whole = dealt.join(large, "block", "left_anti").unionByName(_split(dealt, large)) if is_crowded else dealt
     offers = scratch.keep(whole.repartition("block").sortWithinPartitions("block", "print").mapInArrow(_offers(words, radius, SMALL), "a binary, b binary, block long"), "offers")
@@ -578,7 +580,7 @@ def _near_links(prints: DataFrame, texts: DataFrame, words: int, radius: int, ng
     keys = rest.select("print").distinct().join(prints.select("print", "key"), "print")
     sets = texts.join(keys, "key").select("print", "text").dropDuplicates(["print"]).mapInArrow(_shingle_sets(ngram), "print binary, shingles binary, size long")
     rest = scratch.keep(rest.join(scratch.keep(sets, "sets"), "print"), "rest-sets")
-    # A chunk is of BLOCK_ROWS texts of usual length, or of fewer long ones.
+    # A chunk is of CHUNK_ROWS texts of usual length, or of fewer long ones.
     open_ = scratch.keep(rest.groupBy("block").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("size") / F.lit(CHUNK_SHINGLES))).alias("n")), "open")
     met = _meetings(rest, open_).repartition("block").sortWithinPartitions("block", "print")
     return links.unionByName(scratch.keep(met.mapInArrow(_across(similarity), "a binary, b binary"), "links-2"))
