@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from waymark.scratch import Scratch
 
 BACKOFF = 0.4
 #: Shares of all words from which the counts of a word and of a bigram are known to all tasks.
-FREQUENT_WORD, FREQUENT_PAIR = 4e-6, 2e-5
-PASSES = 4
+FREQUENT_WORD, FREQUENT_PAIR = 5e-7, 1e-6
+PASSES = 2
 #: Different words that a task numbers before it starts anew.
 VOCABULARY = 1_000_000
 #: In place of v for a document's first word, and of w in a row that holds a document's settled sum.
@@ -93,7 +94,7 @@ class Texts:
         numbers = self.numbers
         split = [(t or "").encode().lower().split() for t in texts]
         self.lengths = np.array([len(w) for w in split], np.int64)
-        self.ids = np.fromiter((numbers[w] for ws in split for w in ws), np.int64, int(self.lengths.sum()))
+        self.ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(self.lengths.sum()))
         if len(numbers) > len(self.hashes):
             words = list(numbers)[len(self.hashes) :]
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))])
@@ -185,7 +186,7 @@ def _explode(part: int, parts: int, all_words: int, words, pairs, most: int):
                 alone = np.where(xw > 0, np.log(np.maximum(xw, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
                 score = np.where(seen, np.log(np.maximum(total - n, 1)) - np.log(np.maximum(xv, 1)), alone + np.where(first, 0.0, math.log(BACKOFF)))
                 sums = np.bincount(d[settled], weights=(n * score)[settled], minlength=len(some))
-                whole = np.flatnonzero(np.bincount(d[settled], minlength=len(some)))
+                whole = np.flatnonzero(texts.lengths if part == 0 else np.bincount(d[settled], minlength=len(some)))
                 open_ = ~settled
                 zero = np.zeros(len(whole), np.int64)
                 made = [
@@ -195,7 +196,7 @@ def _explode(part: int, parts: int, all_words: int, words, pairs, most: int):
                     np.concatenate([n[open_], zero]),
                     np.concatenate([xv[open_], zero]),
                     np.concatenate([xw[open_], zero]),
-                    np.concatenate([texts.lengths[d[open_]], zero]),
+                    np.concatenate([texts.lengths[d[open_]], texts.lengths[whole]]),
                     np.concatenate([np.zeros(int(open_.sum())), sums[whole]]),
                 ]
                 yield pa.record_batch([pa.array(m) for m in made], ["v", "w", "uid", "n", "xv", "xw", "n_words", "s"])
@@ -203,13 +204,6 @@ def _explode(part: int, parts: int, all_words: int, words, pairs, most: int):
     return run
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, uids, texts in columns(batch, "doc_id", "uid", "text"):
-            n = [len((t or "").encode().split()) for t in texts]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(uids, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "uid", "n_words"])
-
-
 def _alone(others: Column, rest: Column) -> Column:
     """ln S(w) from the word's count in other documents and their words."""
     return F.when(others > 0, F.log(others) - F.log(rest)).otherwise(-F.log(rest + 1))
@@ -234,7 +228,7 @@ def _joined(rows: DataFrame, all_words: int) -> DataFrame:
         F.when(lacks, F.when(seen, -xv).otherwise(-xw)).alias("own"),
         F.when(lacks & seen, n).otherwise(0).alias("minus"),
         F.when(lacks & ~seen, n).otherwise(0).alias("plus"),
-        F.when(lacks, F.col("n_words")).alias("n_words"),
+        "n_words",
     )
     return scored.groupBy("u", "uid").agg(F.sum("s").alias("s"), F.max("own").alias("own"), F.sum("minus").alias("minus"), F.sum("plus").alias("plus"), F.max("n_words").alias("n_words"))
 
@@ -265,14 +259,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     taken = F.when(F.col("minus") > 0, -F.col("minus") * F.log(others)).otherwise(0.0)
     added = F.when(F.col("plus") > 0, F.col("plus") * _alone(others, F.lit(all_words) - F.col("n_words"))).otherwise(0.0)
     # Words that are looked up here are rare, so no key of this join is hot.
-    looked_up = met.filter("u IS NOT NULL").join(words.select(F.col("h").alias("u"), F.col("n").alias("c")), "u").select("uid", (F.col("s") + taken + added).alias("s"))
-    by_text = met.filter("u IS NULL").select("uid", "s").unionByName(looked_up).groupBy("uid").agg(F.sum("s").alias("s"))
-    lengths = scratch.keep(texts.select("doc_id", "uid", "text").mapInArrow(_lengths, "doc_id long, uid long, n_words long"), "lengths")
-    copies = lengths.groupBy("uid").agg(F.count(F.lit(1)).alias("m"))
+    looked_up = met.filter("u IS NOT NULL").join(words.select(F.col("h").alias("u"), F.col("n").alias("c")), "u").select("uid", (F.col("s") + taken + added).alias("s"), "n_words")
+    by_text = met.filter("u IS NULL").select("uid", "s", "n_words").unionByName(looked_up).groupBy("uid").agg(F.sum("s").alias("s"), F.max("n_words").alias("n_words"))
+    uids = scratch.keep(texts.select("doc_id", "uid"), "uids")
+    copies = uids.groupBy("uid").agg(F.count(F.lit(1)).alias("m"))
     # Written, so that either side of the join is a plain exchange and a text that many rows have can be split.
-    sums = scratch.keep(by_text.join(copies, "uid").select("uid", (F.col("s") / F.col("m")).alias("s")), "sums")
-    mean = F.when(F.col("n_words") > 0, F.col("s") / F.col("n_words")).otherwise(0.0)
-    return lengths.join(sums, "uid", "left").select("doc_id", "n_words", F.coalesce(mean, F.lit(0.0)).alias("score"))
+    sums = scratch.keep(by_text.join(copies, "uid").select("uid", "n_words", (F.col("s") / F.col("m") / F.col("n_words")).alias("score")), "sums")
+    return uids.join(sums, "uid", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
