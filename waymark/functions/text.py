@@ -135,6 +135,11 @@ def is_generic_label(x: Column | str) -> Column:
     return matches(x, W.GENERIC_LABEL)
 
 
+def is_deictic(x: Column | str) -> Column:
+    """A label that points ("here", "read more") instead of naming."""
+    return matches(x, W.DEICTIC)
+
+
 def is_optional(path: Column | str, title: Column | str, crawled: bool = True) -> Column:
     """Legal, account and careers pages: they go to the Optional section."""
     pattern = W.bounded(W.OPTIONAL_CRAWL if crawled else W.OPTIONAL_PAGE)
