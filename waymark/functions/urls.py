@@ -255,7 +255,8 @@ def escape_url(url: Column | str) -> Column:
 
 def decode_slug(slug: Column | str) -> Column:
     """Percent-decoding that leaves a malformed slug, and plus signs, as they are."""
-    return F.coalesce(F.try_url_decode(F.replace(_c(slug), F.lit("+"), F.lit("%2B"))), _c(slug))
+    decoded = F.try_url_decode(F.replace(_c(slug), F.lit("+"), F.lit("%2B")))
+    return F.when(_c(slug).rlike("%(?![0-9A-Fa-f]{2})"), _c(slug)).otherwise(F.coalesce(decoded, _c(slug)))
 
 
 def path_allowed(path: Column | str, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:

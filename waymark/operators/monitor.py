@@ -128,28 +128,26 @@ class RunBudget:
 def pacer_trace(trace: DataFrame, start: float = LIMITS.pacer_ms) -> DataFrame:
     """``site, interval_ms, exhausted`` at the end of a latency trace (site, seq, latency_ms, refused):
     refusals double the interval, a median of the last three over twice the first ones' mean and
-    500 ms widens it by half; it never narrows. A site's trace is as long as its crawl, so bounded."""
-    rows = trace.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("seq", "latency_ms", "refused"))).alias("t"))
-    none = F.array().cast("array<double>")
-    state = F.struct(F.lit(float(start)).alias("interval"), F.lit(False).alias("exhausted"), none.alias("seen"), F.lit(0.0).alias("baseline"))
-
-    def widen(s: Column, factor: Column) -> tuple[Column, Column]:
-        full = s["interval"] >= LIMITS.pacer_max_ms
-        wider = F.least(F.greatest(s["interval"] * factor, F.lit(LIMITS.pacer_floor_ms)), F.lit(LIMITS.pacer_max_ms))
-        hit = factor > 1
-        return F.when(hit & ~full, wider).otherwise(s["interval"]), s["exhausted"] | (hit & full)
-
-    def step(s: Column, x: Column) -> Column:
-        seen = F.concat(s["seen"], F.array(x["latency_ms"]))
-        young = F.size(seen) <= 3
-        mean = F.aggregate(seen, F.lit(0.0), lambda a, v: a + v) / F.size(seen)
-        baseline = F.when(young, mean).otherwise(s["baseline"])
-        last = F.sort_array(F.slice(seen, F.greatest(F.size(seen) - 2, F.lit(1)), 3))
-        slow = ~young & (F.get(last, F.lit(1)) > 2 * baseline) & (F.get(last, F.lit(1)) > 500)
-        first = widen(s, F.when(slow, 1.5).otherwise(1.0))
-        after = F.struct(first[0].alias("interval"), first[1].alias("exhausted"))
-        second = widen(after, F.when(x["refused"], 2.0).otherwise(1.0))
-        return F.struct(second[0].alias("interval"), second[1].alias("exhausted"), seen.alias("seen"), baseline.alias("baseline"))
-
-    done = F.aggregate("t", state, step)
-    return rows.select("site", done["interval"].alias("interval_ms"), done["exhausted"].alias("exhausted"))
+    500 ms widens it by half; it never narrows.
+
+    An interval is only ever multiplied, up to its maximum, so its end is the start times all factors; it is
+    exhausted if all but the last of them filled it already. So a trace of any length is a few windows and a sum.
+    """
+    order = Window.partitionBy("site").orderBy("seq")
+    rows = trace.withColumn("n", F.row_number().over(order))
+    base = F.avg(F.when(F.col("n") <= 3, F.col("latency_ms"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.sort_array(F.array("latency_ms", F.lag("latency_ms", 1).over(order), F.lag("latency_ms", 2).over(order)))
+    median = F.get(last, F.lit(1))
+    rows = rows.withColumn("slow", (F.col("n") > 3) & (median > 2 * base) & (median > 500))
+    slow, refused = F.col("slow"), F.coalesce("refused", F.lit(False))
+    # Within a step the latency widens first, the refusal after it.
+    hits = F.struct(F.when(slow, 1.5).otherwise(2.0).alias("first"), F.when(refused, 2.0).otherwise(1.5).alias("last"))
+    ends = rows.withColumn("hits", F.when(slow | refused, hits))
+    found = ends.groupBy("site").agg(F.count_if(slow).alias("slows"), F.count_if(refused).alias("refusals"), F.min_by(F.col("hits.first"), F.when(F.col("hits").isNotNull(), F.col("seq"))).alias("first"), F.max_by(F.col("hits.last"), F.when(F.col("hits").isNotNull(), F.col("seq"))).alias("last"))
+    # The first factor does not leave the interval under its floor.
+    begun = F.greatest(F.lit(float(start)) * F.col("first"), F.lit(LIMITS.pacer_floor_ms)) / F.col("first")
+    full = begun * F.pow(F.lit(1.5), F.col("slows")) * F.pow(F.lit(2.0), F.col("refusals"))
+    hit = F.col("first").isNotNull() & F.lit(start < LIMITS.pacer_max_ms)
+    widened = F.when(hit, F.least(full, F.lit(LIMITS.pacer_max_ms))).otherwise(F.lit(float(start)))
+    before_last = full / F.col("last")
+    return found.select("site", widened.alias("interval_ms"), F.coalesce(before_last >= LIMITS.pacer_max_ms, F.lit(False)).alias("exhausted"))

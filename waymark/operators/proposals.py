@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.config import LIMITS
 from waymark.functions import text as X, words as W
+from waymark.operators import markdown as M
 
 REPLY = "summary string, sections map<string,string>, notes map<string,string>"
 
@@ -96,6 +97,29 @@ def enhance(heads: DataFrame, links: DataFrame, replies: DataFrame) -> tuple[Dat
     return summed.withColumn("summary", summary).select(*heads.columns), out
 
 
+NO_PROPOSALS, UNREADABLE, BREAKS_GRAMMAR = "no proposals in the reply", "unreadable proposals", "the result breaks the grammar"
+
+
+def enhanced_files(heads: DataFrame, links: DataFrame, replies: DataFrame) -> DataFrame:
+    """``site, llms_txt, enhanced, reason``: files with what is let through of the replies, and why one stayed as it was."""
+    before = M.render(heads, links)
+    after = M.render(*enhance(heads, links, replies)).withColumnRenamed("site", "name").withColumnRenamed("llms_txt", "text")
+    read = replies.select("site", F.col("reply").rlike(r"(?s)\{.*\}").alias("offered"), _has_proposals(parse_reply(F.col("reply"))).alias("read"))
+    heard = read.groupBy("site").agg(F.bool_or("offered").alias("offered"), F.bool_or("read").alias("read"))
+    kept = keep_valid(before, after.select(F.col("name").alias("site"), F.col("text").alias("llms_txt")), M.validate(after)).join(heard, "site", "left")
+    reason = F.when(~F.coalesce("offered", F.lit(False)), NO_PROPOSALS).when(~F.coalesce("read", F.lit(False)), UNREADABLE).when(~F.col("enhanced"), BREAKS_GRAMMAR)
+    return kept.select("site", "llms_txt", reason.isNull().alias("enhanced"), reason.alias("reason"))
+
+
+def _has_proposals(p: Column) -> Column:
+    return p.isNotNull() & (p["summary"].isNotNull() | p["sections"].isNotNull() | p["notes"].isNotNull())
+
+
+def failure_report(calls: DataFrame) -> DataFrame:
+    """``site, kind, n`` of calls (site, status) that failed."""
+    return calls.groupBy("site", failure_kind(F.col("status")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def propose(skeletons: DataFrame, proposer: Callable[[Iterator], Iterator]) -> DataFrame:
     """``site, reply`` from a pluggable callable over batches; there is none by default."""
     return skeletons.mapInPandas(proposer, "site string, reply string")

@@ -651,13 +651,6 @@ def progress_ndjson(spark, d):
     return T.to_ndjson(rows, "seq")
 
 
-@query()
-def pacer_intervals(spark, d):
-    """Events of a user as a latency trace; every seventeenth is a refusal."""
-    rows = _table(spark, d, "events").select(F.col("user_id").cast("string").alias("site"), F.col("event_id").alias("seq"), (F.abs("value") * 10).cast("double").alias("latency_ms"), (F.col("event_id") % 17 == 0).alias("refused"))
-    return N.pacer_trace(rows)
-
-
 @query()
 def site_maps(spark, d):
     """The whole run: a home page's links and its site's pages merged, grouped, limited, rendered."""

@@ -33,6 +33,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def move_new(spark: SparkSession, source: str, target: str) -> None:
+    """Rename in one step; fails, whatever the file system, if the target is there already."""
+    jvm = spark.sparkContext._jvm
+    path, rename = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(source).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(path(source), path(target), options)
+
+
 class Scratch:
     """Tables of one run, each in a folder of its own below the shared root."""
 

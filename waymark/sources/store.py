@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymark.functions.text import hash_content
 from waymark.functions.urls import display_url
-from waymark.scratch import delete_path
+from waymark.scratch import delete_path, move_new
 
 GENERATIONS = (
     "url string, llms_txt string, content_hash string, generated_at timestamp, structure_hash string, sitemap_hash string, "
@@ -43,10 +43,8 @@ class GenerationStore:
         found = self.snapshots()
         draft = f"{self.root}/draft-{uuid.uuid4().hex}"
         rows.write.parquet(draft)
-        fs, path = self._fs()
         number = int(found[-1][2:]) + 1 if found else 1
-        if fs.exists(path(f"{self.root}/s-{number:08d}")) or not fs.rename(path(draft), path(f"{self.root}/s-{number:08d}")):
-            raise RuntimeError(f"snapshot {number} exists")
+        move_new(self.spark, draft, f"{self.root}/s-{number:08d}")
         for old in found[:-1]:
             delete_path(self.spark, f"{self.root}/{old}")
 
@@ -107,4 +105,10 @@ def to_ndjson(events: DataFrame, order: str) -> DataFrame:
 def sample_links(page: DataFrame, pattern: str, n: int, seed: int = 0) -> DataFrame:
     """``url``: n of a directory page's links, the same for a seed."""
     found = page.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), 1))).alias("url")).distinct()
-    return found.orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(n)
+    return found.orderBy(F.sha2(F.concat(F.lit(f"{seed}|"), "url"), 256), "url").limit(n)
+
+
+def as_json(generations: DataFrame) -> DataFrame:
+    """``url, body``: rows as the read interface answers with them."""
+    fields = F.struct("url", "content_hash", "source", F.col("changed_at").isNotNull().alias("changed"), "published_at")
+    return generations.select("url", F.to_json(fields).alias("body"))
