@@ -233,3 +233,22 @@ def test_stream_checks_each_batch(spark, tmp_path):
         seen.append(store.read().first())
     assert seen[0].structure_hash == seen[1].structure_hash != seen[2].structure_hash
     assert seen[1].changed_at is None and seen[2].changed_at is not None
+
+
+def test_stream_knows_a_site_by_all_its_pages(spark, tmp_path):
+    """A batch with some of a site's pages changes nothing, nor does a batch that is run again."""
+    from waymark.streaming.monitor import PAGES, apply_batch
+
+    store = T.GenerationStore(spark, f"file://{tmp_path}/g")
+    pages = lambda *rows: spark.createDataFrame([(i, f"https://a.com/{i}", f"<title>{t}</title>") for i, t in rows], PAGES)
+    apply_batch(store, pages((1, "One"), (2, "Two")), 0)
+    first = store.read().first()
+    apply_batch(store, pages((2, "Two")), 1)
+    second = store.read().first()
+    assert second.structure_hash == first.structure_hash and second.changed_at is None
+    apply_batch(store, pages((2, "New")), 2)
+    third = store.read().first()
+    assert third.structure_hash != first.structure_hash and third.changed_at is not None
+    names = store.snapshots()
+    apply_batch(store, pages((2, "New")), 2)
+    assert store.snapshots() == names and store.read().first() == third

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.config import LIMITS
 from waymark.functions import words as W
@@ -51,6 +51,12 @@ def content_tokens(x: Column | str) -> Column:
     return F.transform(F.filter(tokenize(x), lambda t: ~t.isin(*W.STOPWORDS)), stem)
 
 
+def stem_counts(texts: DataFrame, column: str) -> DataFrame:
+    """``stem, n``: content tokens over all texts. Tokens are counted as they are and the different ones stemmed."""
+    tokens = texts.select(F.explode(tokenize(column)).alias("t")).filter(~F.col("t").isin(*W.STOPWORDS))
+    return tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).groupBy(stem("t").alias("stem")).agg(F.sum("n").alias("n"))
+
+
 def token_similarity(a: Column | str, b: Column | str) -> Column:
     """Jaccard overlap of two arrays of content tokens; 0 if either is empty."""
     shared = F.size(F.array_intersect(_c(a), _c(b)))
@@ -98,7 +104,7 @@ def title_case(x: Column | str) -> Column:
     """Words begin in upper case, but for minor words after the first; acronyms stay."""
 
     def one(word: Column, n: Column) -> Column:
-        raised = F.concat(F.upper(word.substr(1, 1)), F.substring(word, 2, 1_000_000))
+        raised = F.concat(F.upper(word.substr(1, 1)), word.substr(F.lit(2), F.length(word)))
         return F.when(word.rlike("^[A-Z0-9]{2,}$"), word).when((n > 0) & F.lower(word).isin(*W.MINOR_WORDS), F.lower(word)).otherwise(raised)
 
     return F.array_join(F.transform(F.filter(F.split(_c(x), SPACE + "+"), lambda w: w != ""), one), " ")

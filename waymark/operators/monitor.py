@@ -10,21 +10,28 @@ from waymark.config import LIMITS
 from waymark.functions.text import hash_content
 
 
+def _first(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """Of each site the first rows; each task cuts a site down before rows move."""
+    nth = F.row_number().over(Window.partitionBy("site").orderBy(*order))
+    return rows.withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth")
+
+
 def structure_hash(heads: DataFrame, links: DataFrame) -> DataFrame:
     """``site, structure_hash`` of the site's name and its links' addresses and titles, whatever their order.
 
-    ``heads``: site, site_name. A site map has a bounded number of links.
+    ``heads``: site, site_name. A site map has at most so many links; of more, the first by address count.
     """
-    entries = links.groupBy("site").agg(F.sort_array(F.collect_list(F.concat_ws("\t", "url", "title"))).alias("e"))
+    entry = links.select("site", F.concat_ws("\t", "url", "title").alias("e"))
+    entries = _first(entry, LIMITS.links_per_site + LIMITS.optional_links, "e").groupBy("site").agg(F.sort_array(F.collect_list("e")).alias("e"))
     rows = heads.join(entries, "site", "left")
     text = F.concat_ws("\n", F.coalesce("site_name", F.lit("")), F.coalesce("e", F.array().cast("array<string>")))
     return rows.select("site", hash_content(text).alias("structure_hash"))
 
 
 def sitemap_hash(entries: DataFrame) -> DataFrame:
-    """``site, sitemap_hash`` of the listed addresses, repeated ones too; a sitemap lists a bounded number."""
+    """``site, sitemap_hash`` of the listed addresses, repeated ones too; of more than a sitemap lists, the first by address."""
     listed = F.array_join(F.sort_array(F.collect_list("url")), "\n")
-    return entries.groupBy("site").agg(hash_content(listed).alias("sitemap_hash"))
+    return _first(entries.select("site", "url"), LIMITS.sitemap_urls, "url").groupBy("site").agg(hash_content(listed).alias("sitemap_hash"))
 
 
 def is_due(last_checked: Column, now: Column, hours: float = LIMITS.check_hours) -> Column:

@@ -19,6 +19,16 @@ def inbound_counts(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("site", "url").agg(F.count(F.lit(1)).alias("inbound"))
 
 
+def linked_addresses(links: DataFrame) -> DataFrame:
+    """``site, url, inbound`` of links (url, href) as pages have them. A link that starts at the root means the same
+    on every page of its site, so equal ones are counted first and each is resolved once."""
+    rooted = F.col("href").rlike(r"^/(?!/)")
+    base = F.when(rooted, F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*)", 1)).otherwise(F.col("url"))
+    counted = links.groupBy(base.alias("base"), "href").agg(F.count(F.lit(1)).alias("n"))
+    resolved = counted.select(host_of("base").alias("site"), canonicalize_url("href", "base").alias("url"), "n").filter("url IS NOT NULL")
+    return resolved.groupBy("site", "url").agg(F.sum("n").alias("inbound"))
+
+
 def rank_candidates(candidates: DataFrame) -> DataFrame:
     """``section, nth``: within a site and section, most linked first, then shallow, early, by url."""
     ranked = candidates.withColumn("section", F.coalesce(F.get("segments", F.lit(0)), F.lit("")))

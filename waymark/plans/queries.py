@@ -103,18 +103,43 @@ def body_checks(spark, d):
     return p.select("page_id", H.is_truncated(F.col("html"), 1200).alias("truncated"), H.is_html(F.lit(None).cast("string"), F.col("html")).alias("html"), F.left("html", F.lit(20)).alias("head"))
 
 
-@query()
+_NO_RAW = r"regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '<(script|style)[^>]*>[\s\S]*?</(script|style)>', '', 'g')"
+
+
+def _decoded_sql(text: str) -> str:
+    """Entities by name, the ampersand last, so that what it makes is not read again."""
+    for name, sign in [*((n, c) for n, c in X.W.ENTITIES.items() if n != "amp"), ("amp", "&")]:
+        text = f"replace({text}, '&{name};', '" + sign.replace("'", "''") + "')"
+    return text
+
+
+def _tidy_sql(text: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({text}, '{SPACES}+', ' ', 'g'), ' +([,.;:!?)\]])', '\1', 'g'), '([(\[]) +', '\1', 'g'))"
+
+
+_PIECES = rf"list_transform(list_filter(string_split(regexp_replace(seg, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '{SPACES}+', '', 'g') <> ''), lambda x: {_decoded_sql('x')})"
+
+
+@query(
+    rf"""WITH h AS (SELECT page_id, {_NO_RAW} AS h FROM pages), s AS (SELECT page_id, tag, regexp_extract(h, '<' || tag || '[^>]*>([\s\S]*?)</' || tag || '>', 1) AS seg FROM h, (SELECT unnest(['nav', 'article', 'footer']) AS tag) WHERE contains(h, '<' || tag)),
+    t AS (SELECT page_id, tag, length({_tidy_sql(f"array_to_string({_PIECES}, ' ')")}) AS chars, coalesce(list_sum(list_transform(regexp_extract_all(seg, '<a [^>]*>([^<]*)</a>', 1), lambda x: length({_tidy_sql(_decoded_sql('x'))}))), 0) AS link_chars FROM s)
+    SELECT page_id, tag, CAST(chars AS INT) AS chars, CAST(link_chars AS BIGINT) AS link_chars, round(CASE WHEN chars = 0 THEN 1 ELSE least(1, link_chars / chars) END, 9) AS density FROM t"""
+)
 def node_link_density(spark, d):
     """Text, link text and density of each nav, article and footer, by interval joins within pages."""
-    return H.link_density(H.nodes(_table(spark, d, "pages")), F.col("tag").isin("nav", "article", "footer"))
+    rows = H.link_density(H.nodes(_table(spark, d, "pages")), F.col("tag").isin("nav", "article", "footer"))
+    return rows.select("page_id", "tag", "chars", "link_chars", F.round("density", 9).alias("density"))
 
 
-@query()
+@query(
+    rf"""WITH h AS (SELECT page_id, regexp_replace({_NO_RAW}, '<nav>[\s\S]*?</nav>|<footer>[\s\S]*?</footer>|<div class="ad">[\s\S]*?</div>', '', 'g') AS h FROM pages)
+    SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(h, '<(h1|h2|p)[ >]', 1)) AS tag FROM h) GROUP BY 1, 2"""
+)
 def content_outside_chrome(spark, d):
     """Headings and paragraphs that lie in no furniture."""
     table = H.nodes(_table(spark, d, "pages"))
     rows = table.filter(F.col("tag").isin("h1", "h2", "p")).select("page_id", "node_id", "tag")
-    return H.outside_chrome(table, rows)
+    return H.outside_chrome(table, rows).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -123,9 +148,12 @@ def page_extractions(spark, d):
     return E.extractions(_table(spark, d, "pages")).select("page_id", "url", "extraction.*")
 
 
-@query()
+@query(
+    f"""SELECT page_id, url AS page_url, url, {OWN_TITLE} AS title, nullif(regexp_extract(html, '<meta name=\"description\" content=\"([^\"]*)\"', 1), '') AS description, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1), ' ') AS links FROM pages"""
+)
 def page_metadata(spark, d):
-    return E.page_meta(_table(spark, d, "pages"))
+    """What a crawl keeps of each page."""
+    return E.page_meta(_table(spark, d, "pages")).withColumn("links", F.array_join("links", " "))
 
 
 # -- addresses ---------------------------------------------------------------------------
@@ -184,23 +212,29 @@ def token_counts(spark, d):
 
 @query(f"SELECT stem, count(*) AS n FROM (SELECT unnest({CONTENT.format('text')}) AS stem FROM documents) GROUP BY stem")
 def stem_distribution(spark, d):
-    rows = _table(spark, d, "documents").select(F.explode(X.content_tokens("text")).alias("stem"))
-    return rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    return X.stem_counts(_table(spark, d, "documents"), "text")
 
 
-LINE = "string_split(text, chr(10))"
+LINES = "lines AS (SELECT doc_id, n, l, coalesce(lag(l) OVER (PARTITION BY doc_id ORDER BY n), '') AS before FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS n FROM documents))"
 
 
-@query(
-    f"""SELECT doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 9) AS similarity,
-    round(CASE WHEN len(a) = 0 THEN 1 ELSE len(list_intersect(a, b)) / len(a) END, 9) AS coverage
-    FROM (SELECT doc_id, list_distinct({CONTENT.format(LINE + '[1]')}) AS a, list_distinct({CONTENT.format(LINE + '[-1]')}) AS b FROM documents)"""
-)
+def _lines(spark, d) -> DataFrame:
+    """``doc_id, n, l, before``: every line of every document, from 1, with the line before it."""
+    rows = _table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
+    pairs = F.arrays_zip(F.col("ls").alias("l"), F.concat(F.array(F.lit("")), F.slice("ls", 1, F.size("ls") - 1)).alias("before"))
+    return rows.select("doc_id", F.posexplode(pairs).alias("n", "x")).select("doc_id", (F.col("n") + 1).alias("n"), "x.l", "x.before")
+
+
+_OVERLAP = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END"
+_COVERED = "CASE WHEN len(a) = 0 THEN 1 ELSE len(list_intersect(a, b)) / len(a) END"
+_SETS = f"sets AS (SELECT *, list_distinct({CONTENT.format('l')}) AS a, list_distinct({CONTENT.format('before')}) AS b FROM lines)"
+
+
+@query(f"WITH {LINES}, {_SETS} SELECT doc_id, n, round({_OVERLAP}, 9) AS similarity, round({_COVERED}, 9) AS coverage FROM sets")
 def title_similarity(spark, d):
-    """First line of each document against its last."""
-    lines = F.split("text", "\n")
-    rows = _table(spark, d, "documents").select("doc_id", X.content_tokens(F.element_at(lines, 1)).alias("a"), X.content_tokens(F.element_at(lines, -1)).alias("b"))
-    return rows.select("doc_id", F.round(X.token_similarity("a", "b"), 9).alias("similarity"), F.round(X.token_coverage("a", "b"), 9).alias("coverage"))
+    """Each line of a document against the one before."""
+    rows = _lines(spark, d).select("doc_id", "n", X.content_tokens("l").alias("a"), X.content_tokens("before").alias("b"))
+    return rows.select("doc_id", "n", F.round(X.token_similarity("a", "b"), 9).alias("similarity"), F.round(X.token_coverage("a", "b"), 9).alias("coverage"))
 
 
 @query(
@@ -218,10 +252,10 @@ MINOR = ", ".join(f"'{w}'" for w in X.W.MINOR_WORDS)
 
 @query(
     rf"""SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN regexp_matches(x, '^[A-Z0-9]{{2,}}$') THEN x WHEN i > 1 AND lower(x) IN ({MINOR}) THEN lower(x) ELSE replace(upper(x[1]), 'ẞ', 'SS') || x[2:] END), ' ') AS title
-    FROM (SELECT doc_id, list_filter(regexp_split_to_array(left(text, 80), '{SPACES}+'), lambda x: x <> '') AS w FROM documents)"""
+    FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{SPACES}+'), lambda x: x <> '') AS w FROM documents)"""
 )
 def title_cased(spark, d):
-    return _table(spark, d, "documents").select("doc_id", X.title_case(F.left("text", F.lit(80))).alias("title"))
+    return _table(spark, d, "documents").select("doc_id", X.title_case("text").alias("title"))
 
 
 ACR = ", ".join(f"'{w}'" for w in X.W.ACRONYMS)
@@ -243,11 +277,11 @@ def content_hash_docs(spark, d):
 
 
 @query(
-    rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 60), '{SPACES}+', ' ', 'g'), '([\[\]\\])', '\\\1', 'g')) AS link_text,
+    rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '{SPACES}+', ' ', 'g'), '([\[\]\\])', '\\\1', 'g')) AS link_text,
     CASE WHEN length(text) > 160 THEN regexp_replace(left(text, 160), '{SPACES}+$', '') || '…' ELSE text END AS note FROM documents"""
 )
 def escapes(spark, d):
-    return _table(spark, d, "documents").select("doc_id", X.escape_link_text(F.left("text", F.lit(60))).alias("link_text"), X.truncate_note("text").alias("note"))
+    return _table(spark, d, "documents").select("doc_id", X.escape_link_text("text").alias("link_text"), X.truncate_note("text").alias("note"))
 
 
 @query(
@@ -351,12 +385,6 @@ def failure_kinds(spark, d):
 # -- discovery and planning ----------------------------------------------------------------------
 
 
-def _mentions(spark, d) -> DataFrame:
-    """Links of the pages as mentions: same-site targets, canonical."""
-    links = H.anchors(H.nodes(_table(spark, d, "pages")))
-    return links.select(U.host_of("url").alias("site"), U.canonicalize_url("href", "url").alias("url")).filter("url IS NOT NULL")
-
-
 @query(
     f"""SELECT site, url, inbound, rank FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY inbound DESC, url) AS rank
     FROM (SELECT site, url, count(*) AS inbound FROM (
@@ -365,7 +393,7 @@ def _mentions(spark, d) -> DataFrame:
 )
 def link_inbound_topk(spark, d):
     """The ten most linked addresses of each site: parse, resolve, count, rank."""
-    counts = K.inbound_counts(_mentions(spark, d))
+    counts = K.linked_addresses(H.hrefs(_table(spark, d, "pages")))
     rank = F.row_number().over(Window.partitionBy("site").orderBy(F.col("inbound").desc(), "url"))
     return counts.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= 10)
 
@@ -466,14 +494,13 @@ LINKS = f"""links AS (SELECT site, page_id AS ord, url, title, seg FROM (
 
 
 @query(
-    f"""WITH {LINKS}, t AS (SELECT site, count(*) AS n_pages FROM links GROUP BY site),
-    v AS (SELECT site, left(title, 2) AS value, count(*) AS n FROM links WHERE title <> '' GROUP BY 1, 2)
-    SELECT v.site, v.value, v.n, t.n_pages FROM v JOIN t USING (site) WHERE v.n >= greatest(3, ceil(t.n_pages * 0.2)) AND trim(v.value) = v.value"""
+    """WITH t AS (SELECT user_id, count(*) AS n_pages FROM events GROUP BY user_id), v AS (SELECT user_id, event_type AS value, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT CAST(user_id AS VARCHAR) AS site, value, n, n_pages FROM v JOIN t USING (user_id) WHERE n >= greatest(3, ceil(n_pages * 0.2))"""
 )
-def repeated_titles(spark, d):
-    """Words that a fifth of a site's titles begin with (whole titles do not repeat that often in the data)."""
-    rows = _pages_as_links(spark, d).withColumn("lead", F.left("title", F.lit(2)))
-    return G.repeated(rows.filter(X.trim("lead") == F.col("lead")).unionByName(rows.filter(X.trim("lead") != F.col("lead")).withColumn("lead", F.lit(None).cast("string"))), "lead")
+def repeated_values(spark, d):
+    """What a user does in a fifth of the events, as a site says its template's words."""
+    rows = _table(spark, d, "events").select(F.col("user_id").cast("string").alias("site"), "event_type")
+    return G.repeated(rows, "event_type")
 
 
 @query(
@@ -557,32 +584,30 @@ def prose_is_no_map(spark, d):
 
 
 @query(
-    rf"""SELECT doc_id, regexp_matches(lower(left(text, 400)), '(^|[^a-z0-9_])({X.W.OPTIONAL_CRAWL})($|[^a-z0-9_])') OR doc_id % 50 = 0 AS optional FROM documents"""
+    rf"""SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])({X.W.OPTIONAL_CRAWL})($|[^a-z0-9_])') OR doc_id % 50 = 0 AS optional FROM documents"""
 )
 def optional_router(spark, d):
     """Titles that send a page to the Optional section; every fiftieth path does."""
     path = F.when(F.col("doc_id") % 50 == 0, "/legal/sign-up").otherwise("/x/legalese")
-    return _table(spark, d, "documents").select("doc_id", X.is_optional(path, F.left("text", F.lit(400))).alias("optional"))
+    return _table(spark, d, "documents").select("doc_id", X.is_optional(path, F.col("text")).alias("optional"))
 
 
 @query(
-    rf"""SELECT doc_id, CASE WHEN length(n) >= 10 AND len(regexp_split_to_array(n, '{SPACES}+')) <= 12 AND NOT contains(n, '](') AND (len(a) = 0 OR len(list_intersect(a, b)) / len(a) <= 0.75) AND len(a) > 0 THEN n END AS note
-    FROM (SELECT doc_id, n, list_distinct({CONTENT.format('n')}) AS a, list_distinct({CONTENT.format('t')}) AS b FROM (
-      SELECT doc_id, regexp_replace(trim(regexp_replace(left(text, 70), '{SPACES}+', ' ', 'g')), '([.]|{SPACES})+$', '') AS n, left(text, 25) AS t FROM documents))"""
+    rf"""WITH {LINES}, cleaned AS (SELECT doc_id, n, regexp_replace(trim(regexp_replace(l, '{SPACES}+', ' ', 'g')), '([.]|{SPACES})+$', '') AS l, before FROM lines), {_SETS.replace('FROM lines', 'FROM cleaned')}
+    SELECT doc_id, n, CASE WHEN length(l) >= 10 AND len(regexp_split_to_array(l, '{SPACES}+')) <= 12 AND NOT contains(l, '](') AND len(a) > 0 AND {_COVERED} <= 0.75 THEN l END AS note FROM sets"""
 )
 def accepted_notes(spark, d):
-    """The first words of a document offered as a note for its first few."""
-    rows = _table(spark, d, "documents")
-    return rows.select("doc_id", P.accept_note(F.left("text", F.lit(70)), F.left("text", F.lit(25))).alias("note"))
+    """Each line of a document offered as a note for the one before."""
+    return _lines(spark, d).select("doc_id", "n", P.accept_note(F.col("l"), F.col("before")).alias("note"))
 
 
 @query(
-    rf"""SELECT doc_id, CASE WHEN length(s) BETWEEN 20 AND 200 AND NOT regexp_matches(s, 'https?://') THEN s END AS summary
-    FROM (SELECT doc_id, trim(regexp_replace(left(text, 15 + doc_id % 250), '{SPACES}+', ' ', 'g')) AS s FROM documents)"""
+    rf"""WITH {LINES}, cleaned AS (SELECT doc_id, n, trim(regexp_replace(l, '{SPACES}+', ' ', 'g')) AS l, before FROM lines), {_SETS.replace('FROM lines', 'FROM cleaned')}
+    SELECT doc_id, n, CASE WHEN length(l) BETWEEN 20 AND 200 AND NOT regexp_matches(l, 'https?://') AND {_OVERLAP} <= 0.8 THEN l END AS summary FROM sets"""
 )
 def accepted_summaries(spark, d):
-    rows = _table(spark, d, "documents").withColumn("t", F.substring("text", 1, 1_000_000).substr(F.lit(1), (15 + F.col("doc_id") % 250).cast("int")))
-    return rows.select("doc_id", P.accept_summary(F.col("t"), F.lit("zzz")).alias("summary"))
+    """Each line offered as a summary of what the one before names: a repeated line says no more."""
+    return _lines(spark, d).select("doc_id", "n", P.accept_summary(F.col("l"), F.col("before")).alias("summary"))
 
 
 # -- monitoring and the store ----------------------------------------------------------------------------

@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.functions import responses as R, text as X, urls as U
-from waymark.operators import extract as E, monitor as N, proposals as P
+from waymark.operators import extract as E, markdown as M, monitor as N, proposals as P
 from waymark.plans.made_queries import _cat
 from waymark.plans.queries import _table, query
 from waymark.scratch import Scratch
-from waymark.sources import sitemaps as S, store as T
+from waymark.sources import robots as B, sitemaps as S, store as T
 
 # -- the store -----------------------------------------------------------------------------
 
@@ -329,3 +329,78 @@ def published_files(spark, d):
     first = s.select(_cat(site, "/docs/llms.txt").alias("url"), F.when(n % 4 == 1, 404).otherwise(200).alias("status"), F.when(n % 4 == 2, "text/HTML").otherwise("text/plain").alias("content_type"), F.when(n % 4 == 3, "# Short").otherwise(_cat("﻿\n# First of shop number ", n, " and its many parts")).alias("text"))
     second = s.select(_cat(site, "/llms.txt").alias("url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("content_type"), F.when(n % 2 == 0, _cat("# Second of shop number ", n, " and its many parts")).otherwise("No title, but long enough to be a file of some kind").alias("text"))
     return S.find_published(tried, first.unionByName(second)).select("site", "url", F.regexp_replace("text", r"^﻿?\s*", "").alias("text"))
+
+
+# -- grammar, robots, sitemaps ------------------------------------------------------------------------
+
+
+#: Made-up files, and for each the lines and names of what is wrong with it.
+FILES = [
+    ("# Site\n\n> One\n> two\n\nFree text.\n\n## Docs\n\n- [A](https://a.example/a): note\n* [B](https://a.example/b)\n", []),
+    ("\ufeff# Site\n", []),
+    ("# Site\n\n# Again\n", [(3, M.SECOND_H1)]),
+    ("#\n\n## Docs\n\n- [A](https://a.example/a)\n", [(1, M.EMPTY_H1), (1, M.NO_H1)]),
+    ("## Docs\n\n- [A](https://a.example/a)\n", [(1, M.EARLY_HEADING), (1, M.NO_H1)]),
+    ("# Site\n\n## Docs\n\n### Deep\n\n- [A](https://a.example/a)\n", [(5, M.DEEP_HEADING.format(3))]),
+    ("# Site\n\n##\n\n- [A](https://a.example/a)\n", [(3, M.UNNAMED_H2)]),
+    ("Hello\n\n# Site\n", [(1, M.EARLY_CONTENT)]),
+    ("# Site\n\n## Docs\n\nFree text.\n- plain item\n- [A](two words)\n", [(5, M.NO_LINK), (6, M.NO_LINK), (7, M.NO_LINK)]),
+    ("# Site\n\n## Docs\n\n- [ ](https://a.example/a)\n  - [B](https://a.example/b)\n", [(5, M.UNNAMED_LINK)]),
+    ("", [(1, M.NO_H1)]),
+]
+_WRONG = ", ".join(f"({n}, {line}, '{what}')" for n, (_, found) in enumerate(FILES) for line, what in found)
+
+
+@query(f"SELECT s_name AS name, CAST(line AS INT) AS line, message FROM supplier JOIN (VALUES {_WRONG}) v(n, line, message) ON s_suppkey % {len(FILES)} = n")
+def grammar_issues(spark, d):
+    """Every kind of departure from the grammar, with its line."""
+    text = F.get(F.array(*[F.lit(t) for t, _ in FILES]), (F.col("s_suppkey") % len(FILES)).cast("int"))
+    files = _table(spark, d, "supplier").select(F.col("s_name").alias("name"), text.alias("text"))
+    return M.issues(M.read_lines(files)).select("name", F.col("line").cast("int").alias("line"), "message")
+
+
+@query(
+    f"""SELECT s_name AS name, part, value FROM supplier JOIN (VALUES (0, 'title', 'Site'), (0, 'summary', 'One two'), (0, 'details', 'Free text.'), (0, 'link 1', 'Docs|A|https://a.example/a|note'), (0, 'link 2', 'Docs|B|https://a.example/b|')) v(n, part, value) ON s_suppkey % {len(FILES)} = n"""
+)
+def parsed_files(spark, d):
+    """The parts of files that conform."""
+    text = F.get(F.array(*[F.lit(t) for t, _ in FILES]), (F.col("s_suppkey") % len(FILES)).cast("int"))
+    lines = M.read_lines(_table(spark, d, "supplier").filter(F.col("s_suppkey") % len(FILES) == 0).select(F.col("s_name").alias("name"), text.alias("text")))
+    head = M.documents(lines)
+    parts = head.select("name", F.explode(F.create_map(F.lit("title"), F.col("title"), F.lit("summary"), F.col("summary"), F.lit("details"), F.array_join("details", "|"))).alias("part", "value"))
+    nth = F.row_number().over(_by(F.col("name"), F.col("line")))
+    links = M.links_of(lines).select("name", _cat("link ", nth).alias("part"), F.concat_ws("|", "section", "title", "url", F.coalesce("notes", F.lit(""))).alias("value"))
+    return parts.unionByName(links)
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS site, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), m AS (SELECT *, length(site) % 3 AS kind, CAST(length(site) % 10 AS VARCHAR) AS digit FROM p)
+    SELECT page_id, CASE kind WHEN 0 THEN CASE WHEN path LIKE '%.html' THEN false WHEN path LIKE '/en/' || digit || '%' THEN true WHEN path LIKE '/en/%' THEN false ELSE true END WHEN 1 THEN NOT path LIKE '/fr/%' ELSE true END AS allowed,
+      CAST(CASE kind WHEN 0 THEN 2500 WHEN 1 THEN 10000 END AS DOUBLE) AS delay_ms FROM m"""
+)
+def robots_by_site(spark, d):
+    """Sites with rules for us, with rules for everyone, and without; the longest rule decides."""
+    pages = _table(spark, d, "pages").select("page_id", U.host_of("url").alias("site"), U.path_of("url").alias("path"))
+    kind, digit = F.length("site") % 3, (F.length("site") % 10).cast("string")
+    ours = _cat("User-agent: *\nDisallow: /\nCrawl-delay: 7\n\nUser-agent: WayMark\nCrawl-delay: 9 # once\nDisallow: /en/\nAllow: /en/", digit, "\nDisallow: /*.html$\nDisallow:\nCrawl-delay: 2.5\n")
+    text = F.when(kind == 0, ours).when(kind == 1, "user-agent:*\r\ndisallow:/fr/ # old\r\ncrawl-delay: 60\r\nUser-agent: other\r\nDisallow: /\r\n")
+    lines = B.lines(pages.select("site").distinct().withColumn("text", text))
+    return B.allowed(pages, B.rules(lines)).join(B.delays(lines), "site", "left").select("page_id", "allowed", "delay_ms")
+
+
+@query(
+    """WITH k AS (SELECT p_partkey AS key, p_partkey // 40 AS k, p_partkey % 40 AS idx FROM part)
+    SELECT 'shop' || k AS site, 'https://shop' || k || '.example/p?a=' || idx || '&b=' || key AS url, row_number() OVER (PARTITION BY k ORDER BY idx % 8, idx) - 1 AS position FROM k WHERE idx % 8 BETWEEN 1 AND 4"""
+)
+def indexed_sitemaps(spark, d):
+    """An index of children: one that is missing, four that are read, and more than are followed."""
+    p = _table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.floor(F.col("p_partkey") / 40).alias("k"), (F.col("p_partkey") % 40).alias("idx"))
+    site = _cat("shop", F.col("k"))
+    loc = _cat("<url><LOC>\n https://", site, ".example/p?a=", F.col("idx"), "&amp;b=", F.col("key"), " </LOC></url>")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", loc.alias("x")))), lambda s: s["x"]), "")
+    child = p.withColumn("child", F.col("idx") % 8).groupBy("k", "child").agg(body.alias("b"))
+    maps = child.filter("child > 0").select(site.alias("site"), _cat(F.col("child"), ".xml").alias("sitemap_url"), _cat("<urlset><!-- <loc -->", F.col("b"), "</urlset>").alias("text"))
+    index = p.select("k").distinct().select(site.alias("site"), F.lit("index.xml").alias("sitemap_url"), F.lit("<SitemapIndex>" + "".join(f"<loc>{n}.xml</loc>" for n in range(8)) + "</SitemapIndex>").alias("text"))
+    entries = S.read_sitemaps(maps.unionByName(index))
+    tried = p.select("k").distinct().select(site.alias("site"), F.array(F.lit("none.xml"), F.lit("index.xml"), F.lit("1.xml")).alias("candidates"))
+    return S.first_sitemap(entries, tried).select("site", "url", F.col("position").cast("long").alias("position"))

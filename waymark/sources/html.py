@@ -209,6 +209,17 @@ def nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.select("page_id", "url", "node.*")
 
 
+@batched("array<string>")
+def _hrefs(html: pd.Series) -> pd.Series:
+    found = ([a["href"] for kind, name, a in tokens(h or "") if name == "a" and kind in ("open", "leaf") and a.get("href")] for h in html)
+    return pd.Series(list(found), dtype=object)
+
+
+def hrefs(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``page_id, url, n, href``: ``anchors`` without the tree, for what needs links only."""
+    return pages.select("page_id", "url", F.posexplode(_hrefs(html)).alias("n", "href"))
+
+
 def is_html(content_type: Column, body: Column) -> Column:
     return F.coalesce(content_type, F.lit("")).rlike("(?i)html") | F.coalesce(body, F.lit("")).rlike(r"(?i)^\s*<(!doctype|html)")
 

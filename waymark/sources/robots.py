@@ -15,10 +15,9 @@ def lines(texts: DataFrame) -> DataFrame:
     """``site, line_no, field, value, group_no``: directives; agents in a row open one group."""
     raw = texts.select("site", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("line_no", "raw"))
     line = trim(F.regexp_replace("raw", "#.*$", ""))
-    cut = F.instr(line, ":")
-    field = F.lower(trim(F.substring(line, 1, 1_000_000).substr(F.lit(1), cut - 1)))
-    value = trim(line.substr(cut + 1, F.lit(1_000_000)))
-    rows = raw.filter(cut > 0).select("site", "line_no", field.alias("field"), value.alias("value"))
+    field = F.lower(trim(F.regexp_extract(line, "^([^:]*):", 1)))
+    value = trim(F.regexp_extract(line, r"^[^:]*:([\s\S]*)$", 1))
+    rows = raw.filter(line.contains(":")).select("site", "line_no", field.alias("field"), value.alias("value"))
     order = Window.partitionBy("site").orderBy("line_no")
     agent = F.col("field") == "user-agent"
     # Sitemap lines stand outside of groups and neither open nor close one.

@@ -17,8 +17,11 @@ GENERATIONS = (
 SUMMARY = ["url", "generated_at", "last_checked_at", "changed_at", "source"]
 
 
-class GenerationStore:
-    """Each write makes a new snapshot and then moves the pointer to it, so a reader or a lost job sees one whole state."""
+class Snapshots:
+    """A table that is replaced whole: each write makes a new snapshot and renames it into place, so a
+    reader or a lost job sees one whole state. A write may have a tag, under which it is made once."""
+
+    schema: str
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -33,39 +36,58 @@ class GenerationStore:
             return []
         return sorted(n for x in fs.listStatus(path(self.root)) if (n := x.getPath().getName()).startswith("s-"))
 
+    def has(self, tag: str) -> bool:
+        """Whether one of the newest snapshots was written under the tag."""
+        return any(n[10:] == f"-{tag}" for n in self.snapshots())
+
     def read(self) -> DataFrame:
         found = self.snapshots()
         if not found:
-            return self.spark.createDataFrame([], GENERATIONS)
-        return self.spark.read.schema(GENERATIONS).parquet(f"{self.root}/{found[-1]}")
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{found[-1]}")
 
-    def _replace(self, rows: DataFrame) -> None:
+    def replace(self, rows: DataFrame, tag: str | None = None) -> None:
         found = self.snapshots()
         draft = f"{self.root}/draft-{uuid.uuid4().hex}"
         rows.write.parquet(draft)
-        number = int(found[-1][2:]) + 1 if found else 1
-        move_new(self.spark, draft, f"{self.root}/s-{number:08d}")
+        number = int(found[-1][2:10]) + 1 if found else 1
+        move_new(self.spark, draft, f"{self.root}/s-{number:08d}" + (f"-{tag}" if tag else ""))
         for old in found[:-1]:
             delete_path(self.spark, f"{self.root}/{old}")
 
+
+class GenerationStore(Snapshots):
+    """The generated files, one row for each site."""
+
+    schema = GENERATIONS
+
     def upsert(self, new: DataFrame) -> None:
-        """Rows of url, llms_txt, structure_hash, source, published_at, now: written anew, what they lack kept."""
-        old = self.read()
-        kept = old.select("url", F.col("sitemap_hash").alias("k_sitemap"), F.col("changed_at").alias("k_changed"), F.col("change_count").alias("k_count"))
-        written = new.join(kept, "url", "left").select(
-            "url", "llms_txt", hash_content("llms_txt").alias("content_hash"), F.col("now").alias("generated_at"), "structure_hash",
-            F.col("k_sitemap").alias("sitemap_hash"), F.col("now").alias("last_checked_at"), F.col("k_changed").alias("changed_at"),
-            F.coalesce("k_count", F.lit(0)).alias("change_count"), F.coalesce("source", F.lit("generated")).alias("source"), "published_at",
-        )
-        self._replace(old.join(new.select("url"), "url", "left_anti").select(*written.columns).unionByName(written))
+        self.replace(upserted(self.read(), new))
 
     def record_checks(self, outcomes: DataFrame) -> None:
-        """Rows of url, result, changed, structure_hash, sitemap_hash, llms_txt (or null), now; deferred ones write nothing."""
-        self._replace(recorded(self.read(), outcomes))
+        self.replace(recorded(self.read(), outcomes))
+
+
+class LinkStore(Snapshots):
+    """What is known of the pages of watched sites."""
+
+    schema = "site string, url string, title string"
+
+
+def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` with rows of url, llms_txt, structure_hash, source, published_at, now: written anew, what they lack kept."""
+    kept = old.select("url", F.col("sitemap_hash").alias("k_sitemap"), F.col("changed_at").alias("k_changed"), F.col("change_count").alias("k_count"))
+    written = new.join(kept, "url", "left").select(
+        "url", "llms_txt", hash_content("llms_txt").alias("content_hash"), F.col("now").alias("generated_at"), "structure_hash",
+        F.col("k_sitemap").alias("sitemap_hash"), F.col("now").alias("last_checked_at"), F.col("k_changed").alias("changed_at"),
+        F.coalesce("k_count", F.lit(0)).alias("change_count"), F.coalesce("source", F.lit("generated")).alias("source"), "published_at",
+    )
+    return old.join(new.select("url"), "url", "left_anti").select(*written.columns).unionByName(written)
 
 
 def recorded(stored: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """``stored`` with outcomes of checks: fingerprints and the time always, the text and its times if there is a new one."""
+    """``stored`` with outcomes of checks (url, result, changed, structure_hash, sitemap_hash, llms_txt or null,
+    now; deferred ones write nothing): fingerprints and the time always, the text and its times if there is a new one."""
     o = outcomes.filter("result <> 'deferred'").select("url", F.lit(True).alias("hit"), "changed", F.col("structure_hash").alias("n_structure"), F.col("sitemap_hash").alias("n_sitemap"), F.col("llms_txt").alias("n_text"), "now")
     rows = stored.join(o, "url", "left")
     hit, text = F.col("hit").isNotNull(), F.col("n_text").isNotNull()
