@@ -27,10 +27,10 @@ def unused(df: DataFrame, *stems: str) -> list[str]:
     return names
 
 
-def columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[list, ...]]:
-    """The named columns as Python lists, in slices of about SLICE_CHARS code points of the last one."""
+def columns(batch: pa.RecordBatch, *names: str, chars: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
+    """The named columns as Python lists, in slices of about ``chars`` code points of the last one."""
     last = batch.column(names[-1])
-    step = max(1, batch.num_rows * SLICE_CHARS // max(1, last.nbytes)) if batch.num_rows else 1
+    step = max(1, batch.num_rows * chars // max(1, last.nbytes)) if batch.num_rows else 1
     for start in range(0, batch.num_rows, step):
         part = batch.slice(start, step)
         yield tuple(part.column(n).to_pylist() for n in names)

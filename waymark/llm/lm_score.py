@@ -46,7 +46,9 @@ BACKOFF = 0.4
 FREQUENT_WORD, FREQUENT_PAIR = 5e-7, 1e-6
 PASSES = 2
 #: Different words that a task numbers before it starts anew.
-VOCABULARY = 1_000_000
+VOCABULARY = 200_000
+#: Code points of text that a task explodes at once.
+SLICE_CHARS = 2_000_000
 #: In place of v for a document's first word, and of w in a row that holds a document's settled sum.
 START, SETTLED = 1, 2
 
@@ -118,7 +120,7 @@ def _survey(pair_share: float, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, total = Texts(most), np.zeros(0, np.int64)
         for batch in batches:
-            for (some,) in columns(batch, "text"):
+            for (some,) in columns(batch, "text", chars=SLICE_CHARS):
                 if len(texts.numbers) > most:
                     yield _counted(0, texts.hashes, total)
                     total = np.zeros(0, np.int64)
@@ -141,7 +143,7 @@ def _count_known(known, most: int):
         texts, wanted = Texts(most), known.value
         total = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for (some,) in columns(batch, "text"):
+            for (some,) in columns(batch, "text", chars=SLICE_CHARS):
                 texts.read(some)
                 pairs = texts.pairs()
                 at = np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)
@@ -158,7 +160,7 @@ def _explode(part: int, parts: int, all_words: int, words, pairs, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, known, epoch = Texts(most), np.zeros(0, np.int64), 0
         for batch in batches:
-            for uids, some in columns(batch, "uid", "text"):
+            for uids, some in columns(batch, "uid", "text", chars=SLICE_CHARS):
                 texts.read(some)
                 if epoch != texts.epoch:
                     known, epoch = known[:0], texts.epoch
