@@ -1,18 +1,26 @@
 """Which urls to block: rules by host and path, and for the rest the words of host and path.
 
-Hosts are often words run together. Unigram Viterbi splits each name into words by
-the words' frequencies in the text of all pages, and a multinomial naive Bayes
-model, trained on the example names below, scores the words of host and path. A
-rule that fits decides instead; of those that fit, the longest.
-
-Word frequencies are counted over all pages. Words that are rarer than FLOOR of
-all tokens are left to the model of unknown words, which bounds the table that
-tasks hold at 1/FLOOR entries at any size of the corpus.
+Hosts are often words run together. Unigram Viterbi splits each name, a run of letters,
+into words by the words' frequencies in the text of all pages, and a multinomial naive
+Bayes model scores the words of host and path. A rule that fits decides instead; of
+those that fit, the longest.
+
+Word frequencies are counted over all pages, and nothing is left out: the different names
+are exploded into their substrings, which join the table of all words, so each name meets
+the few words that it can hold. Names are split whole, once each, and so are pages' hosts
+and paths scored.
+
+The model learns from labelled examples and from the names of a bounded sample of hosts
+without labels: at most TRAIN_HOSTS, those with the smallest hash. Such a host counts
+towards either class by what the examples' words in it tell, half to each if it has none, at
+a weight of UNLABELLED, so words that go with telling ones tell something themselves.
+There is one round: in further ones words that all hosts share would drift with their own
+verdicts. The classes' counts are of one size, so a word that tells nothing adds nothing.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no
 rule, and the verdict of the prior (allow). Of fitting rules of one length a
-blocking one decides. Repeated rows are judged each. Other columns are ignored. An
-empty table gives an empty table.
+blocking one decides. Letters are a-z; others separate names. Repeated rows are judged
+each. Other columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,22 +29,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymark.llm._arrow import columns
+from waymark.llm._sample import lowest
 from waymark.scratch import Scratch
 
-FLOOR = 1e-6
-LONGEST_WORD = 24
-#: Names longer than this are split at this length before segmentation.
-LONGEST_NAME = 256
 MAX_RULES = 1000
 PRIOR_BLOCK = 0.3
 #: Added to every count; small, since each example word is telling.
 SMOOTH = 0.1
+#: Hosts without labels that the model learns from, their weight, and the longest name that a host may have.
+TRAIN_HOSTS, UNLABELLED, HOST_CHARS = 2000, 0.1, 253
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values: (verdict, host, path) of the query.
@@ -84,44 +90,72 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
 
 
 class Segmenter:
-    """Most probable split of a name into words, by unigram frequencies."""
+    """Most probable split of a name into words, by unigram frequencies; an unknown word of n letters has the
+    frequency 10 / 10^n."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        total = max(1, sum(counts.values()) if total is None else total)
         self.known = {w: math.log(n / total) for w, n in counts.items()}
-        self.unknown = [0.0, *(math.log(10 / total) - n * math.log(10) for n in range(1, LONGEST_WORD + 1))]
-        self.split = lru_cache(maxsize=200_000)(self._split)
+        self.lengths = sorted({len(w) for w in counts})
+        self.begin, self.letter = math.log(10 / total), math.log(10)
+
+    def unknown(self, n: int) -> float:
+        return self.begin - n * self.letter
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str) -> list[str]:
         best, back = [0.0], [0]
+        # The best place for an unknown word to begin, whatever its end: its letters cost the same each.
+        start, worth = 0, 0.0
         for end in range(1, len(name) + 1):
-            value, start = max((best[s] + self.known.get(name[s:end], self.unknown[end - s]), s) for s in range(max(0, end - LONGEST_WORD), end))
+            value, at = worth + self.unknown(end), start
+            for n in self.lengths:
+                if n > end:
+                    break
+                known = self.known.get(name[end - n : end])
+                if known is not None and best[end - n] + known >= value:
+                    value, at = best[end - n] + known, end - n
             best.append(value)
-            back.append(start)
+            back.append(at)
+            if value + end * self.letter >= worth:
+                start, worth = end, value + end * self.letter
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
             end = back[end]
-        return tuple(words[::-1])
-
-    def words(self, text: str) -> list[str]:
-        names = (n[i : i + LONGEST_NAME] for n in _LETTERS.findall(text.lower()) for i in range(0, len(n), LONGEST_NAME))
-        return [w for n in names for w in self.split(n)]
+        return words[::-1]
 
 
 class NaiveBayes:
-    """Multinomial, smoothed by SMOOTH; words in no example say nothing."""
+    """Multinomial, smoothed by SMOOTH, from examples of both classes and lists of words without a label."""
 
-    def __init__(self, block: list[str], allow: list[str], prior: float = PRIOR_BLOCK) -> None:
-        counts = [Counter(w for e in examples for w in e.split()) for examples in (allow, block)]
-        vocabulary = {*counts[0], *counts[1]}
-        sizes = [sum(c.values()) + SMOOTH * len(vocabulary) for c in counts]
+    def __init__(self, block: list[str], allow: list[str], unlabelled: list[list[str]] = (), prior: float = PRIOR_BLOCK) -> None:  # noqa: B006
+        told = [Counter(w for e in examples for w in e.split()) for examples in (allow, block)]
+        size = sum(c.total() for c in told) / 2
+        told = [{w: n * size / max(1, c.total()) for w, n in c.items()} for c in told]
         self.prior = math.log(prior / (1 - prior))
-        self.ratio = {w: math.log((counts[1][w] + SMOOTH) / sizes[1]) - math.log((counts[0][w] + SMOOTH) / sizes[0]) for w in vocabulary}
+        self.vocabulary = {*told[0], *told[1]}
+        self.ratio = self._ratio(told)
+        self.vocabulary |= {w for ws in unlabelled for w in ws}
+        if unlabelled:
+            counts = [Counter(t) for t in told]
+            for words in unlabelled:
+                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.evidence(words)))))
+                for w in words:
+                    counts[0][w] += UNLABELLED * (1 - p)
+                    counts[1][w] += UNLABELLED * p
+            sizes = [sum(c.values()) for c in counts]
+            self.ratio = self._ratio([{w: n * max(sizes) / c for w, n in x.items()} for x, c in zip(counts, sizes)])
+
+    def _ratio(self, counts: list[dict[str, float]]) -> dict[str, float]:
+        sizes = [sum(c.values()) + SMOOTH * len(self.vocabulary) for c in counts]
+        return {w: math.log((counts[1].get(w, 0) + SMOOTH) / sizes[1]) - math.log((counts[0].get(w, 0) + SMOOTH) / sizes[0]) for w in self.vocabulary}
+
+    def evidence(self, words: list[str]) -> float:
+        return sum(self.ratio.get(w, 0.0) for w in words)
 
     def score(self, words: list[str]) -> float:
         """Log-odds of block."""
-        return self.prior + sum(self.ratio.get(w, 0.0) for w in words)
+        return self.prior + self.evidence(words)
 
 
 def example_counts() -> Counter:
@@ -133,7 +167,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for (texts,) in columns(batch, "html"):
             for html in texts:
-                counts.update(w for w in _LETTERS.findall(_MARKUP.sub(" ", html or "").lower()) if len(w) <= LONGEST_WORD)
+                counts.update(_LETTERS.findall(_MARKUP.sub(" ", html or "").lower()))
         if len(counts) > 500_000:
             yield _counted(counts)
             counts = Counter()
@@ -144,35 +178,90 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
-def word_counts(pages: DataFrame, html_col: str = "html", floor: float = FLOOR) -> dict[str, int]:
-    """Frequencies over the text of all pages, of words above the floor, with the examples' words on top."""
-    counts = pages.select(F.col(html_col).alias("html")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = Scratch(pages.sparkSession, "url-filter").keep(counts, "words")
-    least = max(2.0, (counts.agg(F.sum("n")).first()[0] or 0) * floor)
-    # Single letters are left to the model of unknown words.
-    found = counts.filter((F.length("word") > 1) & (F.col("n") >= least)).toArrow()
-    out = Counter(dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist())))
-    scale = max(1, sum(out.values()) // 20_000)
-    for w, n in example_counts().items():
-        out[w] += n * scale
-    return dict(out)
+def names_in(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
+
 
+def _substrings(lengths: list[int]):
+    """(name, word): the different substrings of each name that have a word's length."""
 
-def _judge(counts: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, bayes = Segmenter(counts), NaiveBayes(BLOCK_EXAMPLES, ALLOW_EXAMPLES)
         for batch in batches:
-            hosts, paths = (batch.column(c).to_pylist() for c in ("host", "path"))
-            scores = [bayes.score(segmenter.words(h) + segmenter.words(p)) for h, p in zip(hosts, paths)]
-            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+            for name in batch.column("name").to_pylist():
+                found = list({name[i : i + n] for n in lengths if n <= len(name) for i in range(len(name) - n + 1)})
+                for at in range(0, len(found), 50_000):
+                    part = found[at : at + 50_000]
+                    yield pa.record_batch([pa.array([name] * len(part), pa.string()), pa.array(part, pa.string())], ["name", "word"])
 
     return run
 
 
+def _split(total: int, examples: dict[str, int]):
+    """(name, words) from (name, found, counts); examples' words have their own counts on top."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = []
+            for name, found, n in zip(*(batch.column(c).to_pylist() for c in ("name", "found", "counts"))):
+                counts = Counter(dict(zip(found or [], n or [])))
+                for w, extra in examples.items():
+                    if w in name:
+                        counts[w] += extra
+                words.append(Segmenter(counts, total).split(name))
+            yield pa.record_batch([batch.column("name"), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
+
+    return run
+
+
+def _told(model: NaiveBayes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [model.evidence(ws) for ws in batch.column("words").to_pylist()]
+            yield pa.record_batch([batch.column("name"), pa.array(told, pa.float64())], ["name", "told"])
+
+    return run
+
+
+def segmented(names: DataFrame, pages: DataFrame, html_col: str, scratch: Scratch) -> DataFrame:
+    """``name, words`` of different names, by the words of all pages."""
+    counts = pages.select(F.col(html_col).alias("html")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = scratch.keep(counts, "words")
+    # Single letters are left to the model of unknown words.
+    spelt = counts.filter(F.length("word") > 1)
+    own = example_counts()
+    lengths = sorted({r.n for r in spelt.select(F.length("word").alias("n")).distinct().collect()} | set(map(len, own)))
+    all_words = spelt.agg(F.sum("n")).first()[0] or 0
+    scale = max(1, all_words // 20_000)
+    parts = scratch.keep(names.mapInArrow(_substrings(lengths), "name string, word string"), "substrings")
+    held = parts.join(spelt, "word").groupBy("name").agg(F.collect_list("word").alias("found"), F.collect_list("n").alias("counts"))
+    examples = {w: n * scale for w, n in own.items()}
+    split = names.join(held, "name", "left").mapInArrow(_split(all_words + sum(examples.values()), examples), "name string, words array<string>")
+    return scratch.keep(split, "segmented")
+
+
+def _unlabelled(hosts: DataFrame, split: DataFrame) -> list[list[str]]:
+    """The words of a bounded sample of hosts."""
+    some = lowest(hosts.filter(F.length("host").between(1, HOST_CHARS)).select(F.col("host").alias("doc_id"), F.lit(1).alias("k")), "k", TRAIN_HOSTS, 1)
+    rows = some.select(F.col("doc_id").alias("host"), F.posexplode(names_in(F.col("doc_id"))).alias("at", "name")).join(split, "name").collect()
+    words: dict[str, list[tuple[int, list[str]]]] = {}
+    for r in rows:
+        words.setdefault(r.host, []).append((r.at, r.words))
+    return [[w for _, ws in sorted(words[h]) for w in ws] for h in sorted(words)]
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for each row; the score is the log-odds of block."""
+    scratch = Scratch(pages.sparkSession, "url-filter")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    scored = rows.mapInArrow(_judge(word_counts(pages, html_col)), "page_id long, host string, path string, score double")
+    addresses = scratch.keep(rows.select("host", "path").distinct(), "addresses")
+    named = addresses.select("host", "path", F.explode(F.concat(names_in(F.col("host")), names_in(F.col("path")))).alias("name"))
+    split = segmented(scratch.keep(named.select("name").distinct(), "names"), pages, html_col, scratch)
+    model = NaiveBayes(BLOCK_EXAMPLES, ALLOW_EXAMPLES, _unlabelled(addresses.select("host").distinct(), split))
+    told = split.mapInArrow(_told(model), "name string, told double").filter("told <> 0")
+    # Written, so that either side of a join is a plain exchange and a name or address of many rows can be split.
+    told = scratch.keep(told, "told")
+    scores = scratch.keep(named.join(told, "name").groupBy("host", "path").agg(F.sum("told").alias("told")), "scores")
+    scored = rows.join(scores, ["host", "path"], "left").withColumn("score", F.lit(model.prior) + F.coalesce("told", F.lit(0.0)))
     hit = scored.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("score") > 0, "block").otherwise("allow")
     return hit.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", method).alias("verdict"), "score")
