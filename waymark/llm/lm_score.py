@@ -6,16 +6,15 @@ c'(w) > 0, else 1/(N' + 1). A document's first word scores S(w). The score is th
 mean of the natural logarithms.
 
 All of it is relational. A table of word counts is summed over the corpus. Documents are
-exploded into rows of (bigram, document), with the bigram's count in the document; the
-table of bigram counts is the sum of these rows, partitioned by the bigram's hash like the
-rows themselves, which join it. A row then needs the count of one word more: that of v
+exploded into rows of (bigram, document), with the bigram's count in the document; they are
+partitioned by the bigram's hash, and each meets the sum of its bigram's rows. A row then needs the count of one word more: that of v
 if other documents have the bigram, else that of w. Rows that lack it are summed by word and
 document and join the table of word counts. At last all is summed by document.
 
 No key is hot. Words with FREQUENT_WORD of all words, and bigrams with FREQUENT_PAIR of
 them, are at most 1 / FREQUENT_WORD and 2 / FREQUENT_PAIR many whatever the corpus; their
 counts, summed where the words are, go to the tasks, which settle what needs no other. So a
-bigram or word that moves has less than 1.5 times that share of the words. The bigrams are
+bigram or word that moves has little more than that share of the words at most. The bigrams are
 taken in PASSES parts by hash, one after the other, so that shuffled rows of one part only
 are on disk at a time.
 
@@ -36,7 +35,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from waymark.llm._arrow import columns
 from waymark.scratch import Scratch
@@ -44,9 +43,11 @@ from waymark.scratch import Scratch
 BACKOFF = 0.4
 #: Shares of all words from which the counts of a word and of a bigram are known to all tasks.
 FREQUENT_WORD, FREQUENT_PAIR = 5e-7, 1e-6
-PASSES = 2
+PASSES = 3
 #: Different words that a task numbers before it starts anew.
 VOCABULARY = 200_000
+#: Bigrams that a task holds when it looks for frequent ones, 4 / FREQUENT_PAIR: of fewer it could not tell the share.
+STRETCH = 4_000_000
 #: Code points of text that a task explodes at once.
 SLICE_CHARS = 2_000_000
 #: In place of v for a document's first word, and of w in a row that holds a document's settled sum.
@@ -115,10 +116,19 @@ def _counted(kind: int, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def _survey(pair_share: float, most: int):
-    """kind 0: words and their counts; kind 1: bigrams that have the share of a slice of the task, and their counts there."""
+    """kind 0: words and their counts; kind 1: bigrams that have the share of a stretch of a task's text, and their counts there."""
+    stretch = math.ceil(4 / pair_share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, total = Texts(most), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def often() -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            frequent = n >= max(2, pair_share * size)
+            return _counted(1, pairs[frequent], n[frequent])
+
         for batch in batches:
             for (some,) in columns(batch, "text", chars=SLICE_CHARS):
                 if len(texts.numbers) > most:
@@ -128,9 +138,12 @@ def _survey(pair_share: float, most: int):
                 here = np.bincount(texts.ids, minlength=len(texts.numbers))
                 here[: len(total)] += total
                 total = here
-                pairs, n = np.unique(texts.pairs(), return_counts=True)
-                often = n >= max(2, pair_share * len(texts.ids))
-                yield _counted(1, pairs[often], n[often])
+                held.append(texts.pairs())
+                size += len(texts.ids)
+                if size >= min(stretch, STRETCH):
+                    yield often()
+                    held, size = [], 0
+        yield often()
         yield _counted(0, texts.hashes, total)
 
     return run
@@ -214,8 +227,8 @@ def _alone(others: Column, rest: Column) -> Column:
 def _joined(rows: DataFrame, all_words: int) -> DataFrame:
     """``u, uid, s, own, minus, plus, n_words``: sums by document, and for each word u whose count is lacking
     how often its logarithm is taken off and added."""
-    dealt = rows.repartition("v", "w")
-    counts = dealt.groupBy("v", "w").agg(F.sum("n").alias("c"))
+    # The rows of a bigram meet once and get their sum: a join with a table of counts made apart would read and move them twice.
+    dealt = rows.withColumn("c", F.sum("n").over(Window.partitionBy("v", "w")))
     n, xv, xw, rest = F.col("n"), F.col("xv"), F.col("xw"), F.lit(all_words) - F.col("n_words")
     first = F.col("v") == START
     settled = (F.col("w") == SETTLED) & (n == 0)
@@ -223,7 +236,7 @@ def _joined(rows: DataFrame, all_words: int) -> DataFrame:
     by_pair = n * (F.log(F.col("c") - n) - F.when(xv > 0, F.log(xv)).otherwise(0.0))
     by_word = n * (F.when(first, 0.0).otherwise(math.log(BACKOFF)) + F.when(xw >= 0, _alone(xw, rest)).otherwise(0.0))
     lacks = ~settled & F.when(seen, xv < 0).otherwise(xw < 0)
-    scored = dealt.join(counts, ["v", "w"]).select(
+    scored = dealt.select(
         F.when(lacks, F.when(seen, F.col("v")).otherwise(F.col("w"))).alias("u"),
         "uid",
         (F.col("s") + F.when(settled, 0.0).when(seen, by_pair).otherwise(by_word)).alias("s"),
