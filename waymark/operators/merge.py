@@ -8,6 +8,7 @@ from waymark.config import LIMITS
 from waymark.functions import text as X
 from waymark.functions.urls import path_of, path_segments, query_of
 from waymark.operators.curate import PAGES, cap_optional, choose_depth, curate, group_key
+from waymark.scratch import Scratch
 
 
 def repeated(pages: DataFrame, column: str) -> DataFrame:
@@ -92,7 +93,9 @@ def build_from_crawl(home_links: DataFrame, pages: DataFrame, heads: DataFrame)
     entries = merged.withColumn("title", title).filter("title <> ''").withColumn("note", note_from(F.col("description"), F.col("title"), F.col("is_repeated")))
     # Two spellings of an address can be left where one of them ended in a slash: the first stays.
     once = entries.withColumn("n", F.row_number().over(Window.partitionBy("site", "url").orderBy("ord"))).filter("n = 1")
-    main, optional = sections_of(once.select("site", "ord", "url", "title", "note"), heads.select("site", "site_name"))
+    # Written: depth, sizes, order and links are all made from these rows.
+    entries = Scratch(heads.sparkSession, "merged").keep(once.select("site", "ord", "url", "title", "note"), "entries")
+    main, optional = sections_of(entries, heads.select("site", "site_name"))
     capped = cap_optional(optional).withColumn("link_ord", F.row_number().over(Window.partitionBy("site").orderBy("ord")) - 1)
     return curate(main).unionByName(capped.select("site", F.lit("Optional").alias("section"), F.lit(-1).alias("section_ord"), "link_ord", "url", "title", "note"))
 

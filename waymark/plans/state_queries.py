@@ -404,3 +404,36 @@ def indexed_sitemaps(spark, d):
     entries = S.read_sitemaps(maps.unionByName(index))
     tried = p.select("k").distinct().select(site.alias("site"), F.array(F.lit("none.xml"), F.lit("index.xml"), F.lit("1.xml")).alias("candidates"))
     return S.first_sitemap(entries, tried).select("site", "url", F.col("position").cast("long").alias("position"))
+
+
+ADDRESSES = {
+    "::1": True, "fc00::1": True, "fd12:3456::1": True, "fe80::1": True, "2001:db8::1": False, "::ffff:10.1.2.3": True, "::ffff:8.8.8.8": False, "FE80::2": True,
+    "172.31.255.255": True, "172.32.0.0": False, "100.64.0.1": True, "100.128.0.1": False, "0.1.2.3": True, "8.8.8.8": False, "localhost": False,
+}
+
+
+@query(f"SELECT s_name AS name, ip, private FROM supplier JOIN (VALUES {', '.join(f'({n}, {chr(39)}{ip}{chr(39)}, {private})' for n, (ip, private) in enumerate(ADDRESSES.items()))}) v(n, ip, private) ON s_suppkey % {len(ADDRESSES)} = n")
+def private_ranges(spark, d):
+    """Addresses of both kinds, at the edges of the ranges."""
+    ip = F.get(F.array(*map(F.lit, ADDRESSES)), (F.col("s_suppkey") % len(ADDRESSES)).cast("int"))
+    return _table(spark, d, "supplier").select(F.col("s_name").alias("name"), ip.alias("ip"), U.is_private_address(ip).alias("private"))
+
+
+@query(
+    r"""SELECT s_suppkey, array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^#{1,6} ') THEN '\' || x ELSE x END), chr(10)) AS block, replace(t, '\', '') AS plain
+    FROM (SELECT s_suppkey, 'Shop' || chr(10) || repeat('#', CAST(s_suppkey % 8 AS INT)) || ' ' || s_name || chr(10) || '#' || s_name || ' \[a\]' AS t FROM supplier)"""
+)
+def escaped_blocks(spark, d):
+    """Free text in which no line may pass for a heading, and escapes taken off again."""
+    n = F.col("s_suppkey")
+    text = _cat("Shop\n", F.repeat(F.lit("#"), (n % 8).cast("int")), " ", F.col("s_name"), "\n#", F.col("s_name"), " \\[a\\]")
+    return _table(spark, d, "supplier").select("s_suppkey", X.escape_block(text).alias("block"), X.unescape(text).alias("plain"))
+
+
+@query("SELECT o_orderkey, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' ELSE CAST(floor(m / 60 + 0.5) AS BIGINT) || 'h ago' END AS label FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 90 ELSE 30 + o_orderkey % 600 END AS m FROM orders) WHERE m < 1400")
+def refreshed_labels(spark, d):
+    """When a file was last looked at: its check, or where there was none its making."""
+    n = F.col("o_orderkey")
+    now = F.timestamp_seconds(F.lit(1_700_000_000))
+    checked = F.when(n % 3 == 0, F.timestamp_seconds(1_700_000_000 - n % 90 * 60))
+    return _table(spark, d, "orders").select("o_orderkey", X.refreshed_label(checked, F.timestamp_seconds(1_700_000_000 - (30 + n % 600) * 60), now).alias("label"))

@@ -7,6 +7,8 @@ executor afterwards repeats a read, not the work before it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -43,6 +45,18 @@ def move_new(spark: SparkSession, source: str, target: str) -> None:
     context.rename(path(source), path(target), options)
 
 
+@contextmanager
+def _shuffled_files_go(spark: SparkSession) -> Iterator[None]:
+    """Queries that are run within delete their shuffled files at their end, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables of one run, each in a folder of its own below the shared root."""
 
@@ -52,9 +66,11 @@ class Scratch:
         _made.append(self.path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back; its file size is then known to the planner."""
+        """Write ``df`` and return it as read back; its file size is then known to the planner. What was shuffled
+        for it is of no more use then, and goes at once."""
         target = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(target)
+        with _shuffled_files_go(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(target)
         return self.spark.read.schema(StructType.fromJson(df.schema.jsonValue())).parquet(target)
 
     def drop(self, name: str) -> None:
