@@ -28,6 +28,21 @@ def test_random_texts_encode_alike():
     assert got == [exact.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_every_code_point_encodes_alike():
+    """All characters, each between letters, digits, spaces and signs: versions of Unicode must not differ."""
+    rng, encoder, exact = random.Random(6), Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(chr(c) + rng.choice("a1 .") for c in points[at : at + 256]) for at in range(0, len(points), 256)]
+    off = [i for i, t in enumerate(texts) if np.frombuffer(encoder.encode(t), "<u2").tolist() != exact.encode(t, add_special_tokens=False).ids]
+    assert not off, [hex(points[256 * i]) for i in off[:5]]
+
+
+def test_given_documents_encode_alike(spark):
+    encoder, exact = Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert all(np.frombuffer(encoder.encode(t), "<u2").tolist() == exact.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def check(rows, docs, seq_len):
     exact = Tokenizer.from_file(VOCABULARY)
     pieces, sequences = defaultdict(list), defaultdict(list)
