@@ -90,23 +90,19 @@ def curate(links: DataFrame) -> DataFrame:
     section_ord, ord, url, title and note: one link per page, no section of one link, and at most
     so many sections, links in a section and links in all, those with notes first."""
     # Position before anything is dropped: section by section, then in a section's order.
-    place = Window.partitionBy("site").orderBy("section_ord", "ord")
-    placed = links.withColumn("ord", F.row_number().over(place).cast("long"))
-    single = survivors(placed)
-    alone = Window.partitionBy("site", "section_key")
-    sized = single.withColumn("n", F.count(F.lit(1)).over(alone)).withColumn("orphan", (F.col("n") == 1) & (F.col("section") != PAGES))
+    single = survivors(links.withColumn("place", F.struct("section_ord", "ord")), order="place")
+    # A site has few sections, so what is decided by section is decided on rows of sections and joined back.
+    sections = single.groupBy("site", "section_key").agg(F.count(F.lit(1)).alias("n"), F.min("section").alias("section"), F.min("section_ord").alias("section_ord"))
+    sections = sections.withColumn("orphan", (F.col("n") == 1) & (F.col("section") != PAGES))
     # Orphans go to the first catch-all, after its own links, or to a new one at the end.
-    site = Window.partitionBy("site")
-    catch_all = F.min(F.when(~F.col("orphan") & (F.col("section") == PAGES), F.struct("section_ord", "section_key"))).over(site)
-    folded = (
-        sized.withColumn("catch", catch_all)
-        .withColumn("section_ord", F.when(F.col("orphan"), F.coalesce(F.col("catch.section_ord"), F.lit(1 << 30))).otherwise(F.col("section_ord")))
-        .withColumn("section", F.when(F.col("orphan"), PAGES).otherwise(F.col("section")))
-    )
-    sections = Window.partitionBy("site").orderBy("section_ord")
-    within = Window.partitionBy("site", "section_ord").orderBy(F.col("note").isNull(), "orphan", "ord")
-    ranked = folded.withColumn("nth_section", F.dense_rank().over(sections)).filter(F.col("nth_section") <= LIMITS.sections)
-    ranked = ranked.withColumn("link_ord", F.row_number().over(within)).filter(F.col("link_ord") <= LIMITS.links_per_section)
+    catch_all = sections.filter(~F.col("orphan") & (F.col("section") == PAGES)).groupBy("site").agg(F.min("section_ord").alias("catch"))
+    folded = sections.join(catch_all, "site", "left").select(
+        "site", "section_key", "orphan", F.when(F.col("orphan"), F.coalesce("catch", F.lit(1 << 30))).otherwise(F.col("section_ord")).alias("section_ord"),
+        F.when(F.col("orphan"), PAGES).otherwise(F.col("section")).alias("section"),
+    )
+    numbered = folded.withColumn("nth_section", F.dense_rank().over(Window.partitionBy("site").orderBy("section_ord"))).filter(F.col("nth_section") <= LIMITS.sections)
+    within = Window.partitionBy("site", "nth_section").orderBy(F.col("note").isNull(), "orphan", "place")
+    ranked = single.drop("section", "section_ord").join(numbered, ["site", "section_key"]).withColumn("link_ord", F.row_number().over(within)).filter(F.col("link_ord") <= LIMITS.links_per_section)
     budget = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("site").orderBy("nth_section", "link_ord"))).filter(F.col("nth") <= LIMITS.links_per_site)
     return budget.select("site", "section", (F.col("nth_section") - 1).alias("section_ord"), (F.col("link_ord") - 1).alias("link_ord"), "url", "title", "note")
 

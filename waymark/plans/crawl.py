@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.config import LIMITS
 from waymark.functions.urls import canonicalize_url, host_of, is_page, path_of, raw_segments
@@ -29,9 +29,13 @@ def linked_addresses(links: DataFrame) -> DataFrame:
     return resolved.groupBy("site", "url").agg(F.sum("n").alias("inbound"))
 
 
+def section_of(segments: str) -> Column:
+    return F.coalesce(F.get(segments, F.lit(0)), F.lit(""))
+
+
 def rank_candidates(candidates: DataFrame) -> DataFrame:
     """``section, nth``: within a site and section, most linked first, then shallow, early, by url."""
-    ranked = candidates.withColumn("section", F.coalesce(F.get("segments", F.lit(0)), F.lit("")))
+    ranked = candidates.withColumn("section", section_of("segments"))
     order = Window.partitionBy("site", "section").orderBy(F.col("inbound").desc(), F.size("segments"), "sitemap_position", "url")
     return ranked.withColumn("nth", F.row_number().over(order))
 
@@ -60,16 +64,16 @@ def plan(candidates: DataFrame, limit: int | str) -> DataFrame:
     A turn is a rank within a section, so the rounds have a closed form: order by phase,
     round and section. ``limit`` is a number or a column that is one value for each site.
     """
-    ranked = rank_candidates(candidates)
+    cap = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    # No section gives more than the limit. Where it is a number each task cuts its rows before they move.
+    ranked = rank_candidates(candidates).filter(F.col("nth") <= cap)
     keep = [limit] if isinstance(limit, str) else []
-    sizes = ranked.groupBy("site", "section", *keep).agg(F.count(F.lit(1)).alias("size"))
+    sizes = candidates.groupBy("site", section_of("segments").alias("section"), *keep).agg(F.count(F.lit(1)).alias("size"))
     met = ranked.join(section_quotas(sizes, limit).select("site", "section", "size", "quota"), ["site", "section"])
     beyond = F.col("nth") > F.col("quota")
     turn = F.when(beyond, F.col("nth") - F.least("quota", "size")).otherwise(F.col("nth"))
     order = Window.partitionBy("site").orderBy(beyond, turn, "section")
-    cap = F.col(limit) if isinstance(limit, str) else F.lit(limit)
-    # No section gives more than the limit, which each task can cut before rows meet.
-    return met.filter(F.col("nth") <= cap).withColumn("plan_pos", F.row_number().over(order)).filter(F.col("plan_pos") <= cap).select("site", "plan_pos", "url")
+    return met.withColumn("plan_pos", F.row_number().over(order)).filter(F.col("plan_pos") <= cap).select("site", "plan_pos", "url")
 
 
 def candidates_from(mentions: DataFrame, rules: DataFrame | None = None) -> DataFrame:
