@@ -28,15 +28,15 @@ def by_hand(texts):
     return out
 
 
-@pytest.mark.parametrize("word_share,pair_share,passes,vocabulary", [(4e-6, 2e-5, 4, 10**6), (0.05, 0.06, 1, 3), (2.0, 2.0, 3, 10**6), (1e-9, 2.0, 2, 5), (0.01, 0.02, 2, 10**6)])
-def test_scores_equal_counting(spark, monkeypatch, word_share, pair_share, passes, vocabulary):
+@pytest.mark.parametrize("word_share,pair_share,bucket_words,vocabulary", [(4e-6, 2e-5, 10**6, 10**6), (0.05, 0.06, 100, 3), (2.0, 2.0, 3, 10**6), (1e-9, 2.0, 50, 5), (0.01, 0.02, 20, 10**6)])
+def test_scores_equal_counting(spark, monkeypatch, word_share, pair_share, bucket_words, vocabulary):
     """All words and bigrams known to the tasks, some of them, and none."""
     monkeypatch.setattr(lm_score, "VOCABULARY", vocabulary)
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcdeFGh") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(30))) for _ in range(60)]
     texts += [None, "", "lonely", "a", " \t a\nA b ", *texts[:3], *texts[:3]]
     frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, score int").repartition(3)
-    got = {r.doc_id: (r.n_words, r.score) for r in lm_scores(frame, frequent_word=word_share, frequent_pair=pair_share, passes=passes).collect()}
+    got = {r.doc_id: (r.n_words, r.score) for r in lm_scores(frame, frequent_word=word_share, frequent_pair=pair_share, bucket_words=bucket_words).collect()}
     want = by_hand(texts)
     assert len(got) == len(texts)
     for i, (n, s) in enumerate(want):

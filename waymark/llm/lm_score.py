@@ -5,18 +5,19 @@ S(w|v) = c'(vw)/c'(v) if c'(vw) > 0, else BACKOFF * S(w); S(w) = c'(w)/N' if
 c'(w) > 0, else 1/(N' + 1). A document's first word scores S(w). The score is the
 mean of the natural logarithms.
 
-All of it is relational. A table of word counts is summed over the corpus. Documents are
-exploded into rows of (bigram, document), with the bigram's count in the document; they are
-partitioned by the bigram's hash, and each meets the sum of its bigram's rows. A row then needs the count of one word more: that of v
-if other documents have the bigram, else that of w. Rows that lack it are summed by word and
-document and join the table of word counts. At last all is summed by document.
+A table of word counts is summed over the corpus. Documents are exploded into bigrams with
+their counts in the document, column by column: a row holds those of some documents that fall
+into one bucket of the bigrams' hashes. Bucket by bucket the bigrams' counts are summed over all
+documents and joined to the exploded bigrams. A bigram of a document then needs the count of one
+word more: that of v if other documents have the bigram, else that of w. Where a task does
+not know it, it is summed by word and document and joins the table of word counts. At last all
+is summed by document. A bucket holds about BUCKET_WORDS bigrams, so there are as many as the
+corpus asks for and a task holds one at a time.
 
 No key is hot. Words with FREQUENT_WORD of all words, and bigrams with FREQUENT_PAIR of
 them, are at most 1 / FREQUENT_WORD and 2 / FREQUENT_PAIR many whatever the corpus; their
 counts, summed where the words are, go to the tasks, which settle what needs no other. So a
-bigram or word that moves has little more than that share of the words at most. The bigrams are
-taken in PASSES parts by hash, one after the other, so that shuffled rows of one part only
-are on disk at a time.
+bigram or word that moves has little more than that share of the words at most.
 
 Defined results: words are split at ASCII blanks and A-Z lower-cased. A text
 without words (null included) has 0 words and score 0. Every row is a document of
@@ -35,7 +36,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymark.llm._arrow import columns
 from waymark.scratch import Scratch
@@ -43,17 +44,29 @@ from waymark.scratch import Scratch
 BACKOFF = 0.4
 #: Shares of all words from which the counts of a word and of a bigram are known to all tasks.
 FREQUENT_WORD, FREQUENT_PAIR = 5e-7, 1e-6
-PASSES = 3
+#: Words of the corpus for each bucket of bigrams.
+BUCKET_WORDS = 3_000_000
 #: Different words that a task numbers before it starts anew.
 VOCABULARY = 200_000
 #: Bigrams that a task holds when it looks for frequent ones, 4 / FREQUENT_PAIR: of fewer it could not tell the share.
 STRETCH = 4_000_000
 #: Code points of text that a task explodes at once.
 SLICE_CHARS = 2_000_000
-#: In place of v for a document's first word, and of w in a row that holds a document's settled sum.
-START, SETTLED = 1, 2
-
-ROWS = "v long, w long, uid long, n long, xv long, xw long, n_words long, s double"
+#: Columns of the exploded bigrams, a value for each: hash, text, count there, counts of both words in other texts
+#: (negative: the count in this one, where no more is known), and the text's words.
+GRAMS = {"k": pa.int64(), "uid": pa.int64(), "n": pa.int32(), "xv": pa.int64(), "xw": pa.int64(), "n_words": pa.int32()}
+#: The words of bigrams with a count that is not known, in their order.
+RARE = {"v": pa.int64(), "w": pa.int64()}
+#: What a task settled itself, a value for each of its documents, and first words with a count that is not known.
+TOLD = {"told_uid": pa.int64(), "told": pa.float64(), "told_words": pa.int32()}
+FIRST = {"first": pa.int64(), "first_uid": pa.int64(), "first_own": pa.int64(), "first_words": pa.int32()}
+ROWS = (
+    "bucket long, k array<long>, uid array<long>, n array<int>, xv array<long>, xw array<long>, n_words array<int>, v array<long>, w array<long>, "
+    "told_uid array<long>, told array<double>, told_words array<int>, first array<long>, first_uid array<long>, first_own array<long>, first_words array<int>"
+)
+#: Sums by text, and for each word u whose count is lacking how often its logarithm is taken off and added.
+SUMS = {"u": pa.int64(), "uid": pa.int64(), "s": pa.float64(), "own": pa.int64(), "minus": pa.int64(), "plus": pa.int64(), "n_words": pa.int64()}
+SUM_ROWS = "u long, uid long, s double, own long, minus long, plus long, n_words long"
 
 
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -166,55 +179,137 @@ def _count_known(known, most: int):
     return run
 
 
-def _explode(part: int, parts: int, all_words: int, words, pairs, most: int):
-    """Rows of bigrams and documents of one part, see ROWS. xv and xw are the words' counts in other
-    documents where those are known, else the negative counts in this one."""
+def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values).cast(kind))
+
+
+def _sums(**columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of SUMS; a column that is not given is null for u and zero for others."""
+    size = len(columns["uid"])
+    rest = {name: pa.nulls(size, kind) if name == "u" else pa.array(np.zeros(size), kind) for name, kind in SUMS.items() if name not in columns}
+    return pa.record_batch([pa.array(columns[name]).cast(kind) if name in columns else rest[name] for name, kind in SUMS.items()], list(SUMS))
+
+
+def _log_alone(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """ln S(w) from the word's count in other documents and their words."""
+    return np.where(x > 0, np.log(np.maximum(x, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
+
+
+def _prepared(texts: Texts, uids: np.ndarray, known: np.ndarray, pairs: Counts) -> dict[str, np.ndarray]:
+    """The bigrams of some documents: GRAMS, the words' hashes, the place of the document, and the bigrams' counts where known."""
+    ids, doc = texts.ids, texts.doc
+    _, word, own = np.unique(doc * len(texts.numbers) + ids, return_inverse=True, return_counts=True)
+    own = own[word]
+    x = np.where(known[ids] >= 0, known[ids] - own, -own)
+    hashes = texts.pairs()
+    distinct, number = np.unique(hashes, return_inverse=True)
+    _, one, n = np.unique(doc[texts.inner] * len(distinct) + number, return_index=True, return_counts=True)
+    at, d = texts.inner[one], doc[texts.inner[one]]
+    return {"k": hashes[one], "uid": uids[d], "n": n, "xv": x[at - 1], "xw": x[at], "n_words": texts.lengths[d], "v": texts.hashes[ids[at - 1]], "w": texts.hashes[ids[at]], "doc": d, "x": x, "c": pairs(hashes[one])}
+
+
+class _Known:
+    """Words' counts by their numbers in ``texts``."""
+
+    def __init__(self, texts: Texts, counts: Counts) -> None:
+        self.texts, self.counts, self.epoch, self.n = texts, counts, 0, np.zeros(0, np.int64)
+
+    def __call__(self) -> np.ndarray:
+        if self.epoch != self.texts.epoch:
+            self.n, self.epoch = self.n[:0], self.texts.epoch
+        self.n = np.concatenate([self.n, self.counts(self.texts.hashes[len(self.n) :])])
+        return self.n
+
+
+def _settled(g: dict[str, np.ndarray]) -> np.ndarray:
+    """Bigrams of which all is known that their score needs."""
+    return (g["c"] >= 0) & np.where(g["c"] > g["n"], g["xv"] >= 0, g["xw"] >= 0)
+
+
+def _worth(g: dict[str, np.ndarray], all_words: int) -> np.ndarray:
+    """Scores of bigrams by their count; the logarithm of a word's count that is lacking is left out."""
+    alone = math.log(BACKOFF) + np.where(g["xw"] >= 0, _log_alone(g["xw"], all_words - g["n_words"]), 0.0)
+    joint = np.log(np.maximum(g["c"] - g["n"], 1)) - np.log(np.maximum(g["xv"], 1))
+    return g["n"] * np.where(g["c"] > g["n"], joint, alone)
+
+
+def _explode(buckets: int, all_words: int, words, pairs, most: int):
+    """Rows of ROWS: bigrams that wait for their counts, by bucket, and in one row what is settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, known, epoch = Texts(most), np.zeros(0, np.int64), 0
+        texts = Texts(most)
+        known = _Known(texts, words.value)
         for batch in batches:
             for uids, some in columns(batch, "uid", "text", chars=SLICE_CHARS):
                 texts.read(some)
-                if epoch != texts.epoch:
-                    known, epoch = known[:0], texts.epoch
-                known = np.concatenate([known, words.value(texts.hashes[len(known) :])])
-                ids, doc, uids = texts.ids, texts.doc, np.array(uids, np.int64)
-                _, word, own = np.unique(doc * len(texts.numbers) + ids, return_inverse=True, return_counts=True)
-                own = own[word]
-                x = np.where(known[ids] >= 0, known[ids] - own, -own)
-                hashes = texts.pairs()
-                mine = np.flatnonzero(hashes % np.uint64(parts) == np.uint64(part))
-                at = texts.inner[mine]
-                distinct, number = np.unique(hashes[mine], return_inverse=True)
-                _, one, n = np.unique(doc[at] * len(distinct) + number, return_index=True, return_counts=True)
-                at, h = at[one], hashes[mine][one]
-                v, xv = texts.hashes[ids[at - 1]], x[at - 1]
-                if part == 0:
-                    f = texts.first
-                    v, xv, n = np.concatenate([v, np.full(len(f), START, np.uint64)]), np.concatenate([xv, np.full(len(f), -1)]), np.concatenate([n, np.ones(len(f), np.int64)])
-                    at, h = np.concatenate([at, f]), np.concatenate([h, np.zeros(len(f), np.uint64)])
-                first, xw, d = v == START, x[at], doc[at]
-                total = pairs.value(h)
-                seen = ~first & (total > n)
-                settled = (first & (xw >= 0)) | ((total >= 0) & ~first & np.where(seen, xv >= 0, xw >= 0))
-                rest = (all_words - texts.lengths)[d]
-                alone = np.where(xw > 0, np.log(np.maximum(xw, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
-                score = np.where(seen, np.log(np.maximum(total - n, 1)) - np.log(np.maximum(xv, 1)), alone + np.where(first, 0.0, math.log(BACKOFF)))
-                sums = np.bincount(d[settled], weights=(n * score)[settled], minlength=len(some))
-                whole = np.flatnonzero(texts.lengths if part == 0 else np.bincount(d[settled], minlength=len(some)))
-                open_ = ~settled
-                zero = np.zeros(len(whole), np.int64)
-                made = [
-                    np.concatenate([v[open_].view(np.int64), uids[whole]]),
-                    np.concatenate([texts.hashes[ids[at[open_]]].view(np.int64), zero + SETTLED]),
-                    np.concatenate([uids[d[open_]], uids[whole]]),
-                    np.concatenate([n[open_], zero]),
-                    np.concatenate([xv[open_], zero]),
-                    np.concatenate([xw[open_], zero]),
-                    np.concatenate([texts.lengths[d[open_]], texts.lengths[whole]]),
-                    np.concatenate([np.zeros(int(open_.sum())), sums[whole]]),
-                ]
-                yield pa.record_batch([pa.array(m) for m in made], ["v", "w", "uid", "n", "xv", "xw", "n_words", "s"])
+                uids = np.array(uids, np.int64)
+                g = _prepared(texts, uids, known(), pairs.value)
+                settled = _settled(g)
+                waits = np.flatnonzero(~settled)
+                bucket = (g["k"][waits] >> np.uint64(20)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                waits, bucket = waits[order], bucket[order].astype(np.int64)
+                names, begin = np.unique(bucket, return_index=True)
+                # One row more, without bigrams, for what is settled.
+                cuts = np.append(begin, [len(bucket)] * 2)
+                rare = (g["xv"][waits] < 0) | (g["xw"][waits] < 0)
+                rare_cuts = np.concatenate([[0], np.cumsum(rare)])[cuts]
+                lists = [_lists(g[c][waits].view(np.int64), cuts, kind) for c, kind in GRAMS.items()]
+                lists += [_lists(g[c][waits][rare].view(np.int64), rare_cuts, kind) for c, kind in RARE.items()]
+                sums = np.bincount(g["doc"][settled], weights=_worth(g, all_words)[settled], minlength=len(some)).astype(float)
+                first, d = g["x"][texts.first], texts.doc[texts.first]
+                sums[d] += np.where(first >= 0, _log_alone(first, (all_words - texts.lengths)[d]), 0.0)
+                last = lambda values: np.array([0] * (len(names) + 1) + [len(values)])
+                told = (uids[d], sums[d], texts.lengths[d])
+                lists += [_lists(v, last(v), kind) for v, kind in zip(told, TOLD.values())]
+                lacks, f = first < 0, d[first < 0]
+                lone = (texts.hashes[texts.ids[texts.first[lacks]]].view(np.int64), uids[f], -first[lacks], texts.lengths[f])
+                lists += [_lists(v, last(v), kind) for v, kind in zip(lone, FIRST.values())]
+                home = int(uids[0]) % buckets if len(uids) else 0
+                yield pa.record_batch([pa.array(np.append(names, home)), *lists], ["bucket", *GRAMS, *RARE, *TOLD, *FIRST])
+
+    return run
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that arrive sorted by bucket, a bucket at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[-1].column("bucket")[0].as_py() != names[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _join(all_words: int):
+    """Rows of SUMS of each bucket: bigrams are counted over all documents and joined to their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_bucket(batches):
+            g = {c: table.column(c).combine_chunks().flatten().to_numpy() for c in [*GRAMS, *RARE, *TOLD, *FIRST]}
+            yield _sums(uid=g["told_uid"], s=g["told"], n_words=g["told_words"])
+            yield _sums(u=g["first"], uid=g["first_uid"], own=g["first_own"], plus=np.ones(len(g["first"]), np.int64), n_words=g["first_words"])
+            if not len(g["k"]):
+                continue
+            _, number = np.unique(g["k"], return_inverse=True)
+            g["c"] = np.bincount(number, weights=g["n"]).astype(np.int64)[number]
+            texts, doc = np.unique(g["uid"], return_inverse=True)
+            n_words = np.zeros(len(texts), np.int64)
+            n_words[doc] = g["n_words"]
+            yield _sums(uid=texts, s=np.bincount(doc, weights=_worth(g, all_words)), n_words=n_words)
+            rare = (g["xv"] < 0) | (g["xw"] < 0)
+            seen = (g["c"] > g["n"])[rare]
+            own = -np.where(seen, g["xv"][rare], g["xw"][rare])
+            lacks, n = own > 0, g["n"][rare]
+            u = np.where(seen, g["v"], g["w"])
+            yield _sums(u=u[lacks], uid=g["uid"][rare][lacks], own=own[lacks], minus=np.where(seen, n, 0)[lacks], plus=np.where(seen, 0, n)[lacks], n_words=g["n_words"][rare][lacks])
 
     return run
 
@@ -224,31 +319,7 @@ def _alone(others: Column, rest: Column) -> Column:
     return F.when(others > 0, F.log(others) - F.log(rest)).otherwise(-F.log(rest + 1))
 
 
-def _joined(rows: DataFrame, all_words: int) -> DataFrame:
-    """``u, uid, s, own, minus, plus, n_words``: sums by document, and for each word u whose count is lacking
-    how often its logarithm is taken off and added."""
-    # The rows of a bigram meet once and get their sum: a join with a table of counts made apart would read and move them twice.
-    dealt = rows.withColumn("c", F.sum("n").over(Window.partitionBy("v", "w")))
-    n, xv, xw, rest = F.col("n"), F.col("xv"), F.col("xw"), F.lit(all_words) - F.col("n_words")
-    first = F.col("v") == START
-    settled = (F.col("w") == SETTLED) & (n == 0)
-    seen = ~first & (F.col("c") > n)
-    by_pair = n * (F.log(F.col("c") - n) - F.when(xv > 0, F.log(xv)).otherwise(0.0))
-    by_word = n * (F.when(first, 0.0).otherwise(math.log(BACKOFF)) + F.when(xw >= 0, _alone(xw, rest)).otherwise(0.0))
-    lacks = ~settled & F.when(seen, xv < 0).otherwise(xw < 0)
-    scored = dealt.select(
-        F.when(lacks, F.when(seen, F.col("v")).otherwise(F.col("w"))).alias("u"),
-        "uid",
-        (F.col("s") + F.when(settled, 0.0).when(seen, by_pair).otherwise(by_word)).alias("s"),
-        F.when(lacks, F.when(seen, -xv).otherwise(-xw)).alias("own"),
-        F.when(lacks & seen, n).otherwise(0).alias("minus"),
-        F.when(lacks & ~seen, n).otherwise(0).alias("plus"),
-        "n_words",
-    )
-    return scored.groupBy("u", "uid").agg(F.sum("s").alias("s"), F.max("own").alias("own"), F.sum("minus").alias("minus"), F.sum("plus").alias("plus"), F.max("n_words").alias("n_words"))
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent_word: float = FREQUENT_WORD, frequent_pair: float = FREQUENT_PAIR, passes: int = PASSES) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent_word: float = FREQUENT_WORD, frequent_pair: float = FREQUENT_PAIR, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """``doc_id, n_words, score`` for each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-score")
@@ -263,18 +334,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     wanted = spark.sparkContext.broadcast(np.sort(likely.to_numpy().view(np.uint64)))
     exact = texts.select("text").mapInArrow(_count_known(wanted, VOCABULARY), "kind int, h long, n long").groupBy("h").agg(F.sum("n").alias("n")) if len(likely) else surveyed.filter("kind = 1 AND n < 0")
     known_pairs = Counts(exact.select("h", "n").toArrow())
-    # A bigram is settled by a task only if its words are known as well.
-    word_table, pair_table = spark.sparkContext.broadcast(known_words), spark.sparkContext.broadcast(known_pairs)
-    met: DataFrame | None = None
-    for part in range(passes):
-        rows = texts.select("uid", "text").mapInArrow(_explode(part, passes, all_words, word_table, pair_table, VOCABULARY), ROWS)
-        here = scratch.keep(_joined(rows, all_words), f"part-{part}")
-        met = here if met is None else met.unionByName(here)
+    tables = spark.sparkContext.broadcast(known_words), spark.sparkContext.broadcast(known_pairs)
+    buckets = all_words // bucket_words + 1
+    rows = texts.select("uid", "text")
+    exploded = rows.mapInArrow(_explode(buckets, all_words, *tables, VOCABULARY), ROWS).repartition("bucket").sortWithinPartitions("bucket")
+    met = scratch.keep(exploded.mapInArrow(_join(all_words), SUM_ROWS), "joined")
     others = F.col("c") - F.col("own")
     taken = F.when(F.col("minus") > 0, -F.col("minus") * F.log(others)).otherwise(0.0)
     added = F.when(F.col("plus") > 0, F.col("plus") * _alone(others, F.lit(all_words) - F.col("n_words"))).otherwise(0.0)
     # Words that are looked up here are rare, so no key of this join is hot.
-    looked_up = met.filter("u IS NOT NULL").join(words.select(F.col("h").alias("u"), F.col("n").alias("c")), "u").select("uid", (F.col("s") + taken + added).alias("s"), "n_words")
+    lacking = met.filter("u IS NOT NULL").groupBy("u", "uid").agg(F.max("own").alias("own"), F.sum("minus").alias("minus"), F.sum("plus").alias("plus"), F.max("n_words").alias("n_words"))
+    looked_up = lacking.join(words.select(F.col("h").alias("u"), F.col("n").alias("c")), "u").select("uid", (taken + added).alias("s"), "n_words")
     by_text = met.filter("u IS NULL").select("uid", "s", "n_words").unionByName(looked_up).groupBy("uid").agg(F.sum("s").alias("s"), F.max("n_words").alias("n_words"))
     uids = scratch.keep(texts.select("doc_id", "uid"), "uids")
     copies = uids.groupBy("uid").agg(F.count(F.lit(1)).alias("m"))
