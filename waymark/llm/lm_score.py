@@ -52,16 +52,18 @@ VOCABULARY = 200_000
 STRETCH = 4_000_000
 #: Code points of text that a task explodes at once.
 SLICE_CHARS = 2_000_000
-#: Columns of the exploded bigrams, a value for each: hash, text, count there, counts of both words in other texts
-#: (negative: the count in this one, where no more is known), and the text's words.
-GRAMS = {"k": pa.int64(), "uid": pa.int64(), "n": pa.int32(), "xv": pa.int64(), "xw": pa.int64(), "n_words": pa.int32()}
-#: The words of bigrams with a count that is not known, in their order.
-RARE = {"v": pa.int64(), "w": pa.int64()}
+#: Columns of exploded bigrams whose words are both in the table that all tasks have, a value for each: the words'
+#: places there as one number, the text, the bigram's and the words' counts in it, and the text's words.
+GRAMS = {"pair": pa.int64(), "uid": pa.int64(), "n": pa.int32(), "own_v": pa.int32(), "own_w": pa.int32(), "n_words": pa.int32()}
+#: Columns of the others: hashes of bigram and words, text and counts; xv and xw are counts in other texts, or the
+#: negative counts in this one where no more is known.
+RARE = {"r_k": pa.int64(), "r_uid": pa.int64(), "r_n": pa.int32(), "r_xv": pa.int64(), "r_xw": pa.int64(), "r_n_words": pa.int32(), "r_v": pa.int64(), "r_w": pa.int64()}
 #: What a task settled itself, a value for each of its documents, and first words with a count that is not known.
 TOLD = {"told_uid": pa.int64(), "told": pa.float64(), "told_words": pa.int32()}
 FIRST = {"first": pa.int64(), "first_uid": pa.int64(), "first_own": pa.int64(), "first_words": pa.int32()}
 ROWS = (
-    "bucket long, k array<long>, uid array<long>, n array<int>, xv array<long>, xw array<long>, n_words array<int>, v array<long>, w array<long>, "
+    "bucket long, pair array<long>, uid array<long>, n array<int>, own_v array<int>, own_w array<int>, n_words array<int>, "
+    "r_k array<long>, r_uid array<long>, r_n array<int>, r_xv array<long>, r_xw array<long>, r_n_words array<int>, r_v array<long>, r_w array<long>, "
     "told_uid array<long>, told array<double>, told_words array<int>, first array<long>, first_uid array<long>, first_own array<long>, first_words array<int>"
 )
 #: Sums by text, and for each word u whose count is lacking how often its logarithm is taken off and added.
@@ -90,12 +92,16 @@ class Counts:
         order = np.argsort(keys)
         self.keys, self.n = keys[order], rows.column("n").to_numpy()[order]
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        """The count of each hash, -1 where it is not known."""
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash in the table, -1 where it is not known."""
         if not len(self.keys):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.n[at], -1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """Counts by place, -1 where it is not known."""
+        return np.where(places >= 0, np.append(self.n, -1)[places], -1)
 
 
 class Texts:
@@ -195,21 +201,24 @@ def _log_alone(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.log(np.maximum(x, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
 
 
-def _prepared(texts: Texts, uids: np.ndarray, known: np.ndarray, pairs: Counts) -> dict[str, np.ndarray]:
-    """The bigrams of some documents: GRAMS, the words' hashes, the place of the document, and the bigrams' counts where known."""
+def _prepared(texts: Texts, uids: np.ndarray, places: np.ndarray, words: Counts, pairs: Counts) -> dict[str, np.ndarray]:
+    """The bigrams of some documents, and x: for each word what is known of its count, as in RARE."""
     ids, doc = texts.ids, texts.doc
     _, word, own = np.unique(doc * len(texts.numbers) + ids, return_inverse=True, return_counts=True)
-    own = own[word]
-    x = np.where(known[ids] >= 0, known[ids] - own, -own)
+    own, place = own[word], places[ids]
+    x = np.where(place >= 0, words.at(place) - own, -own)
     hashes = texts.pairs()
     distinct, number = np.unique(hashes, return_inverse=True)
     _, one, n = np.unique(doc[texts.inner] * len(distinct) + number, return_index=True, return_counts=True)
     at, d = texts.inner[one], doc[texts.inner[one]]
-    return {"k": hashes[one], "uid": uids[d], "n": n, "xv": x[at - 1], "xw": x[at], "n_words": texts.lengths[d], "v": texts.hashes[ids[at - 1]], "w": texts.hashes[ids[at]], "doc": d, "x": x, "c": pairs(hashes[one])}
+    return {
+        "k": hashes[one], "pair": place[at - 1] << 32 | place[at], "known": (place[at - 1] >= 0) & (place[at] >= 0), "uid": uids[d], "n": n, "own_v": own[at - 1], "own_w": own[at],
+        "xv": x[at - 1], "xw": x[at], "n_words": texts.lengths[d], "v": texts.hashes[ids[at - 1]], "w": texts.hashes[ids[at]], "doc": d, "x": x, "c": pairs.at(pairs.places(hashes[one])),
+    }
 
 
 class _Known:
-    """Words' counts by their numbers in ``texts``."""
+    """Places of words in the table that all tasks have, by their numbers in ``texts``."""
 
     def __init__(self, texts: Texts, counts: Counts) -> None:
         self.texts, self.counts, self.epoch, self.n = texts, counts, 0, np.zeros(0, np.int64)
@@ -217,7 +226,7 @@ class _Known:
     def __call__(self) -> np.ndarray:
         if self.epoch != self.texts.epoch:
             self.n, self.epoch = self.n[:0], self.texts.epoch
-        self.n = np.concatenate([self.n, self.counts(self.texts.hashes[len(self.n) :])])
+        self.n = np.concatenate([self.n, self.counts.places(self.texts.hashes[len(self.n) :])])
         return self.n
 
 
@@ -243,7 +252,7 @@ def _explode(buckets: int, all_words: int, words, pairs, most: int):
             for uids, some in columns(batch, "uid", "text", chars=SLICE_CHARS):
                 texts.read(some)
                 uids = np.array(uids, np.int64)
-                g = _prepared(texts, uids, known(), pairs.value)
+                g = _prepared(texts, uids, known(), words.value, pairs.value)
                 settled = _settled(g)
                 waits = np.flatnonzero(~settled)
                 bucket = (g["k"][waits] >> np.uint64(20)) % np.uint64(buckets)
@@ -252,10 +261,11 @@ def _explode(buckets: int, all_words: int, words, pairs, most: int):
                 names, begin = np.unique(bucket, return_index=True)
                 # One row more, without bigrams, for what is settled.
                 cuts = np.append(begin, [len(bucket)] * 2)
-                rare = (g["xv"][waits] < 0) | (g["xw"][waits] < 0)
-                rare_cuts = np.concatenate([[0], np.cumsum(rare)])[cuts]
-                lists = [_lists(g[c][waits].view(np.int64), cuts, kind) for c, kind in GRAMS.items()]
-                lists += [_lists(g[c][waits][rare].view(np.int64), rare_cuts, kind) for c, kind in RARE.items()]
+                common = g["known"][waits]
+                lists = []
+                for mine, kinds, prefix in ((common, GRAMS, 0), (~common, RARE, 2)):
+                    own_cuts = np.concatenate([[0], np.cumsum(mine)])[cuts]
+                    lists += [_lists(g[c[prefix:]][waits][mine].view(np.int64), own_cuts, kind) for c, kind in kinds.items()]
                 sums = np.bincount(g["doc"][settled], weights=_worth(g, all_words)[settled], minlength=len(some)).astype(float)
                 first, d = g["x"][texts.first], texts.doc[texts.first]
                 sums[d] += np.where(first >= 0, _log_alone(first, (all_words - texts.lengths)[d]), 0.0)
@@ -288,7 +298,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _join(all_words: int):
+def _join(all_words: int, words):
     """Rows of SUMS of each bucket: bigrams are counted over all documents and joined to their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,20 +306,24 @@ def _join(all_words: int):
             g = {c: table.column(c).combine_chunks().flatten().to_numpy() for c in [*GRAMS, *RARE, *TOLD, *FIRST]}
             yield _sums(uid=g["told_uid"], s=g["told"], n_words=g["told_words"])
             yield _sums(u=g["first"], uid=g["first_uid"], own=g["first_own"], plus=np.ones(len(g["first"]), np.int64), n_words=g["first_words"])
-            if not len(g["k"]):
-                continue
-            _, number = np.unique(g["k"], return_inverse=True)
-            g["c"] = np.bincount(number, weights=g["n"]).astype(np.int64)[number]
-            texts, doc = np.unique(g["uid"], return_inverse=True)
-            n_words = np.zeros(len(texts), np.int64)
-            n_words[doc] = g["n_words"]
-            yield _sums(uid=texts, s=np.bincount(doc, weights=_worth(g, all_words)), n_words=n_words)
-            rare = (g["xv"] < 0) | (g["xw"] < 0)
-            seen = (g["c"] > g["n"])[rare]
-            own = -np.where(seen, g["xv"][rare], g["xw"][rare])
-            lacks, n = own > 0, g["n"][rare]
-            u = np.where(seen, g["v"], g["w"])
-            yield _sums(u=u[lacks], uid=g["uid"][rare][lacks], own=own[lacks], minus=np.where(seen, n, 0)[lacks], plus=np.where(seen, 0, n)[lacks], n_words=g["n_words"][rare][lacks])
+            v, w = g["pair"] >> 32, g["pair"] & 0xFFFFFFFF
+            common = {"k": g["pair"], "uid": g["uid"], "n": g["n"], "n_words": g["n_words"], "xv": words.value.at(v) - g["own_v"], "xw": words.value.at(w) - g["own_w"]}
+            rare = {c[2:]: g[c] for c in RARE}
+            for some in (common, rare):
+                if not len(some["k"]):
+                    continue
+                _, number = np.unique(some["k"], return_inverse=True)
+                some["c"] = np.bincount(number, weights=some["n"]).astype(np.int64)[number]
+                texts, doc = np.unique(some["uid"], return_inverse=True)
+                n_words = np.zeros(len(texts), np.int64)
+                n_words[doc] = some["n_words"]
+                yield _sums(uid=texts, s=np.bincount(doc, weights=_worth(some, all_words)), n_words=n_words)
+            if len(rare["k"]):
+                seen = rare["c"] > rare["n"]
+                own = -np.where(seen, rare["xv"], rare["xw"])
+                lacks = own > 0
+                once = {c: x[lacks] for c, x in rare.items()}
+                yield _sums(u=np.where(seen, rare["v"], rare["w"])[lacks], uid=once["uid"], own=own[lacks], minus=np.where(seen, rare["n"], 0)[lacks], plus=np.where(seen, 0, rare["n"])[lacks], n_words=once["n_words"])
 
     return run
 
@@ -338,7 +352,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     buckets = all_words // bucket_words + 1
     rows = texts.select("uid", "text")
     exploded = rows.mapInArrow(_explode(buckets, all_words, *tables, VOCABULARY), ROWS).repartition("bucket").sortWithinPartitions("bucket")
-    met = scratch.keep(exploded.mapInArrow(_join(all_words), SUM_ROWS), "joined")
+    met = scratch.keep(exploded.mapInArrow(_join(all_words, tables[0]), SUM_ROWS), "joined")
     others = F.col("c") - F.col("own")
     taken = F.when(F.col("minus") > 0, -F.col("minus") * F.log(others)).otherwise(0.0)
     added = F.when(F.col("plus") > 0, F.col("plus") * _alone(others, F.lit(all_words) - F.col("n_words"))).otherwise(0.0)
