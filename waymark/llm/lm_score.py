@@ -15,9 +15,10 @@ is summed by document. A bucket holds about BUCKET_WORDS bigrams, so there are a
 corpus asks for and a task holds one at a time.
 
 No key is hot. Words with FREQUENT_WORD of all words, and bigrams with FREQUENT_PAIR of
-them, are at most 1 / FREQUENT_WORD and 2 / FREQUENT_PAIR many whatever the corpus; their
-counts, summed where the words are, go to the tasks, which settle what needs no other. So a
-bigram or word that moves has little more than that share of the words at most.
+those of a bounded sample, are at most 1 / FREQUENT_WORD and 1 / FREQUENT_PAIR many whatever
+the corpus; their counts, summed over all texts where the words are, go to the tasks, which
+settle what needs no other. So a word that moves has less than that share of the words,
+and a bigram hardly more.
 
 Defined results: words are split at ASCII blanks and A-Z lower-cased. A text
 without words (null included) has 0 words and score 0. Every row is a document of
@@ -45,11 +46,11 @@ BACKOFF = 0.4
 #: Shares of all words from which the counts of a word and of a bigram are known to all tasks.
 FREQUENT_WORD, FREQUENT_PAIR = 5e-7, 1e-6
 #: Words of the corpus for each bucket of bigrams.
-BUCKET_WORDS = 3_000_000
+BUCKET_WORDS = 1_500_000
 #: Different words that a task numbers before it starts anew.
-VOCABULARY = 200_000
-#: Bigrams that a task holds when it looks for frequent ones, 4 / FREQUENT_PAIR: of fewer it could not tell the share.
-STRETCH = 4_000_000
+VOCABULARY = 400_000
+#: Code points of the sample of texts that shows which bigrams are likely to be frequent, and its seed.
+SAMPLE_CHARS, SEED = 40_000_000, 11
 #: Code points of text that a task explodes at once.
 SLICE_CHARS = 2_000_000
 #: Columns of exploded bigrams whose words are both in the table that all tasks have, a value for each: the words'
@@ -134,53 +135,42 @@ def _counted(kind: int, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "h", "n"])
 
 
-def _survey(pair_share: float, most: int):
-    """kind 0: words and their counts; kind 1: bigrams that have the share of a stretch of a task's text, and their counts there."""
-    stretch = math.ceil(4 / pair_share)
+def _sampled_pairs(most: int):
+    """kind 0: how many words there are; kind 1: bigrams that occur again in a slice, and their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, total = Texts(most), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def often() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            frequent = n >= max(2, pair_share * size)
-            return _counted(1, pairs[frequent], n[frequent])
-
+        texts = Texts(most)
         for batch in batches:
             for (some,) in columns(batch, "text", chars=SLICE_CHARS):
-                if len(texts.numbers) > most:
-                    yield _counted(0, texts.hashes, total)
-                    total = np.zeros(0, np.int64)
                 texts.read(some)
-                here = np.bincount(texts.ids, minlength=len(texts.numbers))
-                here[: len(total)] += total
-                total = here
-                held.append(texts.pairs())
-                size += len(texts.ids)
-                if size >= min(stretch, STRETCH):
-                    yield often()
-                    held, size = [], 0
-        yield often()
-        yield _counted(0, texts.hashes, total)
+                pairs, n = np.unique(texts.pairs(), return_counts=True)
+                yield _counted(0, np.zeros(1, np.uint64), np.array([len(texts.ids)]))
+                yield _counted(1, pairs[n > 1], n[n > 1])
 
     return run
 
 
-def _count_known(known, most: int):
-    """Counts of the bigrams in ``known``, a broadcast sorted array."""
+def _survey(wanted, most: int):
+    """kind 0: words and their counts; kind 1: counts of the bigrams in ``wanted``, a broadcast sorted array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, wanted = Texts(most), known.value
-        total = np.zeros(len(wanted), np.int64)
+        texts, total, known = Texts(most), np.zeros(0, np.int64), wanted.value
+        held = np.zeros(len(known), np.int64)
         for batch in batches:
             for (some,) in columns(batch, "text", chars=SLICE_CHARS):
+                if len(texts.numbers) > most:
+                    yield _counted(0, texts.hashes, total)
+                    total = np.zeros(0, np.int64)
                 texts.read(some)
-                pairs = texts.pairs()
-                at = np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)
-                total += np.bincount(at[wanted[at] == pairs], minlength=len(wanted))
-        yield _counted(1, wanted[total > 0], total[total > 0])
+                here = np.bincount(texts.ids, minlength=len(texts.numbers))
+                here[: len(total)] += total
+                total = here
+                if len(known):
+                    pairs = texts.pairs()
+                    at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+                    held += np.bincount(at[known[at] == pairs], minlength=len(known))
+        yield _counted(0, texts.hashes, total)
+        yield _counted(1, known[held > 0], held[held > 0])
 
     return run
 
@@ -338,16 +328,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-score")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("uid", F.xxhash64("text"))
-    surveyed = texts.select("text").mapInArrow(_survey(frequent_pair, VOCABULARY), "kind int, h long, n long")
-    surveyed = scratch.keep(surveyed.groupBy("kind", "h").agg(F.sum("n").alias("n")), "survey")
+    # Which bigrams are likely to be frequent is read off a bounded sample; their counts are of all texts.
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    sampled = texts.select("text").sample(min(1.0, SAMPLE_CHARS / max(1, chars)), SEED).mapInArrow(_sampled_pairs(VOCABULARY), "kind int, h long, n long")
+    sampled = scratch.keep(sampled.groupBy("kind", "h").agg(F.sum("n").alias("n")), "sampled")
+    sampled_words = sampled.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    likely = sampled.filter((F.col("kind") == 1) & (F.col("n") >= max(2.0, frequent_pair * sampled_words))).select("h").toArrow().column("h")
+    wanted = spark.sparkContext.broadcast(np.sort(likely.to_numpy().view(np.uint64)))
+    surveyed = scratch.keep(texts.select("text").mapInArrow(_survey(wanted, VOCABULARY), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "survey")
     words = surveyed.filter("kind = 0").select("h", "n")
     all_words = words.agg(F.sum("n")).first()[0] or 0
     # Each side is bounded by the shares, whatever the corpus.
     known_words = Counts(words.filter(F.col("n") >= max(1.0, frequent_word * all_words)).toArrow())
-    likely = surveyed.filter((F.col("kind") == 1) & (F.col("n") >= max(2.0, frequent_pair * all_words / 2))).select("h").toArrow().column("h")
-    wanted = spark.sparkContext.broadcast(np.sort(likely.to_numpy().view(np.uint64)))
-    exact = texts.select("text").mapInArrow(_count_known(wanted, VOCABULARY), "kind int, h long, n long").groupBy("h").agg(F.sum("n").alias("n")) if len(likely) else surveyed.filter("kind = 1 AND n < 0")
-    known_pairs = Counts(exact.select("h", "n").toArrow())
+    known_pairs = Counts(surveyed.filter("kind = 1").select("h", "n").toArrow())
     tables = spark.sparkContext.broadcast(known_words), spark.sparkContext.broadcast(known_pairs)
     buckets = all_words // bucket_words + 1
     rows = texts.select("uid", "text")
