@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -46,13 +47,15 @@ BACKOFF = 0.4
 #: Shares of all words from which the counts of a word and of a bigram are known to all tasks.
 FREQUENT_WORD, FREQUENT_PAIR = 5e-7, 1e-6
 #: Words of the corpus for each bucket of bigrams.
-BUCKET_WORDS = 1_500_000
+BUCKET_WORDS = 2_000_000
 #: Different words that a task numbers before it starts anew.
-VOCABULARY = 400_000
+VOCABULARY = 250_000
 #: Code points of the sample of texts that shows which bigrams are likely to be frequent, and its seed.
 SAMPLE_CHARS, SEED = 40_000_000, 11
+#: Bytes of a batch of exploded bigrams.
+BATCH_BYTES = 8 << 20
 #: Code points of text that a task explodes at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_500_000
 #: Columns of exploded bigrams whose words are both in the table that all tasks have, a value for each: the words'
 #: places there as one number, the text, the bigram's and the words' counts in it, and the text's words.
 GRAMS = {"pair": pa.int64(), "uid": pa.int64(), "n": pa.int32(), "own_v": pa.int32(), "own_w": pa.int32(), "n_words": pa.int32()}
@@ -323,6 +326,18 @@ def _alone(others: Column, rest: Column) -> Column:
     return F.when(others > 0, F.log(others) - F.log(rest)).otherwise(-F.log(rest + 1))
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Batches between Spark and Python of at most so many bytes, unless a row is larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent_word: float = FREQUENT_WORD, frequent_pair: float = FREQUENT_PAIR, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """``doc_id, n_words, score`` for each row."""
     spark = docs.sparkSession
@@ -345,7 +360,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     buckets = all_words // bucket_words + 1
     rows = texts.select("uid", "text")
     exploded = rows.mapInArrow(_explode(buckets, all_words, *tables, VOCABULARY), ROWS).repartition("bucket").sortWithinPartitions("bucket")
-    met = scratch.keep(exploded.mapInArrow(_join(all_words, tables[0]), SUM_ROWS), "joined")
+    # Rows are long here, so that batches of the usual size would be held several times over.
+    with _batches_of(spark, BATCH_BYTES):
+        met = scratch.keep(exploded.mapInArrow(_join(all_words, tables[0]), SUM_ROWS), "joined")
     others = F.col("c") - F.col("own")
     taken = F.when(F.col("minus") > 0, -F.col("minus") * F.log(others)).otherwise(0.0)
     added = F.when(F.col("plus") > 0, F.col("plus") * _alone(others, F.lit(all_words) - F.col("n_words"))).otherwise(0.0)
