@@ -47,7 +47,7 @@ BACKOFF = 0.4
 #: Shares of all words from which the counts of a word and of a bigram are known to all tasks.
 FREQUENT_WORD, FREQUENT_PAIR = 5e-7, 1e-6
 #: Words of the corpus for each bucket of bigrams.
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 1_200_000
 #: Different words that a task numbers before it starts anew.
 VOCABULARY = 250_000
 #: Code points of the sample of texts that shows which bigrams are likely to be frequent, and its seed.
@@ -297,6 +297,7 @@ def _join(all_words: int, words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_bucket(batches):
             g = {c: table.column(c).combine_chunks().flatten().to_numpy() for c in [*GRAMS, *RARE, *TOLD, *FIRST]}
+            del table
             yield _sums(uid=g["told_uid"], s=g["told"], n_words=g["told_words"])
             yield _sums(u=g["first"], uid=g["first_uid"], own=g["first_own"], plus=np.ones(len(g["first"]), np.int64), n_words=g["first_words"])
             v, w = g["pair"] >> 32, g["pair"] & 0xFFFFFFFF
