@@ -47,7 +47,7 @@ BACKOFF = 0.4
 #: Shares of all words from which the counts of a word and of a bigram are known to all tasks.
 FREQUENT_WORD, FREQUENT_PAIR = 5e-7, 1e-6
 #: Words of the corpus for each bucket of bigrams.
-BUCKET_WORDS = 1_200_000
+BUCKET_WORDS = 1_800_000
 #: Different words that a task numbers before it starts anew.
 VOCABULARY = 250_000
 #: Code points of the sample of texts that shows which bigrams are likely to be frequent, and its seed.
