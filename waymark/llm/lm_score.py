@@ -6,8 +6,8 @@ c'(w) > 0, else 1/(N' + 1). A document's first word scores S(w). The score is th
 mean of the natural logarithms.
 
 A table of word counts is summed over the corpus. Documents are exploded into bigrams with
-their counts in the document, column by column: a row holds those of some documents that fall
-into one bucket of the bigrams' hashes. Bucket by bucket the bigrams' counts are summed over all
+their counts in the document: a row holds those of some documents that fall
+into one bucket of the bigrams' hashes, column by column and packed. Bucket by bucket the bigrams' counts are summed over all
 documents and joined to the exploded bigrams. A bigram of a document then needs the count of one
 word more: that of v if other documents have the bigram, else that of w. Where a task does
 not know it, it is summed by word and document and joins the table of word counts. At last all
@@ -56,19 +56,20 @@ SAMPLE_CHARS, SEED = 40_000_000, 11
 BATCH_BYTES = 8 << 20
 #: Code points of text that a task explodes at once.
 SLICE_CHARS = 1_500_000
-#: Columns of exploded bigrams whose words are both in the table that all tasks have, a value for each: the words'
-#: places there as one number, the text, the bigram's and the words' counts in it, and the text's words.
-GRAMS = {"pair": pa.int64(), "uid": pa.int64(), "n": pa.int32(), "own_v": pa.int32(), "own_w": pa.int32(), "n_words": pa.int32()}
-#: Columns of the others: hashes of bigram and words, text and counts; xv and xw are counts in other texts, or the
-#: negative counts in this one where no more is known.
-RARE = {"r_k": pa.int64(), "r_uid": pa.int64(), "r_n": pa.int32(), "r_xv": pa.int64(), "r_xw": pa.int64(), "r_n_words": pa.int32(), "r_v": pa.int64(), "r_w": pa.int64()}
+#: Exploded bigrams that a task deals to buckets at once, so that a row has many of a bucket.
+HELD = 500_000
+#: A row of exploded bigrams is bytes: its texts, and by bigram how far its text is from that of the one before, its and its
+#: words' counts in the text, which words are known (1: the first, 2: the second), and each word's place in the table that all
+#: tasks have, or its hash if it is not there.
+TEXT = {"uid": np.dtype(np.int64), "n_words": np.dtype(np.int32)}
+GRAM = {"step": np.dtype(np.int32), "n": np.dtype(np.int32), "own_v": np.dtype(np.int32), "own_w": np.dtype(np.int32), "known": np.dtype(np.uint8), "v": np.dtype(np.int64), "w": np.dtype(np.int64)}
+CODEC = pa.Codec("zstd", compression_level=1)
 #: What a task settled itself, a value for each of its documents, and first words with a count that is not known.
 TOLD = {"told_uid": pa.int64(), "told": pa.float64(), "told_words": pa.int32()}
 FIRST = {"first": pa.int64(), "first_uid": pa.int64(), "first_own": pa.int64(), "first_words": pa.int32()}
 ROWS = (
-    "bucket long, pair array<long>, uid array<long>, n array<int>, own_v array<int>, own_w array<int>, n_words array<int>, "
-    "r_k array<long>, r_uid array<long>, r_n array<int>, r_xv array<long>, r_xw array<long>, r_n_words array<int>, r_v array<long>, r_w array<long>, "
-    "told_uid array<long>, told array<double>, told_words array<int>, first array<long>, first_uid array<long>, first_own array<long>, first_words array<int>"
+    "bucket long, grams binary, told_uid array<long>, told array<double>, told_words array<int>, "
+    "first array<long>, first_uid array<long>, first_own array<long>, first_words array<int>"
 )
 #: Sums by text, and for each word u whose count is lacking how often its logarithm is taken off and added.
 SUMS = {"u": pa.int64(), "uid": pa.int64(), "s": pa.float64(), "own": pa.int64(), "minus": pa.int64(), "plus": pa.int64(), "n_words": pa.int64()}
@@ -103,6 +104,10 @@ class Counts:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, at, -1)
 
+    def hashes(self, places: np.ndarray) -> np.ndarray:
+        """Hashes by place, any where it is not known."""
+        return np.append(self.keys, np.uint64(0))[places]
+
     def at(self, places: np.ndarray) -> np.ndarray:
         """Counts by place, -1 where it is not known."""
         return np.where(places >= 0, np.append(self.n, -1)[places], -1)
@@ -178,8 +183,73 @@ def _survey(wanted, most: int):
     return run
 
 
-def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values).cast(kind))
+def _planes(columns: dict[str, np.ndarray], kinds: dict[str, np.dtype]) -> bytes:
+    """First bytes of all of a column's values, then second ones: high bytes of small numbers are all alike."""
+    return b"".join(columns[c].astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes() for c, kind in kinds.items())
+
+
+def _packed(texts: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> bytes:
+    sizes = np.array([len(texts["uid"]), len(grams["n"])], np.int64)
+    return sizes.tobytes() + CODEC.compress(_planes(texts, TEXT) + _planes(grams, GRAM), asbytes=True)
+
+
+def _unpacked(row: bytes) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    sizes, at, found = np.frombuffer(row, np.int64, 2).tolist(), 0, []
+    size = sum(n * kind.itemsize for n, kinds in zip(sizes, (TEXT, GRAM)) for kind in kinds.values())
+    planes = np.frombuffer(CODEC.decompress(row[16:], size, asbytes=True), np.uint8)
+    for n, kinds in zip(sizes, (TEXT, GRAM)):
+        found.append({})
+        for c, kind in kinds.items():
+            found[-1][c] = np.ascontiguousarray(planes[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind)[:, 0]
+            at += n * kind.itemsize
+    return found[0], found[1]
+
+
+class _Waiting:
+    """Bigrams that wait for their counts, of some slices of texts."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.slices, self.size, self.n_texts = buckets, [], 0, 0
+
+    def add(self, g: dict[str, np.ndarray], waits: np.ndarray, uids: np.ndarray, lengths: np.ndarray) -> None:
+        bucket = (g["k"][waits] >> np.uint64(20)) % np.uint64(self.buckets)
+        pv, pw = g["pv"][waits], g["pw"][waits]
+        some = {
+            "order": (bucket * np.uint64(4)).astype(np.min_scalar_type(4 * self.buckets)), "doc": g["doc"][waits].astype(np.int32) + np.int32(self.n_texts), "known": ((pv >= 0) + 2 * (pw >= 0)).astype(np.uint8),
+            "v": np.where(pv >= 0, pv, g["v"][waits].view(np.int64)), "w": np.where(pw >= 0, pw, g["w"][waits].view(np.int64)),
+        } | {c: g[c][waits].astype(np.int32) for c in ("n", "own_v", "own_w")}
+        some["order"] += some["known"]
+        self.slices.append((some, uids, lengths))
+        self.size += len(waits)
+        self.n_texts += len(uids)
+
+    def rows(self) -> pa.RecordBatch:
+        """A row for each bucket, and nothing waits any more."""
+        g = {c: np.concatenate([some[c] for some, _, _ in self.slices]) for c in self.slices[0][0]}
+        uids, lengths = (np.concatenate([x[i] for x in self.slices]) for i in (1, 2))
+        self.slices, self.size, self.n_texts = [], 0, 0
+        order = np.argsort(g["order"], kind="stable")
+        bucket = g.pop("order")[order] // 4
+        g = {c: x[order] for c, x in g.items()}
+        names, begin = np.unique(bucket, return_index=True)
+        packed = []
+        for a, b in zip(begin, np.append(begin, len(bucket))[1:]):
+            row = {c: x[a:b] for c, x in g.items()}
+            here = np.zeros(len(uids), bool)
+            here[row["doc"]] = True
+            row["step"] = np.diff((np.cumsum(here) - 1)[row["doc"]], prepend=0)
+            packed.append(_packed({"uid": uids[here], "n_words": lengths[here]}, row))
+        return _rows(names.astype(np.int64), pa.array(packed, pa.binary()))
+
+
+def _rows(bucket: np.ndarray, grams: pa.Array, lists: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """Rows of ROWS; ``lists`` are the values of TOLD and FIRST of a single row."""
+    kinds = [*TOLD.values(), *FIRST.values()]
+    if lists is None:
+        rest = [pa.nulls(len(bucket), pa.list_(kind)) for kind in kinds]
+    else:
+        rest = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x).cast(kind)) for x, kind in zip(lists, kinds)]
+    return pa.record_batch([pa.array(bucket), grams, *rest], ["bucket", "grams", *TOLD, *FIRST])
 
 
 def _sums(**columns: np.ndarray) -> pa.RecordBatch:
@@ -194,8 +264,8 @@ def _log_alone(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.log(np.maximum(x, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
 
 
-def _prepared(texts: Texts, uids: np.ndarray, places: np.ndarray, words: Counts, pairs: Counts) -> dict[str, np.ndarray]:
-    """The bigrams of some documents, and x: for each word what is known of its count, as in RARE."""
+def _prepared(texts: Texts, places: np.ndarray, words: Counts, pairs: Counts) -> dict[str, np.ndarray]:
+    """The bigrams of some documents, and x: each word's count in other texts, or minus that in its own where no more is known."""
     ids, doc = texts.ids, texts.doc
     _, word, own = np.unique(doc * len(texts.numbers) + ids, return_inverse=True, return_counts=True)
     own, place = own[word], places[ids]
@@ -205,7 +275,7 @@ def _prepared(texts: Texts, uids: np.ndarray, places: np.ndarray, words: Counts,
     _, one, n = np.unique(doc[texts.inner] * len(distinct) + number, return_index=True, return_counts=True)
     at, d = texts.inner[one], doc[texts.inner[one]]
     return {
-        "k": hashes[one], "pair": place[at - 1] << 32 | place[at], "known": (place[at - 1] >= 0) & (place[at] >= 0), "uid": uids[d], "n": n, "own_v": own[at - 1], "own_w": own[at],
+        "k": hashes[one], "pv": place[at - 1], "pw": place[at], "n": n, "own_v": own[at - 1], "own_w": own[at],
         "xv": x[at - 1], "xw": x[at], "n_words": texts.lengths[d], "v": texts.hashes[ids[at - 1]], "w": texts.hashes[ids[at]], "doc": d, "x": x, "c": pairs.at(pairs.places(hashes[one])),
     }
 
@@ -236,40 +306,30 @@ def _worth(g: dict[str, np.ndarray], all_words: int) -> np.ndarray:
 
 
 def _explode(buckets: int, all_words: int, words, pairs, most: int):
-    """Rows of ROWS: bigrams that wait for their counts, by bucket, and in one row what is settled."""
+    """Rows of ROWS: bigrams that wait for their counts, by bucket, and for each slice of texts one row of what is settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = Texts(most)
-        known = _Known(texts, words.value)
+        known, waiting = _Known(texts, words.value), _Waiting(buckets)
         for batch in batches:
             for uids, some in columns(batch, "uid", "text", chars=SLICE_CHARS):
                 texts.read(some)
                 uids = np.array(uids, np.int64)
-                g = _prepared(texts, uids, known(), words.value, pairs.value)
+                g = _prepared(texts, known(), words.value, pairs.value)
                 settled = _settled(g)
-                waits = np.flatnonzero(~settled)
-                bucket = (g["k"][waits] >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                waits, bucket = waits[order], bucket[order].astype(np.int64)
-                names, begin = np.unique(bucket, return_index=True)
-                # One row more, without bigrams, for what is settled.
-                cuts = np.append(begin, [len(bucket)] * 2)
-                common = g["known"][waits]
-                lists = []
-                for mine, kinds, prefix in ((common, GRAMS, 0), (~common, RARE, 2)):
-                    own_cuts = np.concatenate([[0], np.cumsum(mine)])[cuts]
-                    lists += [_lists(g[c[prefix:]][waits][mine].view(np.int64), own_cuts, kind) for c, kind in kinds.items()]
                 sums = np.bincount(g["doc"][settled], weights=_worth(g, all_words)[settled], minlength=len(some)).astype(float)
                 first, d = g["x"][texts.first], texts.doc[texts.first]
                 sums[d] += np.where(first >= 0, _log_alone(first, (all_words - texts.lengths)[d]), 0.0)
-                last = lambda values: np.array([0] * (len(names) + 1) + [len(values)])
-                told = (uids[d], sums[d], texts.lengths[d])
-                lists += [_lists(v, last(v), kind) for v, kind in zip(told, TOLD.values())]
                 lacks, f = first < 0, d[first < 0]
                 lone = (texts.hashes[texts.ids[texts.first[lacks]]].view(np.int64), uids[f], -first[lacks], texts.lengths[f])
-                lists += [_lists(v, last(v), kind) for v, kind in zip(lone, FIRST.values())]
                 home = int(uids[0]) % buckets if len(uids) else 0
-                yield pa.record_batch([pa.array(np.append(names, home)), *lists], ["bucket", *GRAMS, *RARE, *TOLD, *FIRST])
+                yield _rows(np.array([home]), pa.nulls(1, pa.binary()), [uids[d], sums[d], texts.lengths[d], *lone])
+                waiting.add(g, np.flatnonzero(~settled), uids, texts.lengths)
+                del g
+                if waiting.size >= HELD:
+                    yield waiting.rows()
+        if waiting.size:
+            yield waiting.rows()
 
     return run
 
@@ -291,33 +351,57 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each value, the sum over all of its key."""
+    _, number = np.unique(keys, return_inverse=True)
+    return np.bincount(number, weights=n).astype(np.int64)[number]
+
+
+def _met(rows: list[bytes]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Texts and bigrams of a bucket's rows; doc is the place of a bigram's text among those."""
+    texts, grams, n = [], [], 0
+    for row in rows:
+        t, g = _unpacked(row)
+        g["doc"] = np.cumsum(g.pop("step"), dtype=np.int64) + n
+        n += len(t["uid"])
+        texts.append(t)
+        grams.append(g)
+    joined = lambda some: {c: np.concatenate([x.pop(c) for x in some]) for c in list(some[0])}
+    return joined(texts), joined(grams)
+
+
 def _join(all_words: int, words):
     """Rows of SUMS of each bucket: bigrams are counted over all documents and joined to their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_bucket(batches):
-            g = {c: table.column(c).combine_chunks().flatten().to_numpy() for c in [*GRAMS, *RARE, *TOLD, *FIRST]}
+            told = {c: table.column(c).combine_chunks().flatten().to_numpy() for c in [*TOLD, *FIRST]}
+            rows = table.column("grams").drop_null().to_pylist()
             del table
-            yield _sums(uid=g["told_uid"], s=g["told"], n_words=g["told_words"])
-            yield _sums(u=g["first"], uid=g["first_uid"], own=g["first_own"], plus=np.ones(len(g["first"]), np.int64), n_words=g["first_words"])
-            v, w = g["pair"] >> 32, g["pair"] & 0xFFFFFFFF
-            common = {"k": g["pair"], "uid": g["uid"], "n": g["n"], "n_words": g["n_words"], "xv": words.value.at(v) - g["own_v"], "xw": words.value.at(w) - g["own_w"]}
-            rare = {c[2:]: g[c] for c in RARE}
-            for some in (common, rare):
-                if not len(some["k"]):
-                    continue
-                _, number = np.unique(some["k"], return_inverse=True)
-                some["c"] = np.bincount(number, weights=some["n"]).astype(np.int64)[number]
-                texts, doc = np.unique(some["uid"], return_inverse=True)
-                n_words = np.zeros(len(texts), np.int64)
-                n_words[doc] = some["n_words"]
-                yield _sums(uid=texts, s=np.bincount(doc, weights=_worth(some, all_words)), n_words=n_words)
-            if len(rare["k"]):
-                seen = rare["c"] > rare["n"]
-                own = -np.where(seen, rare["xv"], rare["xw"])
-                lacks = own > 0
-                once = {c: x[lacks] for c, x in rare.items()}
-                yield _sums(u=np.where(seen, rare["v"], rare["w"])[lacks], uid=once["uid"], own=own[lacks], minus=np.where(seen, rare["n"], 0)[lacks], plus=np.where(seen, 0, rare["n"])[lacks], n_words=once["n_words"])
+            yield _sums(uid=told["told_uid"], s=told["told"], n_words=told["told_words"])
+            yield _sums(u=told["first"], uid=told["first_uid"], own=told["first_own"], plus=np.ones(len(told["first"]), np.int64), n_words=told["first_words"])
+            if not rows:
+                continue
+            texts, g = _met(rows)
+            del rows
+            counts, (kv, kw) = words.value, (g["known"] & 1 > 0, g["known"] & 2 > 0)
+            pv, pw = np.where(kv, g["v"], -1), np.where(kw, g["w"], -1)
+            g["xv"], g["xw"] = np.where(kv, counts.at(pv), 0) - g["own_v"], np.where(kw, counts.at(pw), 0) - g["own_w"]
+            g["c"] = np.zeros(len(kv), np.int64)
+            # Places tell bigrams of known words apart, hashes the others.
+            both = np.flatnonzero(kv & kw)
+            g["c"][both] = _summed(pv[both] << 32 | pw[both], g["n"][both])
+            rest = np.flatnonzero(~(kv & kw))
+            v, w = (np.where(known[rest], counts.hashes(places[rest]), g[c][rest].view(np.uint64)) for known, places, c in ((kv, pv, "v"), (kw, pw, "w")))
+            g["c"][rest] = _summed(_pair_hash(v, w), g["n"][rest])
+            del kv, kw, pv, pw, both, rest, v, w
+            g["n_words"] = texts["n_words"][g["doc"]]
+            yield _sums(uid=texts["uid"], s=np.bincount(g["doc"], weights=_worth(g, all_words), minlength=len(texts["uid"])))
+            seen = g["c"] > g["n"]
+            lacks = np.where(seen, g["xv"], g["xw"]) < 0
+            seen, g = seen[lacks], {c: x[lacks] for c, x in g.items()}
+            own = -np.where(seen, g["xv"], g["xw"])
+            yield _sums(u=np.where(seen, g["v"], g["w"]), uid=texts["uid"][g["doc"]], own=own, minus=np.where(seen, g["n"], 0), plus=np.where(seen, 0, g["n"]), n_words=g["n_words"])
 
     return run
 
@@ -368,7 +452,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     taken = F.when(F.col("minus") > 0, -F.col("minus") * F.log(others)).otherwise(0.0)
     added = F.when(F.col("plus") > 0, F.col("plus") * _alone(others, F.lit(all_words) - F.col("n_words"))).otherwise(0.0)
     # Words that are looked up here are rare, so no key of this join is hot.
-    lacking = met.filter("u IS NOT NULL").groupBy("u", "uid").agg(F.max("own").alias("own"), F.sum("minus").alias("minus"), F.sum("plus").alias("plus"), F.max("n_words").alias("n_words"))
+    lacking = met.filter("u IS NOT NULL").drop("s")
     looked_up = lacking.join(words.select(F.col("h").alias("u"), F.col("n").alias("c")), "u").select("uid", (taken + added).alias("s"), "n_words")
     by_text = met.filter("u IS NULL").select("uid", "s", "n_words").unionByName(looked_up).groupBy("uid").agg(F.sum("s").alias("s"), F.max("n_words").alias("n_words"))
     uids = scratch.keep(texts.select("doc_id", "uid"), "uids")
