@@ -68,7 +68,7 @@ def exploded(texts, known, buckets):
     words = Counter(w for d in split for w in d)
     table = pa.table({"h": pa.array(np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64).view(np.int64)), "n": pa.array([words[w] for w in known], pa.int64())})
     none = lm_score.Counts(pa.table({"h": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}))
-    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["uid", "text"])
+    batch = pa.record_batch([pa.array([random.Random(n).getrandbits(63) for n in range(len(texts))], pa.int64()), pa.array(texts)], ["uid", "text"])
     out = list(lm_score._explode(buckets, sum(words.values()), Held(lm_score.Counts(table)), Held(none), 10**6)(iter([batch])))
     return out, sum(len(set(zip(d, d[1:]))) for d in split)
 
@@ -95,7 +95,16 @@ def test_all_bigrams_are_exploded_however_they_are_held(monkeypatch):
         for row in (r for b in batches for r in b.column("grams").drop_null().to_pylist()):
             t, g = lm_score._unpacked(row)
             doc = np.cumsum(g["step"])
-            found[-1].update(zip(t["uid"][doc].tolist(), t["n_words"][doc].tolist(), *(g[c].tolist() for c in ("n", "own_v", "own_w", "known", "v", "w"))))
+            found[-1].update(zip(t["t"][doc].tolist(), t["n_words"][doc].tolist(), *(g[c].tolist() for c in ("n", "own_v", "own_w", "known", "v", "w"))))
         assert len(found[-1]) == found[-1].total() == bigrams
     assert found[0] == found[1] == found[2]
     assert max(n for _, _, n, *_ in found[0]) == 70_000
+
+
+def test_exploded_bigrams_take_few_bytes_in_many_buckets():
+    """In a large corpus a text meets a bucket once: its hash beside each bigram took more than the bigram."""
+    rng = random.Random(6)
+    names = [f"w{n}" for n in range(4000)]
+    texts = [" ".join(rng.choice(names) for _ in range(400)) for _ in range(300)]
+    batches, bigrams = exploded(texts, names, 1000)
+    assert sum(b.nbytes for b in batches) < 9 * bigrams

@@ -11,7 +11,8 @@ into one bucket of the bigrams' hashes, column by column and packed. Bucket by b
 documents and joined to the exploded bigrams. A bigram of a document then needs the count of one
 word more: that of v if other documents have the bigram, else that of w. Where a task does
 not know it, it is summed by word and document and joins the table of word counts. At last all
-is summed by document. A bucket holds about BUCKET_WORDS bigrams, so there are as many as the
+is summed by document, which a number stands for until then: a text meets a bucket about once in a
+large corpus, so hashes of texts would be most of what is moved and summed. A bucket holds about BUCKET_WORDS bigrams, so there are as many as the
 corpus asks for and a task holds one at a time.
 
 No key is hot. Words with FREQUENT_WORD of all words, and bigrams with FREQUENT_PAIR of
@@ -22,8 +23,8 @@ and a bigram hardly more.
 
 Defined results: words are split at ASCII blanks and A-Z lower-cased. A text
 without words (null included) has 0 words and score 0. Every row is a document of
-its own, repeated rows and null ids too; rows of equal text have equal scores and are summed
-together, so nothing depends on the order of rows and a task may be repeated. Other columns
+its own, repeated rows and null ids too; rows of equal text have equal scores, the mean of
+theirs. Texts are numbered in the order of their hashes in a partition, so a task may be repeated. Other columns
 are ignored. An empty table gives an empty table. Words, bigrams and texts are told apart by
 64 bits of hash: of 10^13 bigrams one in two million meets another's count.
 """
@@ -38,6 +39,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymark.llm._arrow import columns
@@ -57,23 +59,24 @@ BATCH_BYTES = 8 << 20
 #: Code points of text that a task explodes at once.
 SLICE_CHARS = 1_500_000
 #: Exploded bigrams that a task deals to buckets at once, so that a row has many of a bucket.
-HELD = 500_000
-#: A row of exploded bigrams is bytes: its texts, and by bigram how far its text is from that of the one before, its and its
+HELD = 1_500_000
+#: A row of exploded bigrams is bytes: the number of the first of the texts held, then how far each of its texts is from the one
+#: before, and by bigram how far its text is in the row's texts from that of the one before, its and its
 #: words' counts in the text, which words are known (1: the first, 2: the second), and each word's place in the table that all
 #: tasks have, or its hash if it is not there.
-TEXT = {"uid": np.dtype(np.int64), "n_words": np.dtype(np.int32)}
+TEXT = {"skip": np.dtype(np.int32), "n_words": np.dtype(np.int32)}
 GRAM = {"step": np.dtype(np.int32), "n": np.dtype(np.int32), "own_v": np.dtype(np.int32), "own_w": np.dtype(np.int32), "known": np.dtype(np.uint8), "v": np.dtype(np.int64), "w": np.dtype(np.int64)}
 CODEC = pa.Codec("zstd", compression_level=1)
 #: What a task settled itself, a value for each of its documents, and first words with a count that is not known.
-TOLD = {"told_uid": pa.int64(), "told": pa.float64(), "told_words": pa.int32()}
-FIRST = {"first": pa.int64(), "first_uid": pa.int64(), "first_own": pa.int64(), "first_words": pa.int32()}
+TOLD = {"told_t": pa.int64(), "told_uid": pa.int64(), "told": pa.float64(), "told_words": pa.int32()}
+FIRST = {"first": pa.int64(), "first_t": pa.int64(), "first_own": pa.int64(), "first_words": pa.int32()}
 ROWS = (
-    "bucket long, grams binary, told_uid array<long>, told array<double>, told_words array<int>, "
-    "first array<long>, first_uid array<long>, first_own array<long>, first_words array<int>"
+    "bucket long, grams binary, told_t array<long>, told_uid array<long>, told array<double>, told_words array<int>, "
+    "first array<long>, first_t array<long>, first_own array<long>, first_words array<int>"
 )
-#: Sums by text, and for each word u whose count is lacking how often its logarithm is taken off and added.
-SUMS = {"u": pa.int64(), "uid": pa.int64(), "s": pa.float64(), "own": pa.int64(), "minus": pa.int64(), "plus": pa.int64(), "n_words": pa.int64()}
-SUM_ROWS = "u long, uid long, s double, own long, minus long, plus long, n_words long"
+#: Sums by number of text, and for each word u whose count is lacking how often its logarithm is taken off and added.
+SUMS = {"u": pa.int64(), "t": pa.int64(), "uid": pa.int64(), "s": pa.float64(), "own": pa.int64(), "minus": pa.int64(), "plus": pa.int64(), "n_words": pa.int64()}
+SUM_ROWS = "u long, t long, uid long, s double, own long, minus long, plus long, n_words long"
 
 
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -188,30 +191,32 @@ def _planes(columns: dict[str, np.ndarray], kinds: dict[str, np.dtype]) -> bytes
     return b"".join(columns[c].astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes() for c, kind in kinds.items())
 
 
-def _packed(texts: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> bytes:
-    sizes = np.array([len(texts["uid"]), len(grams["n"])], np.int64)
+def _packed(base: int, texts: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> bytes:
+    sizes = np.array([base, len(texts["skip"]), len(grams["n"])], np.int64)
     return sizes.tobytes() + CODEC.compress(_planes(texts, TEXT) + _planes(grams, GRAM), asbytes=True)
 
 
 def _unpacked(row: bytes) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    sizes, at, found = np.frombuffer(row, np.int64, 2).tolist(), 0, []
+    """Texts, with their numbers as t, and bigrams."""
+    (base, *sizes), at, found = np.frombuffer(row, np.int64, 3).tolist(), 0, []
     size = sum(n * kind.itemsize for n, kinds in zip(sizes, (TEXT, GRAM)) for kind in kinds.values())
-    planes = np.frombuffer(CODEC.decompress(row[16:], size, asbytes=True), np.uint8)
+    planes = np.frombuffer(CODEC.decompress(row[24:], size, asbytes=True), np.uint8)
     for n, kinds in zip(sizes, (TEXT, GRAM)):
         found.append({})
         for c, kind in kinds.items():
             found[-1][c] = np.ascontiguousarray(planes[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind)[:, 0]
             at += n * kind.itemsize
+    found[0]["t"] = base + np.cumsum(found[0].pop("skip"), dtype=np.int64)
     return found[0], found[1]
 
 
 class _Waiting:
     """Bigrams that wait for their counts, of some slices of texts."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.slices, self.size, self.n_texts = buckets, [], 0, 0
+    def __init__(self, buckets: int, base: int) -> None:
+        self.buckets, self.base, self.slices, self.size, self.n_texts = buckets, base, [], 0, 0
 
-    def add(self, g: dict[str, np.ndarray], waits: np.ndarray, uids: np.ndarray, lengths: np.ndarray) -> None:
+    def add(self, g: dict[str, np.ndarray], waits: np.ndarray, lengths: np.ndarray) -> None:
         bucket = (g["k"][waits] >> np.uint64(20)) % np.uint64(self.buckets)
         pv, pw = g["pv"][waits], g["pw"][waits]
         some = {
@@ -219,15 +224,15 @@ class _Waiting:
             "v": np.where(pv >= 0, pv, g["v"][waits].view(np.int64)), "w": np.where(pw >= 0, pw, g["w"][waits].view(np.int64)),
         } | {c: g[c][waits].astype(np.int32) for c in ("n", "own_v", "own_w")}
         some["order"] += some["known"]
-        self.slices.append((some, uids, lengths))
+        self.slices.append((some, lengths))
         self.size += len(waits)
-        self.n_texts += len(uids)
+        self.n_texts += len(lengths)
 
     def rows(self) -> pa.RecordBatch:
         """A row for each bucket, and nothing waits any more."""
-        g = {c: np.concatenate([some[c] for some, _, _ in self.slices]) for c in self.slices[0][0]}
-        uids, lengths = (np.concatenate([x[i] for x in self.slices]) for i in (1, 2))
-        self.slices, self.size, self.n_texts = [], 0, 0
+        g = {c: np.concatenate([some[c] for some, _ in self.slices]) for c in self.slices[0][0]}
+        lengths, base = np.concatenate([x for _, x in self.slices]), self.base
+        self.base, self.slices, self.size, self.n_texts = base + self.n_texts, [], 0, 0
         order = np.argsort(g["order"], kind="stable")
         bucket = g.pop("order")[order] // 4
         g = {c: x[order] for c, x in g.items()}
@@ -235,10 +240,10 @@ class _Waiting:
         packed = []
         for a, b in zip(begin, np.append(begin, len(bucket))[1:]):
             row = {c: x[a:b] for c, x in g.items()}
-            here = np.zeros(len(uids), bool)
+            here = np.zeros(len(lengths), bool)
             here[row["doc"]] = True
             row["step"] = np.diff((np.cumsum(here) - 1)[row["doc"]], prepend=0)
-            packed.append(_packed({"uid": uids[here], "n_words": lengths[here]}, row))
+            packed.append(_packed(base, {"skip": np.diff(np.flatnonzero(here), prepend=0), "n_words": lengths[here]}, row))
         return _rows(names.astype(np.int64), pa.array(packed, pa.binary()))
 
 
@@ -253,9 +258,9 @@ def _rows(bucket: np.ndarray, grams: pa.Array, lists: list[np.ndarray] | None =
 
 
 def _sums(**columns: np.ndarray) -> pa.RecordBatch:
-    """Rows of SUMS; a column that is not given is null for u and zero for others."""
-    size = len(columns["uid"])
-    rest = {name: pa.nulls(size, kind) if name == "u" else pa.array(np.zeros(size), kind) for name, kind in SUMS.items() if name not in columns}
+    """Rows of SUMS; a column that is not given is null for u and uid and zero for others."""
+    size = len(columns["t"])
+    rest = {name: pa.nulls(size, kind) if name in ("u", "uid") else pa.array(np.zeros(size), kind) for name, kind in SUMS.items() if name not in columns}
     return pa.record_batch([pa.array(columns[name]).cast(kind) if name in columns else rest[name] for name, kind in SUMS.items()], list(SUMS))
 
 
@@ -306,25 +311,31 @@ def _worth(g: dict[str, np.ndarray], all_words: int) -> np.ndarray:
 
 
 def _explode(buckets: int, all_words: int, words, pairs, most: int):
-    """Rows of ROWS: bigrams that wait for their counts, by bucket, and for each slice of texts one row of what is settled."""
+    """Rows of ROWS: bigrams that wait for their counts, by bucket, and for each slice of texts one row of what is settled.
+
+    Texts are numbered as they come, which must be the same when a task is repeated: they are sorted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = Texts(most)
-        known, waiting = _Known(texts, words.value), _Waiting(buckets)
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
+        known, waiting = _Known(texts, words.value), _Waiting(buckets, number)
         for batch in batches:
             for uids, some in columns(batch, "uid", "text", chars=SLICE_CHARS):
                 texts.read(some)
-                uids = np.array(uids, np.int64)
+                uids, t = np.array(uids, np.int64), number + np.arange(len(uids))
+                number += len(uids)
                 g = _prepared(texts, known(), words.value, pairs.value)
                 settled = _settled(g)
                 sums = np.bincount(g["doc"][settled], weights=_worth(g, all_words)[settled], minlength=len(some)).astype(float)
                 first, d = g["x"][texts.first], texts.doc[texts.first]
                 sums[d] += np.where(first >= 0, _log_alone(first, (all_words - texts.lengths)[d]), 0.0)
                 lacks, f = first < 0, d[first < 0]
-                lone = (texts.hashes[texts.ids[texts.first[lacks]]].view(np.int64), uids[f], -first[lacks], texts.lengths[f])
+                lone = (texts.hashes[texts.ids[texts.first[lacks]]].view(np.int64), t[f], -first[lacks], texts.lengths[f])
                 home = int(uids[0]) % buckets if len(uids) else 0
-                yield _rows(np.array([home]), pa.nulls(1, pa.binary()), [uids[d], sums[d], texts.lengths[d], *lone])
-                waiting.add(g, np.flatnonzero(~settled), uids, texts.lengths)
+                yield _rows(np.array([home]), pa.nulls(1, pa.binary()), [t[d], uids[d], sums[d], texts.lengths[d], *lone])
+                waiting.add(g, np.flatnonzero(~settled), texts.lengths)
                 del g
                 if waiting.size >= HELD:
                     yield waiting.rows()
@@ -363,7 +374,7 @@ def _met(rows: list[bytes]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray
     for row in rows:
         t, g = _unpacked(row)
         g["doc"] = np.cumsum(g.pop("step"), dtype=np.int64) + n
-        n += len(t["uid"])
+        n += len(t["t"])
         texts.append(t)
         grams.append(g)
     joined = lambda some: {c: np.concatenate([x.pop(c) for x in some]) for c in list(some[0])}
@@ -378,8 +389,8 @@ def _join(all_words: int, words):
             told = {c: table.column(c).combine_chunks().flatten().to_numpy() for c in [*TOLD, *FIRST]}
             rows = table.column("grams").drop_null().to_pylist()
             del table
-            yield _sums(uid=told["told_uid"], s=told["told"], n_words=told["told_words"])
-            yield _sums(u=told["first"], uid=told["first_uid"], own=told["first_own"], plus=np.ones(len(told["first"]), np.int64), n_words=told["first_words"])
+            yield _sums(t=told["told_t"], uid=told["told_uid"], s=told["told"], n_words=told["told_words"])
+            yield _sums(u=told["first"], t=told["first_t"], own=told["first_own"], plus=np.ones(len(told["first"]), np.int64), n_words=told["first_words"])
             if not rows:
                 continue
             texts, g = _met(rows)
@@ -396,12 +407,12 @@ def _join(all_words: int, words):
             g["c"][rest] = _summed(_pair_hash(v, w), g["n"][rest])
             del kv, kw, pv, pw, both, rest, v, w
             g["n_words"] = texts["n_words"][g["doc"]]
-            yield _sums(uid=texts["uid"], s=np.bincount(g["doc"], weights=_worth(g, all_words), minlength=len(texts["uid"])))
+            yield _sums(t=texts["t"], s=np.bincount(g["doc"], weights=_worth(g, all_words), minlength=len(texts["t"])))
             seen = g["c"] > g["n"]
             lacks = np.where(seen, g["xv"], g["xw"]) < 0
             seen, g = seen[lacks], {c: x[lacks] for c, x in g.items()}
             own = -np.where(seen, g["xv"], g["xw"])
-            yield _sums(u=np.where(seen, g["v"], g["w"]), uid=texts["uid"][g["doc"]], own=own, minus=np.where(seen, g["n"], 0), plus=np.where(seen, 0, g["n"]), n_words=g["n_words"])
+            yield _sums(u=np.where(seen, g["v"], g["w"]), t=texts["t"][g["doc"]], own=own, minus=np.where(seen, g["n"], 0), plus=np.where(seen, 0, g["n"]), n_words=g["n_words"])
 
     return run
 
@@ -445,7 +456,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         known_pairs = Counts(surveyed.filter("kind = 1").select("h", "n").toArrow())
         tables = spark.sparkContext.broadcast(known_words), spark.sparkContext.broadcast(known_pairs)
         buckets = all_words // bucket_words + 1
-        rows = texts.select("uid", "text")
+        rows = texts.select("uid", "text").sortWithinPartitions("uid")
         exploded = rows.mapInArrow(_explode(buckets, all_words, *tables, VOCABULARY), ROWS).repartition("bucket").sortWithinPartitions("bucket")
         met = scratch.keep(exploded.mapInArrow(_join(all_words, tables[0]), SUM_ROWS), "joined")
     others = F.col("c") - F.col("own")
@@ -453,12 +464,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     added = F.when(F.col("plus") > 0, F.col("plus") * _alone(others, F.lit(all_words) - F.col("n_words"))).otherwise(0.0)
     # Words that are looked up here are rare, so no key of this join is hot.
     lacking = met.filter("u IS NOT NULL").drop("s")
-    looked_up = lacking.join(words.select(F.col("h").alias("u"), F.col("n").alias("c")), "u").select("uid", (taken + added).alias("s"), "n_words")
-    by_text = met.filter("u IS NULL").select("uid", "s", "n_words").unionByName(looked_up).groupBy("uid").agg(F.sum("s").alias("s"), F.max("n_words").alias("n_words"))
-    uids = scratch.keep(texts.select("doc_id", "uid"), "uids")
-    copies = uids.groupBy("uid").agg(F.count(F.lit(1)).alias("m"))
+    looked_up = lacking.join(words.select(F.col("h").alias("u"), F.col("n").alias("c")), "u").select("t", "uid", (taken + added).alias("s"), "n_words")
+    by_number = met.filter("u IS NULL").select("t", "uid", "s", "n_words").unionByName(looked_up).groupBy("t").agg(F.max("uid").alias("uid"), F.sum("s").alias("s"), F.max("n_words").alias("n_words"))
     # Written, so that either side of the join is a plain exchange and a text that many rows have can be split.
-    sums = scratch.keep(by_text.join(copies, "uid").select("uid", "n_words", (F.col("s") / F.col("m") / F.col("n_words")).alias("score")), "sums")
+    sums = scratch.keep(by_number.groupBy("uid").agg(F.max("n_words").alias("n_words"), F.avg(F.col("s") / F.col("n_words")).alias("score")), "sums")
+    uids = scratch.keep(texts.select("doc_id", "uid"), "uids")
     return uids.join(sums, "uid", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
