@@ -59,6 +59,14 @@ def test_sitemaps_and_published_files(spark):
     assert [r.url for r in found.collect()] == ["https://s/llms.txt"]
 
 
+def test_sitemaps_are_read_whole(spark):
+    long = "<urlset>" + "".join(f"<loc>https://s/{i}</loc>" for i in range(5_100)) + "</urlset>"
+    index = "<sitemapindex>" + "".join(f"<loc>c{i}</loc>" for i in range(7)) + "</sitemapindex>"
+    files = spark.createDataFrame([("s", "i", index), ("s", "c0", long), ("s", "c6", "<urlset><loc>https://s/last</loc></urlset>")], "site string, sitemap_url string, text string")
+    entries = {r.position: r.url for r in S.read_sitemaps(files, most_children=None).filter("sitemap_url = 'i'").collect()}
+    assert entries == {i: f"https://s/{i}" for i in range(5_100)} | {5_100: "https://s/last"}
+
+
 # -- planning -----------------------------------------------------------------------
 
 

@@ -463,7 +463,7 @@ def sitemap_entries(spark, d):
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("x")))), lambda s: s["x"]), "")
     maps = pages.groupBy("site").agg(body.alias("b")).select("site", F.lit("a.xml").alias("sitemap_url"), F.concat(F.lit("<urlset>"), "b", F.lit("</urlset>")).alias("text"))
     index = maps.select("site", F.lit("index.xml").alias("sitemap_url"), F.lit("<sitemapindex><loc>missing.xml</loc><loc>a.xml</loc></sitemapindex>").alias("text"))
-    return S.read_sitemaps(maps.unionByName(index)).filter("sitemap_url = 'index.xml'").select("site", "url", F.col("position").cast("long").alias("position"))
+    return S.read_sitemaps(maps.unionByName(index), most_children=None).filter("sitemap_url = 'index.xml'").select("site", "url", F.col("position").cast("long").alias("position"))
 
 
 @query(
