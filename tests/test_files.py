@@ -1,6 +1,7 @@
 """Rendering, the grammar, proposals, monitoring and the store."""
 
 import datetime as dt
+import hashlib
 import json
 import random
 import re
@@ -144,6 +145,25 @@ def test_fingerprints_ignore_order_and_notes(spark):
     assert h(one) == h(two) and h(one)["s"] != h(three)["s"] and len(h(one)["empty"]) == 32
 
 
+def digest(*pieces):
+    return hashlib.sha256("\n".join(pieces).encode()).hexdigest()[:32]
+
+
+def test_sitemap_fingerprints_are_of_every_address(spark):
+    urls = [f"https://s/é{i}" for i in range(5_050)] + ["https://s/é1"]
+    rows = [("s", u) for u in urls] + [("t", "b"), ("t", None), ("t", "a"), ("none", None)]
+    got = {r.site: r.sitemap_hash for r in N.sitemap_hash(spark.createDataFrame(rows, "site string, url string").repartition(3)).collect()}
+    assert got == {"s": digest(*sorted(urls)), "t": digest("a", "b"), "none": digest("")}
+
+
+def test_structure_fingerprints_are_of_every_link(spark):
+    links = [("s", f"u{i:03}", f"T {i}") for i in range(200)] + [("x", "u", None), ("unknown", "u", "T")]
+    heads = spark.createDataFrame([("s", "Site"), ("x", None), ("empty", "E")], "site string, site_name string")
+    rows = spark.createDataFrame(links, "site string, url string, title string").repartition(3)
+    got = {r.site: r.structure_hash for r in N.structure_hash(heads, rows).collect()}
+    assert got == {"s": digest("Site", *(f"u{i:03}\tT {i}" for i in range(200))), "x": digest("", "u"), "empty": digest("E")}
+
+
 def test_outcomes_of_checks_and_write_back(spark):
     t = lambda n: dt.datetime(2024, 1, 1, n)
     text = "# Pub\n" + "x" * 50

@@ -9,7 +9,6 @@ from dataclasses import dataclass
 class Limits:
     pages_per_site: int = 50
     waves: int = 3
-    sitemap_urls: int = 5_000
     sitemap_children: int = 5
     sitemap_candidates: int = 3
     robots_delay_ms: int = 10_000
