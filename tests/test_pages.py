@@ -1,8 +1,12 @@
 """Trees and single-page site maps on pages of several kinds."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from waymark.functions import plain as T
+from waymark.functions._udf import SLICE_BYTES, in_slices, slices
 from waymark.operators.extract import choose_depth, extract, extractions, group_key, page_meta
 from waymark.sources import html as H
 from waymark.sources.html import Page, decode_entities
@@ -75,3 +79,16 @@ def test_columns_of_pages(spark):
         assert density[1, tag] == pytest.approx(page.link_density(n))
     kept = H.outside_chrome(table, table.filter("tag = 'a'").select("page_id", "node_id")).count()
     assert kept == 5
+
+
+def test_pages_are_read_in_slices_of_bounded_size(spark):
+    batch = pa.RecordBatch.from_pydict({"n": range(6), "html": ["x" * 40, None, "y" * 70, "é" * 60, "", "z"]})
+    assert [part.column("n").to_pylist() for part in slices(batch, "html", 100)] == [[0, 1], [2], [3], [4, 5]]
+    rows = spark.createDataFrame([(n, "<p>" * (n + 1)) for n in range(3_000)], "page_id long, html string").coalesce(1)
+    held = in_slices(rows, "html", lambda part: {"rows": [part.num_rows], "bytes": [sum(map(len, part.column("html").to_pylist()))]}, StructType.fromDDL("rows long, bytes long")).collect()
+    assert sum(r.rows for r in held) == 3_000 and max(r.bytes for r in held) <= SLICE_BYTES and len(held) > 10
+
+
+def test_long_texts_are_not_remembered():
+    before = T._remembered.cache_info().currsize
+    assert T.coverage("word " * 100, "words and more of them " * 50) == 1.0 and T._remembered.cache_info().currsize == before

@@ -11,10 +11,11 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from waymark.functions._udf import batched
+from waymark.functions._udf import in_slices
 from waymark.functions import words as W
 from waymark.functions.plain import SPACE, collapse, trim
 
@@ -32,9 +33,7 @@ ENDED_BY = {
     "option": ["option"],
 }
 
-NODE = (
-    "struct<node_id:int,parent_id:int,end_id:int,depth:int,kind:string,tag:string,attrs:map<string,string>,text:string>"
-)
+NODE = "node_id int, parent_id int, end_id int, depth int, kind string, tag string, attrs map<string,string>, text string"
 
 _COMMENT, _DOCTYPE = re.compile(r"<!--.*?-->", re.S), re.compile(r"<!doctype[^>]*>", re.I)
 _TAG = re.compile(r"<(?P<close>/?)(?P<name>[a-z][a-z0-9-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>])*?)(?P<alone>/?)>", re.I)
@@ -188,36 +187,46 @@ class Page:
 # -- the node table ------------------------------------------------------------
 
 
-@batched(f"array<{NODE}>")
-def parse_html(html: pd.Series) -> pd.Series:
-    """A page's nodes in document order."""
-    out = []
-    for text in html:
-        page = Page(text)
-        out.append(
-            [
-                (n, page.parent[n], page.end[n], page.depth[n], "text" if page.tag[n] is None else "el", page.tag[n], page.attrs[n], page.text[n])
-                for n in range(1, len(page.tag))
-            ]
-        )
-    return pd.Series(out, dtype=object)
+def _parsed(part: pa.RecordBatch) -> dict:
+    """A row for each node of the pages, in document order."""
+    rows = {name: [] for name in ("page", "node_id", "parent_id", "end_id", "depth", "kind", "tag", "attrs", "text")}
+    for at, html in enumerate(part.column("html").to_pylist()):
+        page = Page(html)
+        n = len(page.tag) - 1
+        rows["page"] += [at] * n
+        rows["node_id"] += range(1, n + 1)
+        rows["parent_id"] += page.parent[1:]
+        rows["end_id"] += page.end[1:]
+        rows["depth"] += page.depth[1:]
+        rows["kind"] += ["text" if tag is None else "el" for tag in page.tag[1:]]
+        rows["tag"] += page.tag[1:]
+        rows["attrs"] += [list(a.items()) for a in page.attrs[1:]]
+        rows["text"] += page.text[1:]
+    at = pa.array(rows.pop("page"), pa.int64())
+    return {"page_id": part.column("page_id").take(at), "url": part.column("url").take(at)} | rows
 
 
 def nodes(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``page_id, url`` and the columns of NODE: a row per node. A filter on url reaches the scan."""
-    rows = pages.select("page_id", "url", F.explode(parse_html(html)).alias("node"))
-    return rows.select("page_id", "url", "node.*")
+    """``page_id, url`` and the columns of NODE: a row per node."""
+    rows = pages.select("page_id", "url", F.col(html).alias("html"))
+    return in_slices(rows, "html", _parsed, StructType([*rows.schema.fields[:2], *StructType.fromDDL(NODE).fields]))
 
 
-@batched("array<string>")
-def _hrefs(html: pd.Series) -> pd.Series:
-    found = ([a["href"] for kind, name, a in tokens(h or "") if name == "a" and kind in ("open", "leaf") and a.get("href")] for h in html)
-    return pd.Series(list(found), dtype=object)
+def _linked(part: pa.RecordBatch) -> dict:
+    pages, numbers, found = [], [], []
+    for at, html in enumerate(part.column("html").to_pylist()):
+        own = [a["href"] for kind, name, a in tokens(html or "") if name == "a" and kind in ("open", "leaf") and a.get("href")]
+        pages += [at] * len(own)
+        numbers += range(len(own))
+        found += own
+    at = pa.array(pages, pa.int64())
+    return {"page_id": part.column("page_id").take(at), "url": part.column("url").take(at), "n": numbers, "href": found}
 
 
 def hrefs(pages: DataFrame, html: str = "html") -> DataFrame:
     """``page_id, url, n, href``: ``anchors`` without the tree, for what needs links only."""
-    return pages.select("page_id", "url", F.posexplode(_hrefs(html)).alias("n", "href"))
+    rows = pages.select("page_id", "url", F.col(html).alias("html"))
+    return in_slices(rows, "html", _linked, StructType([*rows.schema.fields[:2], *StructType.fromDDL("n int, href string").fields]))
 
 
 def is_html(content_type: Column, body: Column) -> Column:
