@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import plain, text as X, urls as U
+from waymark.operators import proposals as P
+from waymark.plans import queries as Q
 
 STEMS = [("integrations", "integration"), ("guides", "guide"), ("boxes", "box"), ("churches", "church"), ("policies", "policy"), ("cities", "city"), ("abilities", "ability"), ("class", "class"), ("running", "runn"), ("red", "red"), ("used", "used"), ("linked", "link"), ("ties", "tie"), ("pricing", "pric"), ("bus", "bus"), ("buses", "bus")]
 
@@ -79,3 +81,26 @@ def test_address_columns(spark):
 @pytest.mark.parametrize("ip,want", [("10.1.2.3", True), ("172.15.0.1", False), ("172.31.9.9", True), ("100.64.0.1", True), ("8.8.8.8", False), ("::1", True), ("fd00::1", True), ("::ffff:127.0.0.1", True), ("2001:db8::1", False)])
 def test_private(spark, ip, want):
     assert spark.range(1).select(U.is_private_address(F.lit(ip)).alias("p")).first().p is want
+
+
+def test_lines_are_held_against_the_line_before_in_one_pass(spark, tmp_path):
+    texts = ["Red widgets\nThe red widget\n\nred rings and widgets\n", None, "", "ééé\n‘tis Red's"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r.doc_id, r.n): (r.l, r.similarity, r.coverage) for r in Q._lines(spark, str(tmp_path)).collect()}
+    want = {}
+    for doc, text in enumerate(texts):
+        lines = [] if text is None else text.split("\n")
+        for n, (before, line) in enumerate(zip(["", *lines], lines), 1):
+            want[doc, n] = (line, plain.similarity(line, before), plain.coverage(line, before))
+    assert rows == want and rows[0, 2][1] == 1.0 and len(rows) == 8
+
+
+def test_cleaned_notes_are_made_once(spark):
+    plan = spark.range(1).select(P.accept_note(F.col("id").cast("string"), covered=F.lit(0.0)).alias("x"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 3
+
+
+def test_stems_by_ending_equal_those_by_pattern(spark):
+    words = sorted({start + middle + end for start in ("", "a", "ab", "abs", "ach", "x'") for middle in ("", "s", "z", "sh", "i", "it") for end in ("ities", "ies", "es", "s", "ss", "ing", "ed", "")})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.stem("w").alias("s")).collect()
+    assert {r.w: r.s for r in rows} == {w: plain._stem(w) for w in words}

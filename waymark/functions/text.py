@@ -39,12 +39,15 @@ def tokenize(x: Column | str) -> Column:
 
 
 def stem(x: Column | str) -> Column:
-    """Crude suffix stripping: the first rule that fits a word of over three letters."""
-    w, out = _c(x), None
-    for ending, put in W.SUFFIXES:
-        fits, cut = w.rlike(ending), F.regexp_replace(w, ending, put)
-        out = F.when(F.length(w) <= 3, w).when(fits, cut) if out is None else out.when(fits, cut)
-    return out.otherwise(w)
+    """Crude suffix stripping: the first rule of ``words.SUFFIXES`` that fits a word of over three letters, told
+    from its ending and length, since every word of every text passes here."""
+    w, n = _c(x), F.length(_c(x))
+    cut = lambda k, put="": F.concat(F.left(w, n - k), F.lit(put)) if put else F.left(w, n - k)
+    es = F.lit(False)
+    for ending in ("ses", "xes", "zes", "ches", "shes"):
+        es = es | w.endswith(ending)
+    plural = F.when(w.endswith("ities"), cut(5, "ity")).when(w.endswith("ies") & (n > 4), cut(3, "y")).when(es, cut(2)).when(w.endswith("ss"), w).otherwise(cut(1))
+    return F.when(n <= 3, w).when(w.endswith("s"), plural).when(w.endswith("ing") & (n > 5), cut(3)).when(w.endswith("ed") & (n > 4), cut(2)).otherwise(w)
 
 
 def content_tokens(x: Column | str) -> Column:

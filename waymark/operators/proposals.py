@@ -19,16 +19,23 @@ def parse_reply(reply: Column) -> Column:
     return F.when(body != "", F.from_json(body, REPLY, {"mode": "PERMISSIVE"}))
 
 
-def accept_note(note: Column, title: Column) -> Column:
-    cleaned = F.regexp_replace(X.escape_inline(note), f"(?:[.]|{X.SPACE})+$", "")
-    ok = (F.length(cleaned) >= 10) & (F.size(F.split(cleaned, X.SPACE + "+")) <= LIMITS.note_words) & ~cleaned.contains("](") & (X.coverage(cleaned, title) <= 0.75)
-    return F.when(ok, cleaned)
+def _if(made: Column, rule: Callable[[Column], Column]) -> Column:
+    """``made`` if it keeps the rule. It is bound to a name, so that it is made once however often the rule asks for it."""
+    return F.transform(F.array(made), lambda x: F.when(rule(x), x))[0]
 
 
-def accept_summary(summary: Column, site_name: Column) -> Column:
-    cleaned = X.escape_inline(summary)
-    ok = F.length(cleaned).between(20, LIMITS.summary_chars) & ~cleaned.rlike("https?://") & (X.similarity(cleaned, site_name) <= 0.8)
-    return F.when(ok, cleaned)
+def accept_note(note: Column, title: Column | None = None, covered: Column | None = None) -> Column:
+    """A note that is fit beside ``title``. ``covered``: the share of its words that the title has, where it is at hand; cleaning
+    leaves a text's words as they are."""
+    cleaned = F.regexp_replace(X.escape_inline(note), f"[.{X.W.SPACE}]+$", "")
+    said = lambda c: X.coverage(c, title) if covered is None else covered
+    return _if(cleaned, lambda c: (F.length(c) >= 10) & ~c.contains("](") & (F.size(F.split(c, X.SPACE + "+")) <= LIMITS.note_words) & (said(c) <= 0.75))
+
+
+def accept_summary(summary: Column, site_name: Column | None = None, alike: Column | None = None) -> Column:
+    """A summary that says more than ``site_name``. ``alike``: the overlap of their words, where it is at hand."""
+    said = lambda c: X.similarity(c, site_name) if alike is None else alike
+    return _if(X.escape_inline(summary), lambda c: F.length(c).between(20, LIMITS.summary_chars) & ~c.rlike("https?://") & (said(c) <= 0.8))
 
 
 def accept_section_name(name: Column) -> Column:

@@ -7,10 +7,13 @@ rules, snapshots) a query derives it from ids by a rule that its SQL repeats.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from waymark.config import LIMITS
-from waymark.functions import responses as R, text as X, urls as U
+from waymark.functions import plain as L, responses as R, text as X, urls as U
+from waymark.functions._udf import in_slices
 from waymark.operators import curate as C, evaluation as V, extract as E, markdown as M, merge as G, monitor as N, proposals as P
 from waymark.plans import crawl as K
 from waymark.scratch import Scratch
@@ -218,11 +221,30 @@ def stem_distribution(spark, d):
 LINES = "lines AS (SELECT doc_id, n, l, coalesce(lag(l) OVER (PARTITION BY doc_id ORDER BY n), '') AS before FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS n FROM documents))"
 
 
+def _compared(part: pa.RecordBatch) -> dict:
+    rows = {name: [] for name in ("doc_id", "n", "l", "similarity", "coverage")}
+    for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+        before: frozenset[str] = frozenset()
+        for n, line in enumerate([] if text is None else text.split("\n"), 1):
+            own = L.content_set(line)
+            both = len(own & before)
+            rows["doc_id"].append(doc)
+            rows["n"].append(n)
+            rows["l"].append(line)
+            rows["similarity"].append(both / (len(own) + len(before) - both) if own and before else 0.0)
+            rows["coverage"].append(both / len(own) if own else 1.0)
+            before = own
+    return rows
+
+
 def _lines(spark, d) -> DataFrame:
-    """``doc_id, n, l, before``: every line of every document, from 1, with the line before it."""
-    rows = _table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
-    pairs = F.arrays_zip(F.col("ls").alias("l"), F.concat(F.array(F.lit("")), F.slice("ls", 1, F.size("ls") - 1)).alias("before"))
-    return rows.select("doc_id", F.posexplode(pairs).alias("n", "x")).select("doc_id", (F.col("n") + 1).alias("n"), "x.l", "x.before")
+    """``doc_id, n, l, similarity, coverage``: every line of every document, from 1, against the line before it.
+
+    A line's words are taken once, for itself and for the next line: as expressions over arrays this was some
+    microseconds for each word, twice.
+    """
+    rows = _table(spark, d, "documents").select("doc_id", "text")
+    return in_slices(rows, "text", _compared, StructType([rows.schema["doc_id"], *StructType.fromDDL("n int, l string, similarity double, coverage double").fields]))
 
 
 _OVERLAP = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END"
@@ -233,8 +255,7 @@ _SETS = f"sets AS (SELECT *, list_distinct({CONTENT.format('l')}) AS a, list_dis
 @query(f"WITH {LINES}, {_SETS} SELECT doc_id, n, round({_OVERLAP}, 9) AS similarity, round({_COVERED}, 9) AS coverage FROM sets")
 def title_similarity(spark, d):
     """Each line of a document against the one before."""
-    rows = _lines(spark, d).select("doc_id", "n", X.content_tokens("l").alias("a"), X.content_tokens("before").alias("b"))
-    return rows.select("doc_id", "n", F.round(X.token_similarity("a", "b"), 9).alias("similarity"), F.round(X.token_coverage("a", "b"), 9).alias("coverage"))
+    return _lines(spark, d).select("doc_id", "n", F.round("similarity", 9).alias("similarity"), F.round("coverage", 9).alias("coverage"))
 
 
 @query(
@@ -598,7 +619,7 @@ def optional_router(spark, d):
 )
 def accepted_notes(spark, d):
     """Each line of a document offered as a note for the one before."""
-    return _lines(spark, d).select("doc_id", "n", P.accept_note(F.col("l"), F.col("before")).alias("note"))
+    return _lines(spark, d).select("doc_id", "n", P.accept_note(F.col("l"), covered=F.col("coverage")).alias("note"))
 
 
 @query(
@@ -607,7 +628,7 @@ def accepted_notes(spark, d):
 )
 def accepted_summaries(spark, d):
     """Each line offered as a summary of what the one before names: a repeated line says no more."""
-    return _lines(spark, d).select("doc_id", "n", P.accept_summary(F.col("l"), F.col("before")).alias("summary"))
+    return _lines(spark, d).select("doc_id", "n", P.accept_summary(F.col("l"), alike=F.col("similarity")).alias("summary"))
 
 
 # -- monitoring and the store ----------------------------------------------------------------------------
