@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from waymark.functions import text as X, urls as U
 from waymark.operators import curate as C, merge as G
 from waymark.operators.extract import choose_depth as choose_depth_plain
-from waymark.plans import crawl as K
+from waymark.plans import crawl as K, made_queries as M
 from waymark.sources import robots as B, sitemaps as S
 
 
@@ -202,3 +202,9 @@ def test_router_and_prefixes(spark):
     assert [r.o for r in df.select(X.is_optional("p", "t", crawled=False).alias("o")).collect()] == [True, False, False, False, True]
     paths = spark.createDataFrame([("/a/1",), ("/a/x",), ("/b",)], "p string")
     assert [r.ok for r in paths.select(U.path_allowed("p", ["/a"], ["/a/x"]).alias("ok")).collect()] == [True, False, False]
+
+
+def test_made_pages_are_spread_over_tasks(spark, sf):
+    # The part table is one small file, so one task would make and read all pages of its towns.
+    plan = M._towns(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [key" in plan

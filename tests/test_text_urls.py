@@ -104,3 +104,9 @@ def test_stems_by_ending_equal_those_by_pattern(spark):
     words = sorted({start + middle + end for start in ("", "a", "ab", "abs", "ach", "x'") for middle in ("", "s", "z", "sh", "i", "it") for end in ("ities", "ies", "es", "s", "ss", "ing", "ed", "")})
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.stem("w").alias("s")).collect()
     assert {r.w: r.s for r in rows} == {w: plain._stem(w) for w in words}
+
+
+def test_plain_addresses_are_read_as_any_other():
+    base = U.parse("https://u@A.com:81/x/y?q#f")
+    hrefs = ["https://a.com", "http://a-b.c/", "https://a.com/p/q.html", "https://a.com/a//b", "https://a.com/../b", "https://a.com/.well", "https://A.com/p", "https://a.com:8/p", "/p/q", "/p/q/#top", "/p#", "//b.com/p", "/./p", "/p/..", "/p.", "/é", "/p?x=1", "", "#x", "p", "https://a.com/p\n", "/p\n", "https:///a.com/p", "https://a.com/%41"]
+    assert [U.parse(x, b) for x in hrefs for b in (base, None)] == [U._parse(x, b) for x in hrefs for b in (base, None)]

@@ -14,11 +14,6 @@ from waymark.sources.robots import allowed
 NO_POSITION = 9007199254740991
 
 
-def inbound_counts(mentions: DataFrame) -> DataFrame:
-    """``site, url, inbound`` from one row per mention."""
-    return mentions.groupBy("site", "url").agg(F.count(F.lit(1)).alias("inbound"))
-
-
 def linked_addresses(links: DataFrame) -> DataFrame:
     """``site, url, inbound`` of links (url, href) as pages have them. A link that starts at the root means the same
     on every page of its site, so equal ones are counted first and each is resolved once."""
@@ -79,12 +74,11 @@ def plan(candidates: DataFrame, limit: int | str) -> DataFrame:
 def candidates_from(mentions: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Candidates from mentions (site, url, sitemap_position, ord; url canonical): on the site, a page,
     allowed; each once, as first mentioned. Counts take in every mention, on the site or not."""
-    counts = inbound_counts(mentions)
-    first = mentions.groupBy("site", "url").agg(F.min_by("sitemap_position", "ord").alias("sitemap_position"))
+    first = mentions.groupBy("site", "url").agg(F.min_by("sitemap_position", "ord").alias("sitemap_position"), F.count(F.lit(1)).alias("inbound"))
     own = first.withColumn("path", path_of("url")).filter((host_of("url") == F.col("site")) & is_page("path"))
     if rules is not None:
         own = allowed(own, rules).filter("allowed").drop("allowed")
-    return own.join(counts, ["site", "url"]).select("site", "url", "sitemap_position", raw_segments("url").alias("segments"), "inbound")
+    return own.select("site", "url", "sitemap_position", raw_segments("url").alias("segments"), "inbound")
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, sitemap: DataFrame | None = None, rules: DataFrame | None = None, limits=LIMITS) -> DataFrame:
@@ -106,21 +100,27 @@ def crawl(pages: DataFrame, seeds: DataFrame, sitemap: DataFrame | None = None,
         return scratch.keep(page_meta(read).drop("page_url").join(hit, "page_id"), name)
 
     start = seeds.select("site", canonicalize_url("url", "url").alias("url")).filter("url IS NOT NULL")
-    done = fetch(start.withColumn("wave", F.lit(0)).withColumn("plan_pos", F.lit(0)), "wave-0")
+    done = read = fetch(start.withColumn("wave", F.lit(0)).withColumn("plan_pos", F.lit(0)), "wave-0")
     taken = start
-    listed = None
+    mentions = None
     if sitemap is not None:
         listed = sitemap.select("site", canonicalize_url("url", F.concat(F.lit("https://"), "site")).alias("url"), F.col("position").alias("sitemap_position"), F.col("position").alias("ord")).filter("url IS NOT NULL")
+        mentions = scratch.keep(listed, "listed")
     for wave in range(1, limits.waves + 1):
-        links = done.select("site", F.posexplode("links").alias("i", "href"), F.col("asked").alias("base"), (F.col("wave") * 1_000_000 + F.col("plan_pos")).alias("page_ord"))
+        # A wave's links are resolved once, not again for each later wave.
+        links = read.select("site", F.posexplode("links").alias("i", "href"), F.col("asked").alias("base"), (F.col("wave") * 1_000_000 + F.col("plan_pos")).alias("page_ord"))
         found = links.select("site", canonicalize_url("href", "base").alias("url"), F.lit(NO_POSITION).alias("sitemap_position"), (F.lit(1 << 50) + F.col("page_ord").cast("long") * 1_000_000 + F.col("i")).alias("ord")).filter("url IS NOT NULL")
-        mentions = found if listed is None else listed.unionByName(found)
+        found = scratch.keep(found, f"found-{wave}")
+        mentions = found if mentions is None else mentions.unionByName(found)
         pool = candidates_from(mentions, rules).join(taken, ["site", "url"], "left_anti")
         room = seeds.select("site").distinct().join(done.filter("wave > 0").groupBy("site").agg(F.count(F.lit(1)).alias("n")), "site", "left")
         room = room.select("site", (F.lit(limits.pages_per_site - 1) - F.coalesce("n", F.lit(0))).alias("room")).filter("room > 0")
-        planned = scratch.keep(plan(pool.join(room, "site"), "room").withColumn("wave", F.lit(wave)), f"plan-{wave}")
+        # Written: ranks and sizes of sections are both made from these rows.
+        pool = scratch.keep(pool.join(room, "site"), f"pool-{wave}")
+        planned = scratch.keep(plan(pool, "room").withColumn("wave", F.lit(wave)), f"plan-{wave}")
         if not planned.limit(1).count():
             break
         taken = taken.unionByName(planned.select("site", "url"))
-        done = done.unionByName(fetch(planned, f"wave-{wave}"))
+        read = fetch(planned, f"wave-{wave}")
+        done = done.unionByName(read)
     return done

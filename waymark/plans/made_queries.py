@@ -119,7 +119,8 @@ def _stall(key: Column) -> Column:
 def _towns(spark, d) -> DataFrame:
     """``page_id, url, html``: a home page a town with a link to every third stall, and the stalls' pages, each
     with a link to the next unless that one is linked from home; every seventh stall has no page."""
-    p = _parts(spark, d)
+    # Spread first: the table is small as a file, one task then, but its pages are not.
+    p = _parts(spark, d).repartition("key")
     k, key, idx = F.col("k"), F.col("key"), F.col("idx")
     link = _cat('<a href="', _stall(key), '">', F.col("name"), "</a>")
     homes = p.groupBy("k").agg(_joined(idx, F.when(idx % 3 == 0, link).otherwise("")).alias("links")).select(k.alias("page_id"), _cat("https://", _town(k), "/").alias("url"), _cat("<title>Town ", k, "</title>", F.col("links")).alias("html"))
