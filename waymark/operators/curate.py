@@ -51,7 +51,7 @@ def survivors(links: DataFrame, keys: list[str] = ["site"], order: str = "ord")
     The fold over a path's links is sequential by definition: a link is held against the
     links kept so far, and the first that matches is replaced if the newcomer is better.
     """
-    entry = F.struct(F.col(order).alias("o"), F.col("url").alias("u"), F.col("note").isNotNull().alias("noted"), F.lower(X.trim("title")).alias("t"), X.content_tokens(F.lower(X.trim("title"))).alias("c"))
+    entry = F.struct(F.col(order).alias("o"), F.col("url").alias("u"), F.col("note").isNotNull().alias("noted"), F.lower(X.trim("title")).alias("t"))
     grouped = links.groupBy(*keys, path_key("url").alias("path_key")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
     def same(a: Column, b: Column) -> Column:
@@ -65,8 +65,11 @@ def survivors(links: DataFrame, keys: list[str] = ["site"], order: str = "ord")
         swapped = F.transform(kept, lambda k, i: F.when((i == at - 1) & better, x).otherwise(k))
         return F.when(at == 0, F.concat(kept, F.array(x))).otherwise(swapped)
 
+    # Most paths have one link, which stays; words are taken where there is something to hold them against.
+    worded = F.transform("entries", lambda x: F.struct(x["o"].alias("o"), x["u"].alias("u"), x["noted"].alias("noted"), x["t"].alias("t"), X.content_tokens(x["t"]).alias("c")))
+    grouped = grouped.select(*keys, F.col("entries")[0]["o"].alias("first"), F.when(F.size("entries") > 1, worded).alias("entries"))
     kept = F.aggregate("entries", F.slice("entries", 1, 0), step)
-    stay = grouped.select(*keys, F.explode(F.transform(kept, lambda k: k["o"])).alias(order))
+    stay = grouped.select(*keys, F.explode(F.coalesce(F.transform(kept, lambda k: k["o"]), F.array("first"))).alias(order))
     return links.join(stay, [*keys, order], "left_semi")
 
 
